@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.common import read_table
-from scriptorium.llm import frequency, normalize, packing, spans
+from scriptorium.llm import frequency, leaks, normalize, packing, spans
 
 # 1 ------------------------------------------------------------------------------------------
 
@@ -57,6 +57,21 @@ def p6_unused_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_packed(spark, sf_dir), read_table(spark, sf_dir, "pack_plan"))
 
 
+# 7 ------------------------------------------------------------------------------------------
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leak_report(_leaks(spark, sf_dir), read_table(spark, sf_dir, "eval_items"))
+
+
 # 8 ------------------------------------------------------------------------------------------
 
 
@@ -75,6 +90,8 @@ QUERIES = {
     "p2_term_counts": p2_term_counts,
     "p6_packed": p6_packed,
     "p6_unused_room": p6_unused_room,
+    "p7_found": p7_found,
+    "p7_items": p7_items,
     "p8_found": p8_found,
     "p8_shared_share": p8_shared_share,
 }
