@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.common import read_table
-from scriptorium.llm import frequency, leaks, normalize, packing, spans
+from scriptorium.llm import frequency, leaks, normalize, packing, scans, spans
 
 # 1 ------------------------------------------------------------------------------------------
 
@@ -46,6 +46,17 @@ m AS (SELECT field_name, term, n, n_docs,
   FROM c, t)
 """
 
+# 4 ------------------------------------------------------------------------------------------
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noisy_tokens(read_table(spark, sf_dir, "token"), read_table(spark, sf_dir, "dict_words"))
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.paragraphs(read_table(spark, sf_dir, "token"), read_table(spark, sf_dir, "dict_words"))
+
+
 # 6 ------------------------------------------------------------------------------------------
 
 
@@ -88,6 +99,8 @@ QUERIES = {
     "p1_forms": p1_forms,
     "p2_found": p2_found,
     "p2_term_counts": p2_term_counts,
+    "p4_found": p4_found,
+    "p4_paragraphs": p4_paragraphs,
     "p6_packed": p6_packed,
     "p6_unused_room": p6_unused_room,
     "p7_found": p7_found,
