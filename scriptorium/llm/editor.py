@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import numpy as np
 
@@ -19,25 +20,41 @@ SPACE = 1 << 17
 WIDTH = 19
 
 
-def _h(*parts: object) -> int:
-    return zlib.crc32("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")) & (SPACE - 1)
-
-
 def operations(read: str, meant: str) -> tuple[list[int], list[str]]:
     """The operation for every character of ``read`` that leads to ``meant``, and the letters it brings."""
-    ops, letters = [KEEP] * len(read), [""] * len(read)
+    n = len(read)
+    ops, letters = [KEEP] * n, [""] * n
     if not read or read == meant:
         return ops, letters
-    for tag, a, b, c, d in SequenceMatcher(None, read, meant, autojunk=False).get_opcodes():
-        if tag == "equal":
-            continue
-        if tag == "insert":
-            at = min(a, len(read) - 1)
-            ops[at], letters[at] = INSERT, meant[c:d]
-        else:
-            for k in range(a, b):
-                ops[k] = REPLACE if d > c else DELETE
-                letters[k] = meant[c:d] if k == a else ""
+    most = min(n, len(meant))
+    a = 0
+    while a < most and read[a] == meant[a]:
+        a += 1
+    z = 0
+    while z < most - a and read[n - 1 - z] == meant[len(meant) - 1 - z]:
+        z += 1
+    x, y = read[a : n - z], meant[a : len(meant) - z]
+    if not x:
+        at = min(a, n - 1)
+        ops[at], letters[at] = INSERT, y
+    elif not y:
+        ops[a : n - z] = [DELETE] * len(x)
+    elif len(x) == len(y):
+        for k, (c, d) in enumerate(zip(x, y, strict=True)):
+            if c != d:
+                ops[a + k], letters[a + k] = REPLACE, d
+    elif len(x) <= 3 and len(y) <= 3:
+        ops[a : n - z] = [REPLACE] * len(x)
+        letters[a] = y
+    else:
+        for tag, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+            if tag == "insert":
+                at = min(a + i, n - 1)
+                ops[at], letters[at] = INSERT, y[k:m]
+            elif tag != "equal":
+                for q in range(i, j):
+                    ops[a + q] = REPLACE if m > k else DELETE
+                    letters[a + q] = y[k:m] if q == i else ""
     return ops, letters
 
 
@@ -49,77 +66,155 @@ def apply_operations(read: str, ops: list[int], letters: list[str]) -> str:
     return "".join(out)
 
 
-def shape(c: str) -> str:
-    if c.isdigit():
-        return "9"
-    if c.isalpha():
-        return "A" if c.isupper() else "a"
-    return c
+_U = np.uint64
+
+
+class Item(NamedTuple):
+    """A word to be edited: its first half has ``split`` characters (0: not broken); ``known`` says
+    what the lexicon holds of it, ``near`` its neighbour there and ``near_known`` what the lexicon
+    holds of that; ``joined`` how the joined form fares against its halves."""
+
+    text: str
+    split: int
+    mark: int
+    known: str
+    near: str | None
+    near_known: str
+    joined: str
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    lower, shape = np.arange(0x3000, dtype=np.int64), np.arange(0x3000, dtype=np.int64)
+    for i in range(0x3000):
+        c = chr(i)
+        if len(c.lower()) == 1:
+            lower[i] = min(ord(c.lower()), 0x2FFF)
+        shape[i] = 57 if c.isdigit() else (65 if c.isupper() else 97) if c.isalpha() else i
+    return lower, shape
+
+
+_CASE: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def feature(tag: int, *parts: np.ndarray) -> np.ndarray:
+    """Numbers below SPACE for combinations of integers."""
+    h = np.full(len(parts[0]), tag, dtype=_U)
+    for part in parts:
+        h = (h ^ part.astype(_U)) * _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(29)
+    return ((h * _U(0xBF58476D1CE4E5B9)) >> _U(64 - 17)).astype(np.int32)
 
 
 class Featurizer:
-    """Feature numbers of the characters of a word; those of repeated surroundings are remembered."""
+    """Feature numbers (character, feature) of many words at once."""
 
     def __init__(self, grams: dict[str, int] | None = None) -> None:
         """``grams``: how often each group of three characters occurs in the words of the lexicon."""
-        self.memo: dict[tuple, int] = {}
-        self.grams = grams or {}
-
-    def rarity(self, text: str) -> list[int]:
-        """Of every group of three characters of a framed word: 0 if unknown, else its magnitude."""
-        get = self.grams.get
-        return [min(9, int(get(text[i : i + 3], 0)).bit_length()) for i in range(len(text) - 2)]
-
-    def _get(self, *key: object) -> int:
-        r = self.memo.get(key)
+        if not _CASE:
+            _CASE.append(_tables())
+        pairs = sorted((self._key(*map(ord, g)), min(9, n.bit_length())) for g, n in (grams or {}).items() if len(g) == 3)
+        self.keys = np.array([k for k, _ in pairs] or [-1], dtype=np.int64)
+        self.sizes = np.array([n for _, n in pairs] or [0], dtype=np.int64)
+        self.names: dict[str, int] = {}
+
+    @staticmethod
+    def _key(a, b, c):  # noqa: ANN001, ANN205 - integers or arrays of them
+        return (a << 42) | (b << 21) | c
+
+    def _name(self, s: str) -> int:
+        r = self.names.get(s)
         if r is None:
-            if len(self.memo) > 400_000:
-                self.memo.clear()
-            r = self.memo[key] = _h(*key)
+            r = self.names[s] = zlib.crc32(s.encode("utf-8", "surrogatepass"))
         return r
 
-    def word(self, text: str, split: int, mark: int, known: str, near: str | None, near_known: str, joined: str) -> np.ndarray:
-        """``text`` with its first half of ``split`` characters (0: not broken) and hyphen mark;
-        ``known`` says what the lexicon holds of it, ``near`` its neighbour and ``near_known`` what
-        the lexicon holds of that, ``joined`` how the joined form fares against the first half."""
-        get = self._get
-        n = len(text)
-        ops, letters = operations(text, near) if near is not None else ([KEEP] * n, [""] * n)
-        padded = "^" + text + "$$"
-        size = min(n, 8)
-        out = np.empty((n, WIDTH), dtype=np.int32)
-        base = (get("w", known), get("wn", known, near_known), get("ws", known, size), get("j", joined, mark))
-        shapes = "".join(shape(c) for c in padded)
-        rare = self.rarity(("^^" + text + "$$").lower())
-        least = min(rare)
-        any_odd = any(not c.isalpha() for c in text)
-        digits = any(c.isdigit() for c in text)
-        for i in range(n):
-            c = padded[i + 1]
-            op, new = ops[i], letters[i]
-            edge = "e" if split and i == split - 1 else "h" if split and i < split else "t" if split else "-"
-            out[i, 0] = base[0]
-            out[i, 1] = base[1]
-            out[i, 2] = base[2]
-            out[i, 3] = get("c", c, known)
-            out[i, 4] = get("l", padded[i], c, known[:1])
-            out[i, 5] = get("r", c, padded[i + 2], known[:1])
-            out[i, 6] = get("lr", padded[i : i + 3], known[:1])
-            out[i, 7] = get("o", op, known, near_known)
-            out[i, 8] = get("on", op, c, new, known[:1])
-            out[i, 9] = get("ol", op, size, near_known)
-            out[i, 10] = get("s", shapes[i : i + 3])
-            out[i, 11] = get("e", edge, mark, joined)
-            out[i, 12] = get("ek", edge, mark, known, joined)
-            out[i, 13] = get("x", any_odd, digits, known, op)
-            out[i, 14] = base[3]
-            a, b, d = rare[i], rare[i + 1], rare[i + 2]
-            out[i, 15] = get("g", min(a, b, d), max(a, b, d), known)
-            out[i, 16] = get("g3", a, b, d)
-            out[i, 17] = get("gw", least, known, size)
-            out[i, 18] = get("go", min(a, b, d), op, c, new)
+    def features(self, items: list[Item]) -> tuple[np.ndarray, np.ndarray]:
+        """The feature matrix of all characters, and where each word ends in it."""
+        sizes = np.array([len(i.text) for i in items], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if len(ends) else 0
+        if not n:
+            return np.empty((0, WIDTH), dtype=np.int32), ends
+        lower, shapes = _CASE[0]
+        c = np.frombuffer("".join(i.text for i in items).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        starts = ends - sizes
+        full = sizes > 0
+        heads, tails = starts[full], ends[full] - 1
+        short = np.minimum(c, 0x2FFF)
+        low = lower[short]
+        shift = lambda x, k, edge: self._shifted(x, k, edge, heads, tails)
+        before, after = shift(c, -1, 94), shift(c, 1, 36)
+        l1, l2, r1, r2 = shift(low, -1, 94), shift(low, -2, 94), shift(low, 1, 36), shift(low, 2, 36)
+        rare = [self._rarity(k) for k in (self._key(l2, l1, low), self._key(l1, low, r1), self._key(low, r1, r2))]
+        few, many = np.minimum(np.minimum(rare[0], rare[1]), rare[2]), np.maximum(np.maximum(rare[0], rare[1]), rare[2])
+        per = lambda values: np.repeat(np.array(values, dtype=np.int64), sizes)
+        least = np.zeros(len(items), dtype=np.int64)
+        least[full] = np.minimum.reduceat(few, heads)
+        shape = shapes[short]
+        letter = (shape == 97) | (shape == 65)
+        odd, digits = np.zeros(len(items), dtype=np.int64), np.zeros(len(items), dtype=np.int64)
+        odd[full] = np.maximum.reduceat((~letter).astype(np.int64), heads)
+        digits[full] = np.maximum.reduceat((shape == 57).astype(np.int64), heads)
+        op, new = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        edge = np.zeros(n, dtype=np.int64)
+        for item, at in zip(items, starts.tolist(), strict=True):
+            if item.near is not None and item.near != item.text:
+                o, letters = operations(item.text, item.near)
+                for k, x in enumerate(o):
+                    if x:
+                        op[at + k] = x
+                        new[at + k] = self._name(letters[k])
+            if item.split:
+                edge[at : at + item.split - 1] = 1
+                edge[at + item.split - 1] = 2
+                edge[at + item.split : at + len(item.text)] = 3
+        known = per([self._name(i.known) for i in items])
+        kind = per([self._name(i.known[:1]) for i in items])
+        near = per([self._name(i.near_known) for i in items])
+        joined = per([self._name(i.joined) for i in items])
+        mark = per([i.mark for i in items])
+        size = per(np.minimum(sizes, 8))
+        columns = (
+            (1, known),
+            (2, known, near),
+            (3, known, size),
+            (4, c, known),
+            (5, before, c, kind),
+            (6, c, after, kind),
+            (7, before, c, after, kind),
+            (8, op, known, near),
+            (9, op, c, new, kind),
+            (10, op, size, near),
+            (11, shift(shape, -1, 94), shape, shift(shape, 1, 36)),
+            (12, edge, mark, joined),
+            (13, edge, mark, known, joined),
+            (14, per(odd), per(digits), known, op),
+            (15, joined, mark),
+            (16, few, many, known),
+            (17, *rare),
+            (18, per(least), known, size),
+            (19, few, op, c, new),
+        )
+        return np.stack([feature(*x) for x in columns], axis=1), ends
+
+    @staticmethod
+    def _shifted(x: np.ndarray, k: int, edge: int, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        """The k-th character after each (before, if negative), ``edge`` beyond the ends of its word."""
+        out = x
+        for _ in range(abs(k)):
+            moved = np.empty_like(out)
+            if k > 0:
+                moved[:-1] = out[1:]
+                moved[tails] = edge
+            else:
+                moved[1:] = out[:-1]
+                moved[heads] = edge
+            out = moved
         return out
 
+    def _rarity(self, keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.sizes[at], 0)
+
 
 class Editor:
     """The trained weights; scores all characters of many words at once."""

@@ -258,9 +258,13 @@ def continuations(marks: list[int], code: list[int], hyphenated: list[bool | Non
     """
     out = [-1] * len(marks)
     for i, mark in enumerate(marks):
+        if not mark and (lines[i] is None and not hyphenated[i]):
+            continue
         if code[i] & NUMERIC and surely_furniture(code[i]):
             continue
         j = i + 1
+        if not mark and j < len(marks) and lines[j] == lines[i] and pages[j] == pages[i] and lines[i] is not None:
+            continue
         while j < len(marks) and j - i < 14 and surely_furniture(code[j]):
             j += 1
         if j >= len(marks):

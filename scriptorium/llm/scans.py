@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ from scriptorium.llm import pages as P
 RANGE_BITS = 12
 HALO = 384
 TRAIN_TOKENS = 25_000
-SALTS = 8
+SALTS = 4
 FREQUENT = 4
 NUMERAL = re.compile(r"^[0-9]+([.,/–-][0-9]+)*[º²½¼]?$")
 
@@ -49,31 +50,50 @@ MIXED = re.compile(r"[0-9][^\W\dº]|[^\W\dº][0-9]")
 # Reading the sequences
 
 
-def current_tokens(tokens: DataFrame) -> DataFrame:
-    """One row per token, with its page and line taken from ``token_info`` where it holds them."""
-    info = F.col("token_info")
-    page = F.when(info.startswith("["), F.regexp_extract(info, r"^\[\s*([0-9]{1,8})\s*,", 1)).when(info.startswith("{"), F.regexp_extract(info, r'"page":\s*([0-9]{1,8})', 1))
-    line = F.when(info.startswith("["), F.regexp_extract(info, r",\s*([0-9]{1,8})\s*,\s*[0-9]+\s*\]\s*$", 1)).when(info.startswith("{"), F.regexp_extract(info, r'"line":\s*([0-9]{1,8})', 1))
-    row = F.struct("last_modified", "loaded_at", "gold", "original", "hyphenated", "discarded", page.try_cast("int").alias("page"), line.try_cast("int").alias("line"))
-    return (
-        tokens.where("doc_id IS NOT NULL AND doc_index IS NOT NULL AND original IS NOT NULL AND original <> ''")
-        .groupBy("doc_id", "doc_index")
-        .agg(F.max(row).alias("r"))
-        .select("doc_id", "doc_index", "r.original", "r.gold", "r.hyphenated", "r.discarded", "r.page", "r.line")
+def newest_rows(tokens: DataFrame) -> DataFrame:
+    """The rows with page and line taken from ``token_info``; of the versions of a token that meet in
+    one batch only the newest goes on, so that a token delivered very often is thinned out before
+    any shuffle. The rest is decided where its range is read."""
+
+    def number(info: pa.Array, pattern: str) -> pa.Array:
+        return pc.cast(pc.struct_field(pc.extract_regex(info, pattern), "n"), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("doc_index", "ascending"), ("last_modified", "ascending"), ("loaded_at", "ascending"), ("gold", "ascending")], null_placement="at_start")
+            batch = batch.take(order)
+            if batch.num_rows > 1:
+                doc, index = batch.column("doc_id"), batch.column("doc_index")
+                same = pc.and_(pc.equal(doc[1:], doc[:-1]), pc.equal(index[1:], index[:-1])).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(np.append(~same, True)))
+            info = batch.column("token_info")
+            page = pc.coalesce(number(info, r"^\[\s*(?P<n>[0-9]{1,8})\s*,"), number(info, r'^\{.*"page":\s*(?P<n>[0-9]{1,8})'))
+            line = pc.coalesce(number(info, r"^\[.*,\s*(?P<n>[0-9]{1,8})\s*,\s*[0-9]+\s*\]\s*$"), number(info, r'^\{.*"line":\s*(?P<n>[0-9]{1,8})'))
+            columns = [batch.column(c) for c in ("doc_id", "doc_index", "original", "gold", "hyphenated", "discarded")]
+            yield pa.RecordBatch.from_arrays([*columns, page, line, batch.column("last_modified"), batch.column("loaded_at")], names=NEWEST)
+
+    kept = tokens.where("doc_id IS NOT NULL AND doc_index >= 0 AND original IS NOT NULL AND original <> ''").select(
+        "doc_id", "doc_index", "original", "gold", "hyphenated", "discarded", "token_info", F.col("last_modified").cast("timestamp_ntz").alias("last_modified"), F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at")
     )
+    return kept.mapInArrow(run, "doc_id string, doc_index int, original string, gold string, hyphenated boolean, discarded boolean, page int, line int, last_modified timestamp_ntz, loaded_at timestamp_ntz")
+
+
+NEWEST = ["doc_id", "doc_index", "original", "gold", "hyphenated", "discarded", "page", "line", "last_modified", "loaded_at"]
 
 
 def in_ranges(current: DataFrame, bits: int = RANGE_BITS, halo: int = HALO) -> DataFrame:
-    """The rows of every key range and of its margins, together and in order."""
+    """The rows of every key range and of its margins, together and in order, the newest version of a token last."""
     size = 1 << bits
     block = F.shiftright("doc_index", bits)
     place = F.col("doc_index").bitwiseAND(size - 1)
     targets = F.array_compact(F.array(block, F.when((place < halo) & (block > 0), block - 1), F.when(place >= size - halo, block + 1)))
-    return current.withColumn("block", F.explode(targets)).repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "doc_index")
+    return current.withColumn("block", F.explode(targets)).repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "doc_index", "last_modified", "loaded_at", "gold")
 
 
-READ_SCHEMA = """doc_id string, doc_index int, code int, word string, next string, mark int, follow int,
- labelled boolean, gold_left string, gold_right string, gold_split boolean, discarded boolean, ends_line boolean, shown string"""
+READ_SCHEMA = """doc_id string, doc_index int, code int, word string, next string, mark int, follow int, labelled boolean, gold_left string,
+ gold_right string, gold_split boolean, bad_left boolean, bad_right boolean, discarded boolean, ends int, shown string"""
+READ_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string())
 
 
 def _strip_mark(text: str, mark: int) -> str:
@@ -81,73 +101,100 @@ def _strip_mark(text: str, mark: int) -> str:
     return P.word_key(t[:-1] if mark and len(t) > 1 else t)
 
 
-def read_sequence(rows: list[tuple], first: int, last: int) -> Iterator[tuple]:
+class Spellings(dict):
+    """Visible form, hyphen mark, key and key in plain case of a token; remembered, and emptied when large."""
+
+    def __missing__(self, text: str) -> tuple[str, int, str, str]:
+        if len(self) > 300_000:
+            self.clear()
+        mark = P.mark_of(text)
+        raw = _strip_mark(text, mark)
+        r = (P.visible_form(text) or text, mark, raw, P.plain_case(raw))
+        if len(text) <= 64:
+            self[text] = r
+        return r
+
+
+def read_sequence(rows: list[tuple], first: int, last: int, known: Spellings) -> list[tuple]:
     """Measure one range: rows ``(doc_index, original, gold, hyphenated, discarded, page, line)`` in
     order; only those with index in ``[first, last)`` are given back."""
-    texts = [P.visible_form(r[1]) or r[1] for r in rows]
-    marks = [P.mark_of(r[1]) for r in rows]
-    raw = [_strip_mark(r[1], m) for r, m in zip(rows, marks, strict=True)]
-    pages, lines = [r[5] for r in rows], [r[6] for r in rows]
+    index, originals, golds, hyphenated, discarded, pages, lines = map(list, zip(*rows, strict=True))
+    texts, marks, raw, words = map(list, zip(*[known[t] for t in originals], strict=True))
     code = P.measure(texts, raw, pages, lines)
-    follow = P.continuations(marks, code, [r[3] for r in rows], pages, lines)
-    words = [P.plain_case(k) for k in raw]
-    for i, r in enumerate(rows):
-        if not first <= r[0] < last:
+    follow = P.continuations(marks, code, hyphenated, pages, lines)
+    out = []
+    n = len(rows)
+    for i in range(n):
+        if not first <= index[i] < last:
             continue
         j = follow[i]
-        nxt = words[j] if j >= 0 else ""
-        gold, left, right, split, labelled = r[2], None, None, None, False
+        word, nxt = words[i], words[j] if j >= 0 else ""
+        gold, left, right, split, bad_left, bad_right = golds[i], None, None, None, None, None
         if gold:
             shy = gold.rstrip().endswith(P.SOFT)
-            gold_mark = 0 if shy else P.mark_of(gold)
-            key = P.plain_case(_strip_mark(gold, gold_mark))
-            labelled = True
-            if j >= 0 and not shy and rows[j][2] == "" and len(key) > len(words[i]) + len(nxt) // 2:
-                left, right, split = key, "", True  # the whole word, to be divided against word + next
+            if shy:
+                key = P.plain_case(_strip_mark(gold, 0))
             else:
-                left, split = key, shy if j >= 0 else None
-                if j >= 0 and rows[j][2]:
-                    right = P.plain_case(_strip_mark(rows[j][2], 0))
-        ends = i + 1 < len(rows) and lines[i] is not None and lines[i + 1] is not None and (lines[i] != lines[i + 1] or pages[i] != pages[i + 1])
-        yield (r[0], code[i], words[i], nxt, marks[i], rows[j][0] if j >= 0 else -1, labelled, left, right, split, r[4], ends, texts[i])
+                key = known[gold][3]
+            left = key
+            if j >= 0 and not shy and golds[j] == "" and len(key) > len(word) + len(nxt) // 2:
+                right, split = "", True  # the whole word, to be held against word + next
+                if key != word + nxt:
+                    bad_left, bad_right = not key.startswith(word), not key.endswith(nxt)
+                else:
+                    bad_left = bad_right = False
+            else:
+                split = shy if j >= 0 else None
+                bad_left = key != word
+                if j >= 0 and golds[j]:
+                    right = known[golds[j]][3]
+                    bad_right = right != nxt
+        ends = None
+        if i + 1 < n and lines[i] is not None and lines[i + 1] is not None:
+            ends = int(lines[i] != lines[i + 1] or pages[i] != pages[i + 1])
+        out.append((index[i], code[i], word, nxt, marks[i], index[j] if j >= 0 else -1, bool(gold), left, right, split, bad_left, bad_right, discarded[i], ends, texts[i]))
+    return out
 
 
-def read_ranges(current: DataFrame, bits: int = RANGE_BITS, halo: int = HALO) -> DataFrame:
+def read_ranges(tokens: DataFrame, bits: int = RANGE_BITS, halo: int = HALO) -> DataFrame:
     names = ["doc_id", "block", "doc_index", "original", "gold", "hyphenated", "discarded", "page", "line"]
     out_names = [c.split()[0] for c in READ_SCHEMA.replace("\n", " ").split(",")]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Spellings()
         held: list[tuple] = []
         key: tuple | None = None
         out: list[tuple] = []
 
         def finish() -> None:
             first = key[1] << bits
-            out.extend((key[0], *r) for r in read_sequence(held, first, first + (1 << bits)))
+            doc = key[0]
+            out.extend([(doc, *r) for r in read_sequence(held, first, first + (1 << bits), known)])
 
         def pack() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=out_names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, READ_TYPES, strict=True)], names=out_names)
 
         for batch in batches:
             columns = [batch.column(n).to_pylist() for n in names]
-            for row in zip(*columns, strict=True):
-                here = (row[0], row[1])
-                if here != key:
+            for doc, block, *row in zip(*columns, strict=True):
+                if key is None or doc != key[0] or block != key[1]:
                     if held:
                         finish()
                         if len(out) >= 10_000:
                             yield pack()
-                    held, key = [], here
-                held.append(row[2:])
+                    held, key = [], (doc, block)
+                if held and held[-1][0] == row[0]:
+                    held[-1] = row  # a newer version of the same token
+                else:
+                    held.append(row)
         if held:
             finish()
         if out:
             yield pack()
 
-    return in_ranges(current, bits, halo).select(*names).mapInArrow(run, READ_SCHEMA)
+    return in_ranges(newest_rows(tokens), bits, halo).select(*names).mapInArrow(run, READ_SCHEMA)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -183,7 +230,7 @@ def word_counts(read: DataFrame) -> DataFrame:
 
 # Groups of characters a reader of scans confuses, the first standing for all.
 GROUPS = ("oceaæøåäöéè0d", "irtfsslj1|!5", "nuvyü", "hkb6", "gqp9", "xz2", "b8", "m")
-PAIRS = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "n"), ("li", "h"), ("ce", "æ"), ("in", "m"), ("iu", "m"))
+PAIRS = (("rn", "m"), ("cl", "d"), ("vv", "w"))
 CONFUSED = {ord(c): g[0] for g in reversed(GROUPS) for c in g}
 NOISE = re.compile(r"[^\w]|_")
 
@@ -191,7 +238,7 @@ NOISE = re.compile(r"[^\w]|_")
 def rough(text: str) -> str:
     """A spelling in which confusable characters are one."""
     t = NOISE.sub("", text.lower()) or text
-    for pair, one in PAIRS[:3]:
+    for pair, one in PAIRS:
         t = t.replace(pair, one)
     return t.translate(CONFUSED)
 
@@ -225,31 +272,6 @@ def _variants(df: DataFrame, role: str) -> DataFrame:
     return df.select("text", F.col("weight").cast("long").alias("weight")).mapInArrow(run, "v string, t string, n bigint").select(F.xxhash64("v").alias("v"), F.col("t").alias(role), F.col("n").alias(f"{role}_n"))
 
 
-def distance(a: str, b: str, most: int = 4) -> int:
-    """Edit distance with a few two-for-one confusions at the price of one, given up beyond ``most``."""
-    la, lb = len(a), len(b)
-    if abs(la - lb) > most:
-        return most + 1
-    before2: list[int] = []
-    before = list(range(lb + 1))
-    for i in range(1, la + 1):
-        row = [i] + [0] * lb
-        ca = a[i - 1]
-        for j in range(1, lb + 1):
-            d = before[j - 1] + (ca != b[j - 1])
-            d = min(d, before[j] + 1, row[j - 1] + 1)
-            if j > 1 and (b[j - 2 : j], ca) in _TWO:
-                d = min(d, before[j - 2] + 1)
-            if i > 1 and (a[i - 2 : i], b[j - 1]) in _TWO:
-                d = min(d, before2[j - 1] + 1)
-            row[j] = d
-        before2, before = before, row
-    return before[lb]
-
-
-_TWO = {(pair, one) for pair, one in (*PAIRS, ("ii", "ä"), ("ii", "ü"), ("oe", "œ"), ("ri", "n"))}
-
-
 def neighbours(words: DataFrame) -> DataFrame:
     """``(text, near, near_n, near_dict, gap)``: the likeliest word a word outside the dictionary may stand for.
 
@@ -260,16 +282,9 @@ def neighbours(words: DataFrame) -> DataFrame:
     base = lexicon.select("text", (F.col("n") * 2 + F.col("in_dict").cast("long")).alias("weight")).where("length(text) > 1")
     asked = words.where("NOT in_dict AND NOT text RLIKE '^[0-9.,/]+$' AND length(text) > 1").select("text", F.col("n").alias("weight"))
     pairs = _variants(asked, "text").join(_variants(base, "near"), "v").where("text <> near").select("text", "near", "text_n", "near_n")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("text").to_pylist(), batch.column("near").to_pylist()
-            d = [distance(x, y) for x, y in zip(a, b, strict=True)]
-            limit = [1 if len(x) < 4 else 2 if len(x) < 7 else 3 if len(x) < 11 else 4 for x in a]
-            keep = pa.array([x <= y for x, y in zip(d, limit, strict=True)])
-            yield batch.append_column("gap", pa.array(d, pa.int32())).filter(keep)
-
-    scored = pairs.distinct().mapInArrow(run, "text string, near string, text_n bigint, near_n bigint, gap int")
+    size = F.length("text")
+    limit = F.when(size < 4, 1).when(size < 7, 2).when(size < 11, 3).otherwise(4)
+    scored = pairs.withColumn("gap", F.levenshtein("text", "near")).where(F.col("gap") <= limit)
     in_dict = F.pmod("near_n", F.lit(2)) == 1
     # A word is no reading of one much rarer than itself, unless the dictionary holds that one.
     likely = scored.where(in_dict | (F.shiftright("near_n", 1) > F.col("text_n") * 2))
@@ -303,22 +318,26 @@ def known_of(text: str, n: int, same: int, changed: int, spread: bool, in_dict:
     return f"{trust}{bucket(n)}{'s' if spread else ''}"
 
 
-def unit_features(f: E.Featurizer, u: dict, joined_form: bool, own_same: int = 0, own_changed: int = 0) -> tuple[np.ndarray, int, str]:
-    """Features of a unit, taken as one broken word or as its first word alone; the length of the
-    first half; and the text. ``own_*`` is what a training token itself added to the counts of
-    corrections, to be left out."""
+def unit_item(u: dict, joined_form: bool, own_same: int = 0, own_changed: int = 0) -> E.Item:
+    """A unit as the editor sees it, taken as one broken word or as its first word alone. ``own_*``
+    is what a training token itself added to the counts of corrections, to be left out."""
     word, nxt, mark = u["word"], u["next"], u["mark"]
     left = known_of(word, u["l_n"] or 0, max(0, (u["l_same"] or 0) - own_same), max(0, (u["l_changed"] or 0) - own_changed), bool(u["l_spread"]), bool(u["l_dict"]))
     if not joined_form:
-        near = f"{'D' if u['l_near_dict'] else 'f'}{u['l_gap']}{min(6, bucket((u['l_near_n'] or 0) // max(1, u['l_n'] or 1)))}" if u["l_near"] is not None else "-"
-        return f.word(word, 0, mark, left, u["l_near"], near, "-"), 0, word
-    text = word + nxt
-    both = known_of(text, u["j_n"] or 0, max(0, (u["j_same"] or 0) - own_same), u["j_changed"] or 0, bool(u["j_spread"]), bool(u["j_dict"]))
-    near = f"{'D' if u['j_near_dict'] else 'f'}{u['j_gap']}{min(6, bucket((u['j_near_n'] or 0) // max(1, u['j_n'] or 1)))}" if u["j_near"] is not None else "-"
+        return E.Item(word, 0, mark, left, u["l_near"], near_of(u, "l"), "-")
+    both = known_of(word + nxt, u["j_n"] or 0, max(0, (u["j_same"] or 0) - own_same), u["j_changed"] or 0, bool(u["j_spread"]), bool(u["j_dict"]))
+    near = near_of(u, "j")
     right = known_of(nxt, u["r_n"] or 0, u["r_same"] or 0, u["r_changed"] or 0, bool(u["r_spread"]), bool(u["r_dict"]))
     common = lambda k: k == "D" or k[:1] == "3" or k[:1] == "2"
     joined = f"{'D' if both == 'D' else 'n' if near != '-' else 'o' if common(both) else '-'}{'K' if common(left) else '-'}{'K' if common(right) else '-'}{'c' if (u['r_n'] or 0) > 200 else '-'}{u['ends']}"
-    return f.word(text, len(word), mark, both, u["j_near"], near, joined), len(word), text
+    return E.Item(word + nxt, len(word), mark, both, u["j_near"], near, joined)
+
+
+def near_of(u: dict, side: str) -> str:
+    """A short description of the neighbour of a word."""
+    if u[f"{side}_near"] is None:
+        return "-"
+    return f"{'D' if u[f'{side}_near_dict'] else 'f'}{u[f'{side}_gap']}{min(6, bucket((u[f'{side}_near_n'] or 0) // max(1, u[f'{side}_n'] or 1)))}"
 
 
 def units_with_lexicon(units: DataFrame, words: DataFrame, near: DataFrame) -> DataFrame:
@@ -352,16 +371,20 @@ def target_operations(text: str, split: int, row: dict) -> np.ndarray:
 
 
 def train_editor(sample: list[dict], grams: dict[str, int]) -> E.Editor | None:
-    f, data = E.Featurizer(grams), []
+    items, targets = [], []
     for r in sample:
         split_gold = bool(r["gold_split"])
         same = int(r["gold_left"] == (r["word"] + r["next"] if split_gold and r["gold_right"] == "" else r["word"]))
         changed = (1 - same) * (not split_gold)
         for joined_form in {bool(r["next"]), split_gold}:
-            x, split, text = unit_features(f, r, joined_form, own_same=same, own_changed=changed)
-            if text:
-                data.append((x, target_operations(text, split, r)))
-    return E.train(data) if data else None
+            item = unit_item(r, joined_form, own_same=same, own_changed=changed)
+            if item.text:
+                items.append(item)
+                targets.append(target_operations(item.text, item.split, r))
+    if not items:
+        return None
+    x, ends = E.Featurizer(grams).features(items)
+    return E.train([(x[end - len(t) : end], t) for t, end in zip(targets, ends.tolist(), strict=True)])
 
 
 def repaired(text: str, scores: np.ndarray, near: str | None) -> str:
@@ -386,34 +409,38 @@ def edit_units(units: DataFrame, model: E.Editor | None, grams: dict[str, int])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, m = E.Featurizer(shared.value[1]), E.Editor(shared.value[0])
 
-        def scored(part: list[dict], joined_form: bool) -> Iterator[tuple[dict, np.ndarray, int, str]]:
-            made = [unit_features(f, r, joined_form) for r in part]
-            if not made:
-                return
-            scores = m.scores(np.concatenate([x for x, _, _ in made]))
-            ends = np.cumsum([len(x) for x, _, _ in made])
-            for r, (x, split, text), end in zip(part, made, ends, strict=True):
-                yield r, scores[end - len(x) : end], split, text
+        def scored(part: list[dict], joined_form: bool) -> Iterator[tuple[dict, np.ndarray, E.Item]]:
+            items = [unit_item(r, joined_form) for r in part]
+            x, ends = f.features(items)
+            scores = m.scores(x)
+            for r, item, end in zip(part, items, ends.tolist(), strict=True):
+                yield r, scores[end - len(item.text) : end], item
 
         for batch in batches:
             rows = batch.to_pylist()
-            for at in range(0, len(rows), 2000):
-                part = rows[at : at + 2000]
-                out, alone = [], [r for r in part if not r["next"]]
+            for at in range(0, len(rows), 4000):
+                part = rows[at : at + 4000]
+                out = []
+                # Without a mark a join needs a joined form that is known or near a known one.
+                pairs = [r for r in part if r["next"] and (r["mark"] or r["j_n"] or r["j_dict"] or r["j_near"] is not None)]
                 m_join: dict[int, float] = {}
-                for r, s, split, text in scored([r for r in part if r["next"]], True):
+                for r, s, item in scored(pairs, True):
+                    split = item.split
                     join = float(s[split - 1, E.JOIN] - s[split - 1, E.KEEP])
+                    m_join[r["uid"]] = join
                     if join <= JOIN_ABOVE:
-                        m_join[r["uid"]] = join
-                        alone.append(r)
                         continue
                     margin = s[:, 1:4].max(axis=1) - s[:, 0]
                     margin[split - 1] = min(margin[split - 1], s[split - 1, 1:4].max() - s[split - 1, E.JOIN])
-                    left, right = float(margin[:split].max()), float(margin[split:].max())
-                    out.append((r["uid"], True, join, left, right, repaired(text, s, r["j_near"])))
-                for r, s, _, text in scored(alone, False):
-                    margin = s[:, 1:4].max(axis=1) - s[:, 0]
-                    out.append((r["uid"], False, m_join.get(r["uid"], -99.0), float(margin.max()), -99.0, repaired(text, s, r["l_near"])))
+                    out.append((r["uid"], True, join, float(margin[:split].max()), float(margin[split:].max()), repaired(item.text, s, r["j_near"])))
+                alone = [r for r in part if m_join.get(r["uid"], -99.0) <= JOIN_ABOVE]
+                distinct = {(r["word"], r["mark"]): r for r in alone}
+                single = {}
+                for r, s, item in scored(list(distinct.values()), False):
+                    single[r["word"], r["mark"]] = (float((s[:, 1:4].max(axis=1) - s[:, 0]).max()), repaired(item.text, s, r["l_near"]))
+                for r in alone:
+                    margin, text = single[r["word"], r["mark"]]
+                    out.append((r["uid"], False, m_join.get(r["uid"], -99.0), margin, -99.0, text))
                 types = (pa.int64(), pa.bool_(), pa.float32(), pa.float32(), pa.float32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in EDIT_SCHEMA.split(", ")])
 
@@ -488,8 +515,7 @@ def letter_groups(words: DataFrame, most: int = 60_000) -> dict[str, int]:
 
 def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS) -> tuple[DataFrame, DataFrame]:
     """``(read, edits)``: the measured tokens with ``uid, is_header, is_pageno``, and per ``uid`` the edits."""
-    ends = F.col("ends_line").cast("int")
-    read = stage_table(read_ranges(current_tokens(tokens)).withColumn("ends", ends).withColumn("uid", F.xxhash64("word", "next", "mark", "ends")), "read")
+    read = stage_table(read_ranges(tokens).withColumn("uid", F.xxhash64("word", "next", "mark", "ends")), "read")
     headers, numbers = furniture_codes(read)
     listed = lambda codes: F.col("code").isin(codes) if codes else F.lit(False)
     words = word_counts(read).join(dictionary_keys(dict_words).withColumn("in_dict", F.lit(True)), "text", "full_outer")
@@ -506,33 +532,34 @@ def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int
     return read.withColumns({"is_header": listed(headers), "is_pageno": listed(numbers)}), edits
 
 
-# Margins above which a word is misread: without correction, and where a corrector left it or changed it.
-EDIT_ABOVE, SAME_ABOVE, CHANGED_ABOVE = -5.0, 2.0, -60.0
+# Margins above which a word is misread: without correction, and where a corrector left it.
+EDIT_ABOVE, SAME_ABOVE = -5.0, 2.0
 
 
 def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS) -> DataFrame:
-    """``(doc_id, doc_index, kind)``: header, pageno, split, misread; a token once for each kind."""
+    """``(doc_id, doc_index, kind)``: header, pageno, split, misread; a token once for each kind.
+
+    Where a corrector changed a word it was misread; where one left it, the editor needs a wider
+    margin. The second half of a broken word is judged as part of it.
+    """
     read, edits = repaired_tokens(tokens, dict_words, train_tokens)
-    edits = stage_table(edits.where(f"joins OR m_left > {CHANGED_ABOVE} OR m_right > {CHANGED_ABOVE}").drop("repaired"), "edits")
+    edits = stage_table(edits.where(f"joins OR m_left > {EDIT_ABOVE}").drop("repaired", "m_join"), "edits")
     salted = edits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = read.withColumn("salt", F.pmod("doc_index", F.lit(SALTS))).join(salted, ["uid", "salt"])
-    changed = F.when(F.col("labelled") & ~F.coalesce("gold_split", F.lit(False)), F.col("gold_left") != F.col("word")).when(
-        F.col("labelled") & F.col("gold_split") & (F.col("gold_right") == ""), F.col("gold_left") != whole(F.col("word"), F.col("next"))
+    hit = read.where("word <> ''").select("doc_id", "doc_index", "uid", "follow", "bad_left", "bad_right", "is_pageno").withColumn("salt", F.pmod("doc_index", F.lit(SALTS))).join(salted, ["uid", "salt"])
+    judged = lambda bad, margin: bad | (F.col(margin) > F.when(bad.isNull(), F.lit(EDIT_ABOVE)).otherwise(F.lit(SAME_ABOVE)))
+    joins = F.col("joins") & ~F.col("is_pageno")
+    case = lambda index, kind, tail, holds: F.struct(index.alias("doc_index"), F.lit(kind).alias("kind"), F.lit(tail).alias("tail"), F.coalesce(holds, F.lit(False)).alias("holds"))
+    cases = F.array(
+        case(F.col("doc_index"), "misread", 0, judged(F.col("bad_left"), "m_left")),
+        F.when(joins, case(F.col("doc_index"), "split", 0, F.lit(True))),
+        F.when(joins, case(F.col("follow"), "misread", 1, judged(F.col("bad_right"), "m_right"))),
     )
-    bound = F.when(changed, F.lit(CHANGED_ABOVE)).when(~changed, F.lit(SAME_ABOVE)).otherwise(F.lit(EDIT_ABOVE))
-    own = hit.select("doc_id", "doc_index", F.lit(0).alias("tail"), (F.col("m_left") > bound).alias("bad"))
-    tail = hit.where("joins AND NOT is_pageno").select("doc_id", F.col("follow").alias("doc_index"), F.lit(1).alias("tail"), (F.col("m_right") > bound).alias("bad"))
-    misread = own.unionByName(tail).groupBy("doc_id", "doc_index").agg(F.max(F.struct("tail", "bad")).alias("b")).where("b.bad")
-    kinds = [
-        read.where("is_header").select("doc_id", "doc_index", F.lit("header").alias("kind")),
-        read.where("is_pageno").select("doc_id", "doc_index", F.lit("pageno").alias("kind")),
-        hit.where("joins AND NOT is_pageno").select("doc_id", "doc_index", F.lit("split").alias("kind")),
-        misread.select("doc_id", "doc_index", F.lit("misread").alias("kind")),
-    ]
-    out = kinds[0]
-    for k in kinds[1:]:
-        out = out.unionByName(k)
-    return out.distinct()
+    changed = read.where("bad_left").select("doc_id", case(F.col("doc_index"), "misread", 0, F.lit(True)).alias("c"))
+    furniture = read.where("is_header OR is_pageno").select("doc_id", case(F.col("doc_index"), "", 0, F.lit(True)).withField("kind", F.when(F.col("is_header"), "header").otherwise("pageno")).alias("c"))
+    every = hit.select("doc_id", F.explode(F.array_compact(cases)).alias("c")).unionByName(changed).unionByName(furniture)
+    # The verdict on the second half of a broken word goes before that on the token alone.
+    strength = F.col("c.tail") * 2 + F.col("c.holds").cast("int")
+    return every.groupBy("doc_id", "c.doc_index", "c.kind").agg(F.max(strength).alias("s")).where("s % 2 = 1").select("doc_id", "doc_index", "kind")
 
 
 def paragraphs(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS) -> DataFrame:
