@@ -70,8 +70,14 @@ def map_look_alikes(text: str) -> str:
 _SINGLE = {ord(k): v for k, v in {**LATIN, **HYPHENS}.items()}
 
 
+#: Characters that are their own visible form.
+SETTLED = re.compile("[!-~À-ÖØ-öø-ÿ–—]+")
+
+
 def visible_form(text: str) -> str:
     """The text with variants replaced by the usual characters, its case kept."""
+    if SETTLED.fullmatch(text):
+        return text
     if text.isascii():
         return BLANKS.sub(" ", text).strip(" ")
     text = IGNORABLE.sub("", text)

@@ -30,7 +30,12 @@ BITS = 12
 
 def word_key(text: str) -> str:
     """The word compared: the visible form without soft hyphens, outer punctuation and long s."""
-    t = visible_form(text).replace(SOFT, "").replace("ſ", "s")
+    return bare_key(visible_form(text))
+
+
+def bare_key(visible: str) -> str:
+    """``word_key`` of a visible form."""
+    t = visible.replace(SOFT, "").replace("ſ", "s")
     return t.strip(OUTER) or t
 
 
@@ -68,7 +73,18 @@ def close(a: str, b: str) -> bool:
     """Whether two words are the same but for some misread characters."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 3:
+    most, least = max(len(a), len(b)), min(len(a), len(b))
+    if most - least > 2 or least < 3:
+        return False
+    front = 0
+    while front < least and a[front] == b[front]:
+        front += 1
+    back = 0
+    while back < least - front and a[-1 - back] == b[-1 - back]:
+        back += 1
+    if (front + back) * 2 >= most:
+        return True
+    if (not front and not back) or len(set(a) & set(b)) * 2 < most:
         return False
     return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.65
 
@@ -244,7 +260,10 @@ NO_MARK, HYPHEN, SOFT_MARK = 0, 1, 2
 
 def mark_of(text: str) -> int:
     """Which hyphen mark a token ends in: none, a hyphen a word may itself end in, or a soft one."""
-    t = visible_form(text.replace(SOFT, "¬"))
+    return mark_of_visible(visible_form(text.replace(SOFT, "¬") if SOFT in text else text))
+
+
+def mark_of_visible(t: str) -> int:
     if len(t) < 2 or t[-1] not in HYPHEN_MARKS or FRAMED.match(t) or ORNAMENT.match(t):
         return NO_MARK
     return HYPHEN if t[-1] == "-" else SOFT_MARK

@@ -42,6 +42,7 @@ HALO = 384
 TRAIN_TOKENS = 25_000
 SALTS = 4
 FREQUENT = 4
+ROUNDS, SEEDS = 8, (7, 11)
 NUMERAL = re.compile(r"^[0-9]+([.,/–-][0-9]+)*[º²½¼]?$")
 
 MIXED = re.compile(r"[0-9][^\W\dº]|[^\W\dº][0-9]")
@@ -96,9 +97,13 @@ READ_SCHEMA = """doc_id string, doc_index int, code int, word string, next strin
 READ_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string())
 
 
-def _strip_mark(text: str, mark: int) -> str:
-    t = P.visible_form(text.replace(P.SOFT, "¬" if mark else ""))
-    return P.word_key(t[:-1] if mark and len(t) > 1 else t)
+def _spelling(text: str) -> tuple[str, int, str, str]:
+    visible = P.visible_form(text)
+    soft = P.SOFT in text
+    marked = P.visible_form(text.replace(P.SOFT, "¬")) if soft else visible
+    mark = P.mark_of_visible(marked)
+    raw = P.bare_key(marked[:-1].replace("¬", "") if mark else visible)
+    return visible or text, mark, raw, P.plain_case(raw)
 
 
 class Spellings(dict):
@@ -107,9 +112,7 @@ class Spellings(dict):
     def __missing__(self, text: str) -> tuple[str, int, str, str]:
         if len(self) > 300_000:
             self.clear()
-        mark = P.mark_of(text)
-        raw = _strip_mark(text, mark)
-        r = (P.visible_form(text) or text, mark, raw, P.plain_case(raw))
+        r = _spelling(text)
         if len(text) <= 64:
             self[text] = r
         return r
@@ -132,10 +135,7 @@ def read_sequence(rows: list[tuple], first: int, last: int, known: Spellings) ->
         gold, left, right, split, bad_left, bad_right = golds[i], None, None, None, None, None
         if gold:
             shy = gold.rstrip().endswith(P.SOFT)
-            if shy:
-                key = P.plain_case(_strip_mark(gold, 0))
-            else:
-                key = known[gold][3]
+            key = known[gold][3]
             left = key
             if j >= 0 and not shy and golds[j] == "" and len(key) > len(word) + len(nxt) // 2:
                 right, split = "", True  # the whole word, to be held against word + next
@@ -213,18 +213,15 @@ def whole(word: Column, nxt: Column) -> Column:
 
 def word_counts(read: DataFrame) -> DataFrame:
     """``(text, n, n_same, n_changed, spread)`` of every word and of every joined form behind a mark."""
-    same = F.col("labelled") & (F.col("gold_left") == F.col("word"))
-    alone = read.where("mark = 0").select(
-        F.lower("word").alias("text"), F.lit(1).alias("n"), same.cast("int").alias("same"), (F.col("labelled") & ~same & ~F.coalesce("gold_split", F.lit(False))).cast("int").alias("changed"), "doc_id"
-    )
-    joined_same = F.col("labelled") & F.coalesce("gold_split", F.lit(False)) & (F.col("gold_left") == whole(F.col("word"), F.col("next")))
-    joined = read.where("mark > 0 AND next <> ''").select(
-        F.lower(whole(F.col("word"), F.col("next"))).alias("text"), F.lit(1).alias("n"), joined_same.cast("int").alias("same"), F.lit(0).alias("changed"), "doc_id"
-    )
+    alone = F.col("mark") == 0
+    text = F.when(alone, F.col("word")).when(F.col("next") != "", whole(F.col("word"), F.col("next")))
+    split = F.coalesce("gold_split", F.lit(False))
+    same = F.when(alone, F.col("gold_left") == F.col("word")).otherwise(split & (F.col("gold_left") == text))
     return (
-        alone.unionByName(joined)
+        read.select(F.lower(text).alias("text"), same.alias("same"), (alone & ~same & ~split).alias("changed"), "doc_id")
+        .where("text <> ''")
         .groupBy("text")
-        .agg(F.count("*").alias("n"), F.sum("same").alias("n_same"), F.sum("changed").alias("n_changed"), (F.min("doc_id") != F.max("doc_id")).alias("spread"))
+        .agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"), F.count_if("changed").alias("n_changed"), (F.min("doc_id") != F.max("doc_id")).alias("spread"))
     )
 
 
@@ -340,8 +337,22 @@ def near_of(u: dict, side: str) -> str:
     return f"{'D' if u[f'{side}_near_dict'] else 'f'}{u[f'{side}_gap']}{min(6, bucket((u[f'{side}_near_n'] or 0) // max(1, u[f'{side}_n'] or 1)))}"
 
 
-def units_with_lexicon(units: DataFrame, words: DataFrame, near: DataFrame) -> DataFrame:
-    """Join what is known of the word, of the word and its continuation, and of the continuation."""
+def unit_id(word: Column, nxt: Column, mark: Column, ends: Column) -> Column:
+    return F.xxhash64(word, nxt, mark, ends)
+
+
+def single_id(word: Column) -> Column:
+    """The id of a word without mark taken alone."""
+    return unit_id(word, F.lit(""), F.lit(0), F.lit(None).cast("int"))
+
+
+def units_with_lexicon(units: DataFrame, words: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(known, plain)``: the units to be edited, joined with what is known of the word, of the word
+    with its continuation, and of the continuation; and ``(uid, single)`` of the pairs that are not.
+
+    Two words of a line end without mark are a pair only if their joined form is a word somewhere;
+    the others stand for their first word alone.
+    """
     stats = stage_table(words.join(near, "text", "left"), "lexicon")
 
     def side(prefix: str, with_near: bool) -> DataFrame:
@@ -349,9 +360,15 @@ def units_with_lexicon(units: DataFrame, words: DataFrame, near: DataFrame) -> D
         return stats.select(F.col("text").alias(f"{prefix}_text"), *[F.col(k).alias(f"{prefix}_{v}") for k, v in names.items()])
 
     u = units.withColumns({"l_text": F.lower("word"), "j_text": F.when(F.col("next") != "", F.lower(whole(F.col("word"), F.col("next")))), "r_text": F.when(F.col("next") != "", F.lower("next"))})
-    single = u.where("next = ''").join(side("l", True), "l_text", "left")
-    double = u.where("next <> ''").join(side("l", True), "l_text", "left").join(side("j", True), "j_text", "left").join(side("r", False), "r_text", "left")
-    return single.unionByName(double, allowMissingColumns=True).drop("l_text", "j_text", "r_text")
+    bare = u.where("mark = 0 AND next <> ''")
+    matched = bare.join(stats.select(F.col("text").alias("j_text")), "j_text", "left_semi")
+    plain = bare.join(stats.select(F.col("text").alias("j_text")), "j_text", "left_anti").select("uid", single_id(F.col("word")).alias("single"))
+    alone = u.where("mark > 0 AND next = ''").select("uid", "word", "next", "mark", "ends", "l_text")
+    first = u.where("mark = 0").select(single_id(F.col("word")).alias("uid"), "word", F.lit("").alias("next"), F.lit(0).alias("mark"), F.lit(None).cast("int").alias("ends"), "l_text").distinct()
+    single = alone.unionByName(first).join(side("l", True), "l_text", "left")
+    double = u.where("mark > 0 AND next <> ''").unionByName(matched).select("uid", *UNIT, "l_text", "j_text", "r_text")
+    double = double.join(side("j", True), "j_text", "left").join(side("l", True), "l_text", "left").join(side("r", False), "r_text", "left")
+    return single.unionByName(double, allowMissingColumns=True).drop("l_text", "j_text", "r_text"), plain
 
 
 def target_operations(text: str, split: int, row: dict) -> np.ndarray:
@@ -384,7 +401,9 @@ def train_editor(sample: list[dict], grams: dict[str, int]) -> E.Editor | None:
     if not items:
         return None
     x, ends = E.Featurizer(grams).features(items)
-    return E.train([(x[end - len(t) : end], t) for t, end in zip(targets, ends.tolist(), strict=True)])
+    data = [(x[end - len(t) : end], t) for t, end in zip(targets, ends.tolist(), strict=True)]
+    # The order of training moves the result; the mean of two orders moves less.
+    return E.Editor(sum(E.train(data, ROUNDS, seed).weights for seed in SEEDS) / len(SEEDS))
 
 
 def repaired(text: str, scores: np.ndarray, near: str | None) -> str:
@@ -421,8 +440,7 @@ def edit_units(units: DataFrame, model: E.Editor | None, grams: dict[str, int])
             for at in range(0, len(rows), 4000):
                 part = rows[at : at + 4000]
                 out = []
-                # Without a mark a join needs a joined form that is known or near a known one.
-                pairs = [r for r in part if r["next"] and (r["mark"] or r["j_n"] or r["j_dict"] or r["j_near"] is not None)]
+                pairs = [r for r in part if r["next"]]
                 m_join: dict[int, float] = {}
                 for r, s, item in scored(pairs, True):
                     split = item.split
@@ -513,9 +531,11 @@ def letter_groups(words: DataFrame, most: int = 60_000) -> dict[str, int]:
     return {r.g: r.n for r in counts.orderBy(F.desc("n"), "g").limit(most).collect()}
 
 
-def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """``(read, edits)``: the measured tokens with ``uid, is_header, is_pageno``, and per ``uid`` the edits."""
-    read = stage_table(read_ranges(tokens).withColumn("uid", F.xxhash64("word", "next", "mark", "ends")), "read")
+def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(read, edits, plain)``: the measured tokens with ``uid, is_header, is_pageno``, the edits per
+    ``uid``, and the units that have those of another."""
+    paired = F.when(F.col("next") != "", F.col("ends"))
+    read = stage_table(read_ranges(tokens).withColumn("ends", paired).withColumn("uid", unit_id(F.col("word"), F.col("next"), F.col("mark"), F.col("ends"))), "read")
     headers, numbers = furniture_codes(read)
     listed = lambda codes: F.col("code").isin(codes) if codes else F.lit(False)
     words = word_counts(read).join(dictionary_keys(dict_words).withColumn("in_dict", F.lit(True)), "text", "full_outer")
@@ -523,17 +543,28 @@ def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int
         words.select("text", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_same", "n_changed")], F.coalesce("spread", F.lit(False)).alias("spread"), F.coalesce("in_dict", F.lit(False)).alias("in_dict")),
         "words",
     )
-    units = read.where("word <> ''").groupBy("uid", *UNIT).agg(F.count("*").alias("n_tokens"))
-    known = stage_table(units_with_lexicon(units, words, neighbours(words)), "units")
-    sample = _train_sample(read, train_tokens).select("uid", "gold_left", "gold_right", "gold_split")
-    rows = [r.asDict() for r in sample.join(known, "uid").orderBy(F.xxhash64("uid", "gold_left"), "uid", "gold_left").collect()]
+    units = read.where("word <> ''").select("uid", *UNIT).distinct()
+    known, plain = units_with_lexicon(units, words, neighbours(words))
+    known = stage_table(known, "units")
+    # The sample is bounded by ``train_tokens``: it is sent to the units, not they to it.
+    sample = _train_sample(read, train_tokens).select("uid", "gold_left", "gold_right", "gold_split", F.when((F.col("mark") == 0) & (F.col("next") != "") & ~F.coalesce("gold_split", F.lit(False)), single_id(F.col("word"))).alias("single"))
+    sample = stage_table(sample, "sample")
+    labels = ("gold_left", "gold_right", "gold_split")
+    chosen = known.join(F.broadcast(sample.select("uid", *labels)), "uid").unionByName(known.join(F.broadcast(sample.where("single IS NOT NULL").select(F.col("single").alias("uid"), *labels)), "uid"))
+    rows = [r.asDict() for r in chosen.orderBy(F.xxhash64("uid", "gold_left"), "uid", "gold_left", "gold_right", "gold_split").collect()]
     grams = letter_groups(words)
     edits = edit_units(known, train_editor(rows, grams), grams)
-    return read.withColumns({"is_header": listed(headers), "is_pageno": listed(numbers)}), edits
+    return read.withColumns({"is_header": listed(headers), "is_pageno": listed(numbers)}), edits, plain
+
+
+def for_all_units(edits: DataFrame, plain: DataFrame) -> DataFrame:
+    """Edits of the pairs that stand for their first word alone, beside the others."""
+    copies = edits.where("NOT joins").withColumnRenamed("uid", "single").join(plain, "single").drop("single")
+    return edits.unionByName(copies)
 
 
 # Margins above which a word is misread: without correction, and where a corrector left it.
-EDIT_ABOVE, SAME_ABOVE = -5.0, 2.0
+EDIT_ABOVE, SAME_ABOVE = -2.0, 8.0
 
 
 def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS) -> DataFrame:
@@ -542,9 +573,9 @@ def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = T
     Where a corrector changed a word it was misread; where one left it, the editor needs a wider
     margin. The second half of a broken word is judged as part of it.
     """
-    read, edits = repaired_tokens(tokens, dict_words, train_tokens)
+    read, edits, plain = repaired_tokens(tokens, dict_words, train_tokens)
     edits = stage_table(edits.where(f"joins OR m_left > {EDIT_ABOVE}").drop("repaired", "m_join"), "edits")
-    salted = edits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = for_all_units(edits, plain).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hit = read.where("word <> ''").select("doc_id", "doc_index", "uid", "follow", "bad_left", "bad_right", "is_pageno").withColumn("salt", F.pmod("doc_index", F.lit(SALTS))).join(salted, ["uid", "salt"])
     judged = lambda bad, margin: bad | (F.col(margin) > F.when(bad.isNull(), F.lit(EDIT_ABOVE)).otherwise(F.lit(SAME_ABOVE)))
     joins = F.col("joins") & ~F.col("is_pageno")
@@ -554,9 +585,8 @@ def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = T
         F.when(joins, case(F.col("doc_index"), "split", 0, F.lit(True))),
         F.when(joins, case(F.col("follow"), "misread", 1, judged(F.col("bad_right"), "m_right"))),
     )
-    changed = read.where("bad_left").select("doc_id", case(F.col("doc_index"), "misread", 0, F.lit(True)).alias("c"))
-    furniture = read.where("is_header OR is_pageno").select("doc_id", case(F.col("doc_index"), "", 0, F.lit(True)).withField("kind", F.when(F.col("is_header"), "header").otherwise("pageno")).alias("c"))
-    every = hit.select("doc_id", F.explode(F.array_compact(cases)).alias("c")).unionByName(changed).unionByName(furniture)
+    direct = F.array_compact(F.array(F.when(F.col("bad_left"), case(F.col("doc_index"), "misread", 0, F.lit(True))), F.when(F.col("is_header"), case(F.col("doc_index"), "header", 0, F.lit(True))), F.when(F.col("is_pageno"), case(F.col("doc_index"), "pageno", 0, F.lit(True)))))
+    every = hit.select("doc_id", F.explode(F.array_compact(cases)).alias("c")).unionByName(read.where("bad_left OR is_header OR is_pageno").select("doc_id", F.explode(direct).alias("c")))
     # The verdict on the second half of a broken word goes before that on the token alone.
     strength = F.col("c.tail") * 2 + F.col("c.holds").cast("int")
     return every.groupBy("doc_id", "c.doc_index", "c.kind").agg(F.max(strength).alias("s")).where("s % 2 = 1").select("doc_id", "doc_index", "kind")
@@ -569,9 +599,10 @@ def paragraphs(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRA
     A corrector's reading of a broken word is used where there is one. Pieces have at most half a
     thousand tokens, so no document, however long, is put together in one value.
     """
-    read, edits = repaired_tokens(tokens, dict_words, train_tokens)
+    read, edits, plain = repaired_tokens(tokens, dict_words, train_tokens)
     bound = F.when(F.col("labelled"), F.lit(1e9)).otherwise(F.lit(EDIT_ABOVE))
-    changed = edits.where(f"joins OR m_left > {EDIT_ABOVE}").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    edits = stage_table(edits.where(f"joins OR m_left > {EDIT_ABOVE}"), "edits")
+    changed = for_all_units(edits, plain).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = read.withColumn("salt", F.pmod("doc_index", F.lit(SALTS))).join(changed, ["uid", "salt"], "left")
     joins = F.coalesce("joins", F.lit(False)) & ~F.col("is_pageno")
     own = F.when(F.col("m_left") > bound, F.col("repaired")).otherwise(F.lit(None))
