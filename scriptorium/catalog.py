@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium import problems
+from scriptorium import correction, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**correction.QUERIES, **problems.QUERIES}
+SQL = {**correction.SQL, **problems.SQL}
