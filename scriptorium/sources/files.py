@@ -96,7 +96,8 @@ def reader_for(suffix: str) -> Callable[[SparkSession, str], DataFrame]:
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """``(group_name, word)`` from a folder with one word list per group, or one written by us."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("value").alias("word"), F.col("_metadata.file_path").alias("path"))
-    group = F.coalesce(F.nullif(F.regexp_extract("path", "group_name=([^/]+)/", 1), F.lit("")), X.stem(F.col("path")))
+    # the path is a URI, and the name of a partition folder is escaped before that
+    group = F.coalesce(F.nullif(F.url_decode(F.regexp_extract("path", "group_name=([^/]+)/", 1)), F.lit("")), X.stem(F.col("path")))
     return lines.where("word <> ''").select(F.url_decode(group).alias("group_name"), "word")
 
 
