@@ -41,6 +41,7 @@ RANGE_BITS = 12
 HALO = 384
 TRAIN_TOKENS = 25_000
 SALTS = 4
+BROADCAST_UNITS = 400_000
 FREQUENT = 4
 ROUNDS, SEEDS = 8, (7, 11)
 NUMERAL = re.compile(r"^[0-9]+([.,/–-][0-9]+)*[º²½¼]?$")
@@ -51,45 +52,54 @@ MIXED = re.compile(r"[0-9][^\W\dº]|[^\W\dº][0-9]")
 # Reading the sequences
 
 
-def newest_rows(tokens: DataFrame) -> DataFrame:
-    """The rows with page and line taken from ``token_info``; of the versions of a token that meet in
-    one batch only the newest goes on, so that a token delivered very often is thinned out before
-    any shuffle. The rest is decided where its range is read."""
+NEWEST = ["doc_id", "doc_index", "original", "gold", "hyphenated", "discarded", "page", "line", "last_modified", "loaded_at", "block"]
+NEWEST_SCHEMA = "doc_id string, doc_index int, original string, gold string, hyphenated boolean, discarded boolean, page int, line int, last_modified timestamp_ntz, loaded_at timestamp_ntz, block int"
+
+
+def newest_rows(tokens: DataFrame, bits: int, halo: int) -> DataFrame:
+    """The rows of every key range and of its margins, with page and line taken from ``token_info``.
+
+    Of the versions of a token that meet in one batch only the newest goes on, so that a token
+    delivered very often is thinned out before any shuffle; the rest is decided where its range is
+    read.
+    """
+    size = 1 << bits
 
     def number(info: pa.Array, pattern: str) -> pa.Array:
         return pc.cast(pc.struct_field(pc.extract_regex(info, pattern), "n"), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("doc_index", "ascending"), ("last_modified", "ascending"), ("loaded_at", "ascending"), ("gold", "ascending")], null_placement="at_start")
-            batch = batch.take(order)
-            if batch.num_rows > 1:
+            names = batch.column("doc_id").dictionary_encode().indices.to_numpy().astype("int64")
+            if len(np.unique((names << 32) | batch.column("doc_index").to_numpy())) < batch.num_rows:
+                order = pc.sort_indices(pa.Table.from_batches([batch]), sort_keys=[(c, "ascending") for c in ("doc_id", "doc_index", "last_modified", "loaded_at", "gold")], null_placement="at_start")
+                batch = batch.take(order)
                 doc, index = batch.column("doc_id"), batch.column("doc_index")
                 same = pc.and_(pc.equal(doc[1:], doc[:-1]), pc.equal(index[1:], index[:-1])).to_numpy(zero_copy_only=False)
                 batch = batch.filter(pa.array(np.append(~same, True)))
+            place = batch.column("doc_index").to_numpy()
+            block, inside = place >> bits, place & (size - 1)
+            before, after = np.flatnonzero((inside < halo) & (block > 0)), np.flatnonzero(inside >= size - halo)
+            if len(before) or len(after):
+                batch = batch.take(pa.array(np.concatenate([np.arange(batch.num_rows), before, after])))
+                block = np.concatenate([block, block[before] - 1, block[after] + 1])
             info = batch.column("token_info")
             page = pc.coalesce(number(info, r"^\[\s*(?P<n>[0-9]{1,8})\s*,"), number(info, r'^\{.*"page":\s*(?P<n>[0-9]{1,8})'))
             line = pc.coalesce(number(info, r"^\[.*,\s*(?P<n>[0-9]{1,8})\s*,\s*[0-9]+\s*\]\s*$"), number(info, r'^\{.*"line":\s*(?P<n>[0-9]{1,8})'))
             columns = [batch.column(c) for c in ("doc_id", "doc_index", "original", "gold", "hyphenated", "discarded")]
-            yield pa.RecordBatch.from_arrays([*columns, page, line, batch.column("last_modified"), batch.column("loaded_at")], names=NEWEST)
+            yield pa.RecordBatch.from_arrays([*columns, page, line, batch.column("last_modified"), batch.column("loaded_at"), pa.array(block, pa.int32())], names=NEWEST)
 
     kept = tokens.where("doc_id IS NOT NULL AND doc_index >= 0 AND original IS NOT NULL AND original <> ''").select(
         "doc_id", "doc_index", "original", "gold", "hyphenated", "discarded", "token_info", F.col("last_modified").cast("timestamp_ntz").alias("last_modified"), F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at")
     )
-    return kept.mapInArrow(run, "doc_id string, doc_index int, original string, gold string, hyphenated boolean, discarded boolean, page int, line int, last_modified timestamp_ntz, loaded_at timestamp_ntz")
-
+    return kept.mapInArrow(run, NEWEST_SCHEMA)
 
-NEWEST = ["doc_id", "doc_index", "original", "gold", "hyphenated", "discarded", "page", "line", "last_modified", "loaded_at"]
 
-
-def in_ranges(current: DataFrame, bits: int = RANGE_BITS, halo: int = HALO) -> DataFrame:
-    """The rows of every key range and of its margins, together and in order, the newest version of a token last."""
-    size = 1 << bits
-    block = F.shiftright("doc_index", bits)
-    place = F.col("doc_index").bitwiseAND(size - 1)
-    targets = F.array_compact(F.array(block, F.when((place < halo) & (block > 0), block - 1), F.when(place >= size - halo, block + 1)))
-    return current.withColumn("block", F.explode(targets)).repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "doc_index", "last_modified", "loaded_at", "gold")
+def in_ranges(tokens: DataFrame, bits: int = RANGE_BITS, halo: int = HALO) -> DataFrame:
+    """The rows of every key range and of its margins, together and in order, the newest version of a
+    token last. The order starts with a hash of the range, which compares faster than its name."""
+    rows = newest_rows(tokens, bits, halo).repartition("doc_id", "block")
+    return rows.sortWithinPartitions(F.xxhash64("doc_id", "block"), "doc_index", "last_modified", "loaded_at", "gold")
 
 
 READ_SCHEMA = """doc_id string, doc_index int, code int, word string, next string, mark int, follow int, labelled boolean, gold_left string,
@@ -110,7 +120,7 @@ class Spellings(dict):
     """Visible form, hyphen mark, key and key in plain case of a token; remembered, and emptied when large."""
 
     def __missing__(self, text: str) -> tuple[str, int, str, str]:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         r = _spelling(text)
         if len(text) <= 64:
@@ -194,7 +204,7 @@ def read_ranges(tokens: DataFrame, bits: int = RANGE_BITS, halo: int = HALO) ->
         if out:
             yield pack()
 
-    return in_ranges(newest_rows(tokens), bits, halo).select(*names).mapInArrow(run, READ_SCHEMA)
+    return in_ranges(tokens, bits, halo).select(*names).mapInArrow(run, READ_SCHEMA)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -218,10 +228,10 @@ def word_counts(read: DataFrame) -> DataFrame:
     split = F.coalesce("gold_split", F.lit(False))
     same = F.when(alone, F.col("gold_left") == F.col("word")).otherwise(split & (F.col("gold_left") == text))
     return (
-        read.select(F.lower(text).alias("text"), same.alias("same"), (alone & ~same & ~split).alias("changed"), "doc_id")
+        read.select(F.lower(text).alias("text"), same.alias("same"), (alone & ~same & ~split).alias("changed"), F.xxhash64("doc_id").alias("doc"))
         .where("text <> ''")
         .groupBy("text")
-        .agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"), F.count_if("changed").alias("n_changed"), (F.min("doc_id") != F.max("doc_id")).alias("spread"))
+        .agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"), F.count_if("changed").alias("n_changed"), (F.min("doc") != F.max("doc")).alias("spread"))
     )
 
 
@@ -311,7 +321,8 @@ def known_of(text: str, n: int, same: int, changed: int, spread: bool, in_dict:
     if MIXED.search(text):
         return "M"
     seen = same + changed
-    trust = "?" if not seen else "0" if same * 4 <= seen else "1" if same * 4 < 3 * seen else "2" if seen < 4 else "3"
+    # What occurs often and was never corrected word by word is furniture, printed alike on every page.
+    trust = ("?" if n < 6 else "2") if not seen else "0" if same * 4 <= seen else "1" if same * 4 < 3 * seen else "2" if seen < 4 else "3"
     return f"{trust}{bucket(n)}{'s' if spread else ''}"
 
 
@@ -470,19 +481,17 @@ def edit_units(units: DataFrame, model: E.Editor | None, grams: dict[str, int])
 
 
 def train_furniture(counts: list[tuple[int, int, int]], rounds: int = 30) -> np.ndarray:
-    """Averaged perceptron over position codes ``(code, rows discarded, rows kept)``; pairs of bits
-    are features too. Correctors discard some ordinary words and forget some furniture, so a code
-    counts with its share of discarded rows, against twice the share of all rows."""
+    """Averaged perceptron over position codes ``(code, rows discarded, rows corrected)``; pairs of
+    bits are features too. Correctors discard some ordinary words and forget some furniture, so a
+    code is taken for furniture if they discarded more than three in ten of its rows they handled."""
     w = np.zeros(P.BITS * (P.BITS + 1) // 2 + 1)
     total = np.zeros_like(w)
-    allrows = sum(a + b for _, a, b in counts) or 1
-    base = sum(a for _, a, _ in counts) / allrows
     step = 1
     for _ in range(rounds):
         for code, out, kept in sorted(counts):
             rate = out / max(1, out + kept)
             weight = min(1.0, (out + kept) / 20)
-            want = 1 if rate > max(0.3, 2 * base) else -1
+            want = 1 if rate > 0.3 else -1
             x = furniture_features(code)
             if want * (w[x].sum()) <= 0:
                 w[x] += want * weight
@@ -531,11 +540,11 @@ def letter_groups(words: DataFrame, most: int = 60_000) -> dict[str, int]:
     return {r.g: r.n for r in counts.orderBy(F.desc("n"), "g").limit(most).collect()}
 
 
-def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS, unused: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(read, edits, plain)``: the measured tokens with ``uid, is_header, is_pageno``, the edits per
     ``uid``, and the units that have those of another."""
     paired = F.when(F.col("next") != "", F.col("ends"))
-    read = stage_table(read_ranges(tokens).withColumn("ends", paired).withColumn("uid", unit_id(F.col("word"), F.col("next"), F.col("mark"), F.col("ends"))), "read")
+    read = stage_table(read_ranges(tokens).drop(*unused).withColumn("ends", paired).withColumn("uid", unit_id(F.col("word"), F.col("next"), F.col("mark"), F.col("ends"))), "read")
     headers, numbers = furniture_codes(read)
     listed = lambda codes: F.col("code").isin(codes) if codes else F.lit(False)
     words = word_counts(read).join(dictionary_keys(dict_words).withColumn("in_dict", F.lit(True)), "text", "full_outer")
@@ -543,7 +552,7 @@ def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int
         words.select("text", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_same", "n_changed")], F.coalesce("spread", F.lit(False)).alias("spread"), F.coalesce("in_dict", F.lit(False)).alias("in_dict")),
         "words",
     )
-    units = read.where("word <> ''").select("uid", *UNIT).distinct()
+    units = stage_table(read.where("word <> ''").select("uid", *UNIT).distinct(), "distinct")
     known, plain = units_with_lexicon(units, words, neighbours(words))
     known = stage_table(known, "units")
     # The sample is bounded by ``train_tokens``: it is sent to the units, not they to it.
@@ -563,6 +572,19 @@ def for_all_units(edits: DataFrame, plain: DataFrame) -> DataFrame:
     return edits.unionByName(copies)
 
 
+def join_edits(rows: DataFrame, edits: DataFrame, how: str) -> DataFrame:
+    """Tokens with the edits of their unit. Up to ``BROADCAST_UNITS`` edits, counted first, go to the
+    tokens; more are joined by a shuffle in which a frequent unit is spread over ``SALTS`` tasks."""
+    edits = stage_table(edits, "edits")
+    if edits.count() <= BROADCAST_UNITS:
+        return rows.join(F.broadcast(edits), "uid", how)
+    salted = edits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("doc_index", F.lit(SALTS))).join(salted, ["uid", "salt"], how).drop("salt")
+
+
+#: A page number, its label or ornaments as they are printed; anything else in their place is misread.
+WELL_FORMED = r"^[—–\-]*([0-9]+|(?=.)(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})|" + "|".join(sorted(P.LABELS)) + r")?[—–\-]*$"
+
 # Margins above which a word is misread: without correction, and where a corrector left it.
 EDIT_ABOVE, SAME_ABOVE = -2.0, 8.0
 
@@ -571,12 +593,12 @@ def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = T
     """``(doc_id, doc_index, kind)``: header, pageno, split, misread; a token once for each kind.
 
     Where a corrector changed a word it was misread; where one left it, the editor needs a wider
-    margin. The second half of a broken word is judged as part of it.
+    margin. The second half of a broken word is judged as part of it, a page number by its form.
     """
-    read, edits, plain = repaired_tokens(tokens, dict_words, train_tokens)
+    read, edits, plain = repaired_tokens(tokens, dict_words, train_tokens, unused=("shown",))
     edits = stage_table(edits.where(f"joins OR m_left > {EDIT_ABOVE}").drop("repaired", "m_join"), "edits")
-    salted = for_all_units(edits, plain).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = read.where("word <> ''").select("doc_id", "doc_index", "uid", "follow", "bad_left", "bad_right", "is_pageno").withColumn("salt", F.pmod("doc_index", F.lit(SALTS))).join(salted, ["uid", "salt"])
+    rows = read.where("word <> ''").select("doc_id", "doc_index", "uid", "follow", "bad_left", "bad_right", "is_pageno")
+    hit = join_edits(rows, for_all_units(edits, plain), "inner")
     judged = lambda bad, margin: bad | (F.col(margin) > F.when(bad.isNull(), F.lit(EDIT_ABOVE)).otherwise(F.lit(SAME_ABOVE)))
     joins = F.col("joins") & ~F.col("is_pageno")
     case = lambda index, kind, tail, holds: F.struct(index.alias("doc_index"), F.lit(kind).alias("kind"), F.lit(tail).alias("tail"), F.coalesce(holds, F.lit(False)).alias("holds"))
@@ -585,7 +607,8 @@ def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = T
         F.when(joins, case(F.col("doc_index"), "split", 0, F.lit(True))),
         F.when(joins, case(F.col("follow"), "misread", 1, judged(F.col("bad_right"), "m_right"))),
     )
-    direct = F.array_compact(F.array(F.when(F.col("bad_left"), case(F.col("doc_index"), "misread", 0, F.lit(True))), F.when(F.col("is_header"), case(F.col("doc_index"), "header", 0, F.lit(True))), F.when(F.col("is_pageno"), case(F.col("doc_index"), "pageno", 0, F.lit(True)))))
+    number = F.when(F.col("is_pageno"), case(F.col("doc_index"), "misread", 2, ~F.lower("word").rlike(WELL_FORMED)))
+    direct = F.array_compact(F.array(number, F.when(F.col("bad_left"), case(F.col("doc_index"), "misread", 0, F.lit(True))), F.when(F.col("is_header"), case(F.col("doc_index"), "header", 0, F.lit(True))), F.when(F.col("is_pageno"), case(F.col("doc_index"), "pageno", 0, F.lit(True)))))
     every = hit.select("doc_id", F.explode(F.array_compact(cases)).alias("c")).unionByName(read.where("bad_left OR is_header OR is_pageno").select("doc_id", F.explode(direct).alias("c")))
     # The verdict on the second half of a broken word goes before that on the token alone.
     strength = F.col("c.tail") * 2 + F.col("c.holds").cast("int")
@@ -602,8 +625,7 @@ def paragraphs(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRA
     read, edits, plain = repaired_tokens(tokens, dict_words, train_tokens)
     bound = F.when(F.col("labelled"), F.lit(1e9)).otherwise(F.lit(EDIT_ABOVE))
     edits = stage_table(edits.where(f"joins OR m_left > {EDIT_ABOVE}"), "edits")
-    changed = for_all_units(edits, plain).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = read.withColumn("salt", F.pmod("doc_index", F.lit(SALTS))).join(changed, ["uid", "salt"], "left")
+    rows = join_edits(read, for_all_units(edits, plain), "left")
     joins = F.coalesce("joins", F.lit(False)) & ~F.col("is_pageno")
     own = F.when(F.col("m_left") > bound, F.col("repaired")).otherwise(F.lit(None))
     shown = F.when(joins, F.coalesce(F.when(F.col("gold_split") & (F.col("gold_right") == ""), F.col("gold_left")), F.col("repaired"))).otherwise(F.coalesce(own, F.col("shown")))
