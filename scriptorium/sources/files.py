@@ -115,11 +115,11 @@ def token_csv(tokens: DataFrame, k: int = 4) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("error").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "\\N").csv(path)
+    df.write.mode("error").option("sep", "\t").option("header", True).option("nullValue", "\\N").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "\\N").csv(path)
+    return spark.read.schema(schema).option("sep", "\t").option("header", True).option("nullValue", "\\N").csv(path)
 
 
 def load(spark: SparkSession, path: str, schema: str | None = None, default: DataFrame | None = None) -> DataFrame:
