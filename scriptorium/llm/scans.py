@@ -25,6 +25,7 @@ labelled tokens nothing is trained and no token is misread or broken.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,83 +129,96 @@ class Spellings(dict):
         return r
 
 
-def read_sequence(rows: list[tuple], first: int, last: int, known: Spellings) -> list[tuple]:
-    """Measure one range: rows ``(doc_index, original, gold, hyphenated, discarded, page, line)`` in
-    order; only those with index in ``[first, last)`` are given back."""
-    index, originals, golds, hyphenated, discarded, pages, lines = map(list, zip(*rows, strict=True))
+def read_sequence(index: list, originals: list, golds: list, hyphenated: list, discarded: list, pages: list, lines: list, first: int, last: int, known: Spellings) -> list[list]:
+    """Measure one range, given as columns in order; gives back the columns of ``READ_SCHEMA`` after
+    ``doc_id`` for the tokens with index in ``[first, last)``."""
     texts, marks, raw, words = map(list, zip(*[known[t] for t in originals], strict=True))
     code = P.measure(texts, raw, pages, lines)
     follow = P.continuations(marks, code, hyphenated, pages, lines)
-    out = []
-    n = len(rows)
-    for i in range(n):
-        if not first <= index[i] < last:
-            continue
-        j = follow[i]
-        word, nxt = words[i], words[j] if j >= 0 else ""
-        gold, left, right, split, bad_left, bad_right = golds[i], None, None, None, None, None
+    low, high = bisect_left(index, first), bisect_left(index, last)
+    size = high - low
+    empty = [None] * size
+    left, right, split, bad_left, bad_right, ends, behind = list(empty), list(empty), list(empty), list(empty), list(empty), list(empty), [""] * size
+    for i in range(low, high):
+        k, j, gold = i - low, follow[i], golds[i]
+        if j >= 0:
+            behind[k] = words[j]
+            # only a pair asks whether its first word ends a line
+            if lines[i] is not None and lines[i + 1] is not None:
+                ends[k] = int(lines[i] != lines[i + 1] or pages[i] != pages[i + 1])
         if gold:
+            key, word = known[gold][3], words[i]
+            left[k] = key
+            if j < 0:
+                bad_left[k] = key != word
+                continue
+            nxt = words[j]
             shy = gold.rstrip().endswith(P.SOFT)
-            key = known[gold][3]
-            left = key
-            if j >= 0 and not shy and golds[j] == "" and len(key) > len(word) + len(nxt) // 2:
-                right, split = "", True  # the whole word, to be held against word + next
-                if key != word + nxt:
-                    bad_left, bad_right = not key.startswith(word), not key.endswith(nxt)
-                else:
-                    bad_left = bad_right = False
+            if not shy and golds[j] == "" and len(key) > len(word) + len(nxt) // 2:
+                right[k], split[k] = "", True  # the whole word, to be held against word + next
+                whole_right = key == word + nxt
+                bad_left[k], bad_right[k] = not (whole_right or key.startswith(word)), not (whole_right or key.endswith(nxt))
             else:
-                split = shy if j >= 0 else None
-                bad_left = key != word
-                if j >= 0 and golds[j]:
-                    right = known[golds[j]][3]
-                    bad_right = right != nxt
-        ends = None
-        if i + 1 < n and lines[i] is not None and lines[i + 1] is not None:
-            ends = int(lines[i] != lines[i + 1] or pages[i] != pages[i + 1])
-        out.append((index[i], code[i], word, nxt, marks[i], index[j] if j >= 0 else -1, bool(gold), left, right, split, bad_left, bad_right, discarded[i], ends, texts[i]))
-    return out
+                split[k] = shy
+                bad_left[k] = key != word
+                if golds[j]:
+                    right[k] = known[golds[j]][3]
+                    bad_right[k] = right[k] != nxt
+    at = [index[j] if j >= 0 else -1 for j in follow[low:high]]
+    return [index[low:high], code[low:high], words[low:high], behind, marks[low:high], at, [bool(g) for g in golds[low:high]], left, right, split, bad_left, bad_right, discarded[low:high], ends, texts[low:high]]
 
 
 def read_ranges(tokens: DataFrame, bits: int = RANGE_BITS, halo: int = HALO) -> DataFrame:
-    names = ["doc_id", "block", "doc_index", "original", "gold", "hyphenated", "discarded", "page", "line"]
+    names = ["doc_index", "original", "gold", "hyphenated", "discarded", "page", "line"]
     out_names = [c.split()[0] for c in READ_SCHEMA.replace("\n", " ").split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Spellings()
-        held: list[tuple] = []
+        held: list[list] = [[] for _ in names]
         key: tuple | None = None
-        out: list[tuple] = []
+        out: list[list] = [[] for _ in out_names]
 
         def finish() -> None:
+            columns = held
+            index = held[0]
+            if len(set(index)) < len(index):  # versions of a token: the newest is the last
+                keep = [i for i in range(len(index)) if i + 1 == len(index) or index[i] != index[i + 1]]
+                columns = [[c[i] for i in keep] for c in held]
             first = key[1] << bits
-            doc = key[0]
-            out.extend([(doc, *r) for r in read_sequence(held, first, first + (1 << bits), known)])
+            made = read_sequence(*columns, first, first + (1 << bits), known)
+            out[0].extend([key[0]] * len(made[0]))
+            for c, values in zip(out[1:], made, strict=True):
+                c.extend(values)
 
         def pack() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, READ_TYPES, strict=True)], names=out_names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, READ_TYPES, strict=True)], names=out_names)
+            for c in out:
+                c.clear()
+            return batch
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs = batch.column("doc_id").dictionary_encode()
+            codes, blocks = docs.indices.to_numpy(), batch.column("block").to_numpy()
+            starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])]).tolist()
             columns = [batch.column(n).to_pylist() for n in names]
-            for doc, block, *row in zip(*columns, strict=True):
-                if key is None or doc != key[0] or block != key[1]:
-                    if held:
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                here = (docs.dictionary[int(codes[a])].as_py(), int(blocks[a]))
+                if here != key:
+                    if key is not None:
                         finish()
-                        if len(out) >= 10_000:
+                        if len(out[0]) >= 10_000:
                             yield pack()
-                    held, key = [], (doc, block)
-                if held and held[-1][0] == row[0]:
-                    held[-1] = row  # a newer version of the same token
-                else:
-                    held.append(row)
-        if held:
+                    held, key = [[] for _ in names], here
+                for c, values in zip(held, columns, strict=True):
+                    c.extend(values[a:b])
+        if key is not None:
             finish()
-        if out:
+        if out[0]:
             yield pack()
 
-    return in_ranges(tokens, bits, halo).select(*names).mapInArrow(run, READ_SCHEMA)
+    return in_ranges(tokens, bits, halo).select("doc_id", "block", *names).mapInArrow(run, READ_SCHEMA)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -543,8 +557,7 @@ def letter_groups(words: DataFrame, most: int = 60_000) -> dict[str, int]:
 def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS, unused: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(read, edits, plain)``: the measured tokens with ``uid, is_header, is_pageno``, the edits per
     ``uid``, and the units that have those of another."""
-    paired = F.when(F.col("next") != "", F.col("ends"))
-    read = stage_table(read_ranges(tokens).drop(*unused).withColumn("ends", paired).withColumn("uid", unit_id(F.col("word"), F.col("next"), F.col("mark"), F.col("ends"))), "read")
+    read = stage_table(read_ranges(tokens).drop(*unused).withColumn("uid", unit_id(F.col("word"), F.col("next"), F.col("mark"), F.col("ends"))), "read")
     headers, numbers = furniture_codes(read)
     listed = lambda codes: F.col("code").isin(codes) if codes else F.lit(False)
     words = word_counts(read).join(dictionary_keys(dict_words).withColumn("in_dict", F.lit(True)), "text", "full_outer")
