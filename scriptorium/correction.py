@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.common import read_table
@@ -230,6 +230,16 @@ def precache_candidates(spark, sf_dir):
     return T.precache_candidates(_tokens(spark, sf_dir))
 
 
+@query(STATS.rstrip() + f", {HELD} SELECT h.doc_id, coalesce(s.done, h.is_done) AS is_done FROM held h LEFT JOIN stats s ON s.doc_id = h.doc_id")
+def documents_done(spark, sf_dir):
+    return views.mark_done(views.held_documents(read_table(spark, sf_dir, "doc_catalog")), T.doc_stats(_tokens(spark, sf_dir))).select("doc_id", "is_done")
+
+
+@query()
+def random_document(spark, sf_dir):
+    return views.random_document(views.held_documents(read_table(spark, sf_dir, "doc_catalog")), seed=5)
+
+
 @query()
 def random_token(spark, sf_dir):
     return views.random_token(_tokens(spark, sf_dir), F.col("heuristic") == "annotator", seed=11)
@@ -287,6 +297,23 @@ def layout_rows(spark, sf_dir):
     return T.layout(_boxes(spark, sf_dir))
 
 
+@query(f"WITH {BOX}, w AS (SELECT doc_id, page, max(x1) + 1.0 AS width FROM boxes GROUP BY ALL), o AS (SELECT doc_id, doc_index, true AS outside FROM boxes JOIN w USING (doc_id, page) WHERE NOT (x1 >= 70 AND x0 <= width)) SELECT t.doc_id, t.doc_index, CASE WHEN outside THEN '' ELSE gold END AS gold, is_discarded OR coalesce(outside, false) AS is_discarded FROM tok t LEFT JOIN o USING (doc_id, doc_index)")
+def cropped_tokens(spark, sf_dir):
+    found = _boxes(spark, sf_dir)
+    outside = T.outside_edges(found, T.edges_or(found, left=70))
+    return T.cropped(_tokens(spark, sf_dir), outside).select("doc_id", "doc_index", "gold", "is_discarded")
+
+
+@query(f"WITH {TOK} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY doc_index) - 1)::INTEGER AS doc_index, original FROM tok WHERE NOT is_discarded")
+def renumbered(spark, sf_dir):
+    return T.renumbered(_tokens(spark, sf_dir).where("NOT is_discarded").select("doc_id", "doc_index", "original"))
+
+
+@query(f"WITH {TOK} SELECT * FROM tok")
+def record_round_trip(spark, sf_dir):
+    return T.from_records(T.to_records(_tokens(spark, sf_dir)))
+
+
 # ---------------------------------------------------------------------------------------------
 # Dictionary
 
@@ -324,6 +351,15 @@ def dictionary_difference(spark, sf_dir):
     return dictionary.symmetric_difference(d.where("group_name = 'corpus_da'").select("word"), d.where("group_name = 'corpus_sv'").select("word"))
 
 
+@query(
+    f"""WITH {TOK}, {DICT}, g AS (SELECT DISTINCT doc_id, {clean_sql('gold')} AS word FROM tok WHERE heuristic = 'annotator' AND gold <> ''),
+f AS (SELECT doc_id, count(*) AS n FROM g WHERE {letters_sql('word')} > 1 AND word NOT IN (SELECT word FROM dict_word) GROUP BY doc_id)
+SELECT t.doc_id, count(*) FILTER (NOT is_discarded) AS token_count, count(*) FILTER (heuristic = 'annotator' AND gold IS NOT NULL) AS human_count, coalesce(any_value(f.n), 0) AS new_words FROM tok t LEFT JOIN f ON f.doc_id = t.doc_id GROUP BY t.doc_id"""
+)
+def session_metrics(spark, sf_dir):
+    return views.session_metrics(_tokens(spark, sf_dir), _dictionary(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------------------------
 # Alignment and model
 
@@ -580,9 +616,7 @@ red AS (SELECT doc_id, doc_index, {", ".join(f"arg_max(set_{c}, (made_at, event_
 def _events(spark, sf_dir):
     """Annotators' requests made from the event stream: each event goes to a token by its number."""
     t = _tokens(spark, sf_dir).select("doc_id", "doc_index", "original")
-    # numbers in order without one global window: counts per document give the base, ranges the rest
-    from pyspark.sql import Window
-
+    # numbers in order without one global window: counts per key range give the base
     w = Window.partitionBy("doc_id", "rng").orderBy("doc_index")
     rows = t.withColumn("rng", F.shiftright("doc_index", T.RANGE_BITS))
     sizes = [(r.doc_id, r.rng, r.n) for r in rows.groupBy("doc_id", "rng").agg(F.count("*").alias("n")).orderBy("doc_id", "rng").toLocalIterator()]

@@ -61,3 +61,23 @@ def apply_updates(tokens: DataFrame, reduced: DataFrame) -> DataFrame:
 def touched_rows(tokens: DataFrame, reduced: DataFrame) -> DataFrame:
     """Only the tokens an update changes, after the change."""
     return apply_updates(tokens.join(reduced.select("doc_id", "doc_index"), ["doc_id", "doc_index"], "left_semi"), reduced)
+
+
+def command_updates(commands: DataFrame, tokens: DataFrame, memory: DataFrame) -> DataFrame:
+    """Events from the commands of a correction session ``(event_id, doc_id, doc_index, command, arg,
+    made_at)``: ``original`` takes the reading, ``shell`` the argument, ``kbest`` and ``kdict`` the
+    candidate of that number, ``memoized`` what the reading was mostly corrected to, ``linefeed`` a
+    line mark; ``defer`` and ``quit`` change nothing. ``tokens`` has ``kbest``, ``memory`` is
+    ``report.memoized``."""
+    t = tokens.select("doc_id", "doc_index", "original", "kbest")
+    known = memory.select("original", F.col("gold").alias("remembered"))
+    joined = commands.join(t, ["doc_id", "doc_index"]).join(known, "original", "left")
+    place = F.col("arg").try_cast("int")
+    gold = (
+        F.when(F.col("command") == "original", F.col("original"))
+        .when(F.col("command") == "shell", F.col("arg"))
+        .when(F.col("command").isin("kbest", "kdict") & (place > 0), F.try_element_at("kbest", place)["candidate"])
+        .when(F.col("command") == "memoized", F.col("remembered"))
+        .when(F.col("command") == "linefeed", F.lit("_NEWLINE_N_"))
+    )
+    return joined.select("event_id", "doc_id", "doc_index", F.lit("gold").alias("action"), gold.alias("gold"), "made_at").where("gold IS NOT NULL")

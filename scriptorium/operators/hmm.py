@@ -11,7 +11,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
@@ -219,3 +219,22 @@ def train(read_counts: DataFrame, gold_words: DataFrame, dictionary: DataFrame |
     conf, counts = confusion(read_counts), char_counts(words)
     states = alphabet(conf, counts, required)
     return initial(first_letters(words), states, smoothing), transitions(bigrams(words), states, smoothing), emissions(conf, counts, states, smoothing)
+
+
+def compare(words: DataFrame, one: Model, other: Model, k: int = 4) -> DataFrame:
+    """``(word, k, candidate, other_candidate)``: the candidates of two models side by side."""
+    flat = lambda m: kbest_words(words, m, k).select("word", F.explode("kbest").alias("c")).select("word", "c.k", "c.candidate")
+    return flat(one).join(flat(other).withColumnRenamed("candidate", "other_candidate"), ["word", "k"])
+
+
+def save(tables: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
+    """Writes the three tables, unless they do not fit together."""
+    v = validity(*tables).first()
+    if not (v.tran_states_equal and v.emis_states_equal and v.tran_rows_full):
+        raise ValueError("the model is not valid")
+    for name, table in zip(("init", "tran", "emis"), tables, strict=True):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    return Model.collect(*(spark.read.parquet(f"{path}/{name}") for name in ("init", "tran", "emis")))

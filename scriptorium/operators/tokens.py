@@ -322,3 +322,44 @@ def layout(found: DataFrame, factor: float = 0.71, padding: float = 10.0) -> Dat
         found.where(~F.col("is_discarded") & (shown != ""))
         .select("doc_id", "page", "block", "line", "word_no", "doc_index", "x0", "y0", F.greatest(F.col("x1").cast("double"), F.round(F.col("x0") + F.length(shown) * size / 2 + padding, 3)).alias("x1"), "y1", size.alias("font_size"), shown.alias("text"))
     )
+
+
+def edges_or(found: DataFrame, left: float | None = None, right: float | None = None) -> DataFrame:
+    """Crop edges per page: both given, or computed if neither is; one alone leaves the other side open."""
+    if left is None and right is None:
+        return crop_edges(found)
+    width = F.max("x1") + 1.0
+    pages = found.groupBy("doc_id", "page").agg(width.alias("width"))
+    return pages.select("doc_id", "page", F.lit(0.0 if left is None else float(left)).alias("left_edge"), (F.col("width") if right is None else F.lit(float(right))).alias("right_edge"))
+
+
+def cropped(tokens: DataFrame, outside: DataFrame) -> DataFrame:
+    """The tokens with those outside the edges discarded, their gold emptied."""
+    hit = outside.select("doc_id", "doc_index", F.lit(True).alias("outside"))
+    t = tokens.join(hit, ["doc_id", "doc_index"], "left")
+    out = F.coalesce("outside", F.lit(False))
+    return t.withColumns({"is_discarded": F.col("is_discarded") | out, "gold": F.when(out, F.lit("")).otherwise(F.col("gold"))}).drop("outside")
+
+
+def renumbered(tokens: DataFrame) -> DataFrame:
+    """The rows with ``doc_index`` counted anew from 0 in each document, after rows were taken out or
+    put in (a row put in between has a broken number such as 3.5)."""
+    rows = tokens.withColumn("rng", F.floor(F.col("doc_index") / (1 << RANGE_BITS)))
+    w = Window.partitionBy("doc_id", "rng").orderBy("doc_index")
+    over = Window.partitionBy("doc_id").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("doc_id", "rng").agg(F.count("*").alias("size")).select("doc_id", "rng", F.coalesce(F.sum("size").over(over), F.lit(0)).alias("base"))
+    numbered = rows.withColumn("rn", F.row_number().over(w)).join(base, ["doc_id", "rng"])
+    return numbered.withColumn("doc_index", (F.col("base") + F.col("rn") - 1).cast("int")).select(*tokens.columns)
+
+
+RECORD = "doc_id string, doc_index int, original string, gold string, is_hyphenated boolean, is_discarded boolean, has_error boolean, bin int, heuristic string, selection string, token_type string, token_info string, annotations string, last_modified timestamp_ntz"
+
+
+def to_records(tokens: DataFrame) -> DataFrame:
+    """Each token as one JSON record, NULL fields included."""
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    return tokens.select("doc_id", "doc_index", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("record"))
+
+
+def from_records(records: DataFrame) -> DataFrame:
+    return records.select(F.from_json("record", RECORD).alias("t")).select("t.*")

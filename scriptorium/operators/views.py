@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.operators import tokens as T
+from scriptorium.operators.dictionary import new_words
 
 
 def held_documents(catalog: DataFrame) -> DataFrame:
@@ -42,3 +43,26 @@ def random_token(tokens: DataFrame, qualifies: Column, seed: int) -> DataFrame:
     """One qualifying token, each with equal chance; a partial top-1 per task, no full sort."""
     order = F.struct(F.xxhash64("doc_id", "doc_index", F.lit(seed)).alias("h"), "doc_id", "doc_index")
     return tokens.where(qualifies).agg(F.min(order).alias("m")).where("m IS NOT NULL").select("m.doc_id", "m.doc_index")
+
+
+def random_document(documents: DataFrame, seed: int) -> DataFrame:
+    """One document, each with equal chance."""
+    return documents.agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id")).alias("m")).where("m IS NOT NULL").select("m.doc_id")
+
+
+def add_documents(documents: DataFrame, new: DataFrame) -> DataFrame:
+    """The catalogue with the new documents whose id it does not hold yet."""
+    return documents.unionByName(new.dropDuplicates(["doc_id"]).join(documents.select("doc_id"), "doc_id", "left_anti"), allowMissingColumns=True)
+
+
+def mark_done(documents: DataFrame, stats: DataFrame) -> DataFrame:
+    """The catalogue with the state of documents taken from their counts, where there are any."""
+    state = stats.select("doc_id", F.col("done").alias("now_done"))
+    return documents.join(state, "doc_id", "left").withColumn("is_done", F.coalesce("now_done", "is_done")).drop("now_done")
+
+
+def session_metrics(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Per document: tokens, those a human corrected, and words they wrote the dictionary lacks."""
+    counts = tokens.groupBy("doc_id").agg(F.count_if(~F.col("is_discarded")).alias("token_count"), F.count_if((F.col("heuristic") == "annotator") & F.col("gold").isNotNull()).alias("human_count"))
+    fresh = new_words(tokens, dictionary).groupBy(F.expr("substring(group_name, 6)").alias("doc_id")).agg(F.count("*").alias("new_words"))
+    return counts.join(fresh, "doc_id", "left").select("doc_id", "token_count", "human_count", F.coalesce("new_words", F.lit(0)).alias("new_words"))

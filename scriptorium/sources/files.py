@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
@@ -73,8 +73,6 @@ def split_columns(ink: DataFrame) -> DataFrame:
 def from_word_table(words: DataFrame) -> DataFrame:
     """Tokens from words extracted elsewhere: ``(doc_id, page, x0, y0, x1, y1, word, block, line,
     word_no)``, numbered in reading order per document and page, so that no window spans a document."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id", "page").orderBy("block", "line", "word_no", "x0", "word")
     over = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     base = words.groupBy("doc_id", "page").agg(F.count("*").alias("n")).select("doc_id", "page", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
@@ -176,3 +174,9 @@ def document_list(lines: DataFrame, most: int | None = None) -> DataFrame:
     named = lines.where((path != "") & ~path.startswith("#")).select(path.alias("original_path")).distinct()
     out = named.select(X.stem(F.col("original_path")).alias("doc_id"), X.suffix(F.col("original_path")).alias("ext"), "original_path")
     return out.orderBy("doc_id").limit(most) if most is not None else out
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Writes texts ``(doc_id, header, text)``, one folder per document: the header lines, then the body."""
+    body = F.when(F.col("header") != "", F.concat("header", F.lit("\n"), "text")).otherwise(F.col("text"))
+    texts.select("doc_id", T.text_sink_form(body).alias("value")).write.mode("error").partitionBy("doc_id").text(path)

@@ -75,3 +75,12 @@ def test_memoized(spark):
     counts = spark.createDataFrame([("a", "b", 3), ("a", "c", 1), ("d", "e", 1)], "original string, gold string, n long")
     assert {tuple(r) for r in report.memoized(counts).collect()} == {("a", "b"), ("d", "e")}
     assert {tuple(r) for r in report.memoized(counts, least_frequent=True).collect()} == {("a", "c"), ("d", "e")}
+
+
+def test_commands_of_a_session(spark, at):
+    tokens_ = spark.createDataFrame([("d", i, w, [(1, "k1", 0.5), (2, "k2", 0.1)]) for i, w in enumerate("abcdefg")], "doc_id string, doc_index int, original string, kbest array<struct<k:int,candidate:string,probability:double>>")
+    commands = [(0, "original", None), (1, "shell", "ny"), (2, "kbest", "1"), (3, "kdict", "2"), (4, "memoized", None), (5, "linefeed", None), (6, "defer", None), (6, "quit", None), (6, "kbest", "9"), (6, "kbest", "x")]
+    df = spark.createDataFrame([(n, "d", i, c, a, at(n)) for n, (i, c, a) in enumerate(commands)], "event_id long, doc_id string, doc_index int, command string, arg string, made_at timestamp_ntz")
+    memory = spark.createDataFrame([("e", "husket")], "original string, gold string")
+    got = {r.doc_index: r.gold for r in A.command_updates(df, tokens_, memory).collect()}
+    assert got == {0: "a", 1: "ny", 2: "k1", 3: "k2", 4: "husket", 5: "_NEWLINE_N_"}

@@ -164,3 +164,15 @@ def test_candidates_in_order(spark):
     kbest = spark.createDataFrame([("d", 0, 2, "b", 0.1), ("d", 0, 1, "a", 0.2), ("e", 0, 1, "x", 0.2)], "doc_id string, doc_index int, k int, candidate string, probability double")
     got = {r.doc_index: [c.candidate for c in r.kbest] for r in T.with_candidates(tokens, kbest).collect()}
     assert got == {0: ["a", "b"], 1: []}
+
+
+def test_comparison_and_storage(spark, model, tmp_path):
+    words = spark.createDataFrame([("Slring",)], "word string")
+    got = hmm.compare(words, model, model, 2).collect()
+    assert all(r.candidate == r.other_candidate for r in got)
+    counts = spark.createDataFrame([("a", "a", 3), ("b", "a", 1)], "orig_char string, gold_char string, n long")
+    tables = hmm.train(counts, spark.createDataFrame([("ab", 2)], "word string, n long"))
+    hmm.save(tables, str(tmp_path / "model"))
+    assert hmm.load(spark, str(tmp_path / "model")).states == ["a", "b"]
+    with pytest.raises(ValueError, match="not valid"):
+        hmm.save((tables[0], tables[1].where("src = 'a'"), tables[2]), str(tmp_path / "other"))

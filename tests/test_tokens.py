@@ -112,3 +112,30 @@ def test_crop(spark):
 
 def test_written_form(spark):
     assert spark.range(1).select(T.text_sink_form(F.lit("Corrected: No _NEWLINE_N_ a"))).first()[0] == "Corrected: Yes\na"
+
+
+def test_renumbering(spark, monkeypatch):
+    monkeypatch.setattr(T, "RANGE_BITS", 2)
+    df = spark.createDataFrame([("d", i * 1.5, f"w{i}") for i in range(20)] + [("e", 7.0, "x")], "doc_id string, doc_index double, original string")
+    got = sorted((r.doc_id, r.doc_index, r.original) for r in T.renumbered(df).collect())
+    assert got == sorted([("d", i, f"w{i}") for i in range(20)] + [("e", 0, "x")])
+
+
+def test_given_edges(spark):
+    found = spark.createDataFrame([("d", 0, 1, 10, 20), ("d", 1, 1, 30, 40), ("d", 2, 1, 90, 99)], "doc_id string, doc_index int, page int, x0 int, x1 int")
+    out = lambda **k: sorted(r.doc_index for r in T.outside_edges(found, T.edges_or(found, **k)).collect())
+    assert out(left=25) == [0]
+    assert out(right=80) == [2]
+    assert out(left=25, right=80) == [0, 2]
+
+
+def test_cropping_empties_the_gold(spark):
+    t = tokens(spark, "a b", gold={0: "a", 1: "b"})
+    got = T.cropped(t, spark.createDataFrame([("d", 1, 1)], "doc_id string, doc_index int, page int")).orderBy("doc_index").collect()
+    assert [(r.gold, r.is_discarded) for r in got] == [("a", False), ("", True)]
+
+
+def test_records_round_trip(spark, at):
+    row = ("d", 1, 'a"b', "", True, False, False, 3, "kdict", "[1, 2]", "PDFToken", None, '[{"x": 1}]', at(3))
+    df = spark.createDataFrame([row], T.RECORD)
+    assert [tuple(r) for r in T.from_records(T.to_records(df)).collect()] == [row]
