@@ -104,8 +104,8 @@ def in_ranges(tokens: DataFrame, bits: int = RANGE_BITS, halo: int = HALO) -> Da
 
 
 READ_SCHEMA = """doc_id string, doc_index int, code int, word string, next string, mark int, follow int, labelled boolean, gold_left string,
- gold_right string, gold_split boolean, bad_left boolean, bad_right boolean, discarded boolean, ends int, shown string"""
-READ_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string())
+ gold_right string, gold_split boolean, bad_left boolean, bad_right boolean, discarded boolean, ends int, shown string, next_shown string"""
+READ_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string())
 
 
 def _spelling(text: str) -> tuple[str, int, str, str]:
@@ -129,9 +129,9 @@ class Spellings(dict):
         return r
 
 
-def read_sequence(index: list, originals: list, golds: list, hyphenated: list, discarded: list, pages: list, lines: list, first: int, last: int, known: Spellings) -> list[list]:
+def read_sequence(index: list, originals: list, golds: list, hyphenated: list, discarded: list, pages: list, lines: list, first: int, last: int, known: Spellings, with_text: bool = True) -> list[list]:
     """Measure one range, given as columns in order; gives back the columns of ``READ_SCHEMA`` after
-    ``doc_id`` for the tokens with index in ``[first, last)``."""
+    ``doc_id`` for the tokens with index in ``[first, last)``; the last two only ``with_text``."""
     texts, marks, raw, words = map(list, zip(*[known[t] for t in originals], strict=True))
     code = P.measure(texts, raw, pages, lines)
     follow = P.continuations(marks, code, hyphenated, pages, lines)
@@ -165,10 +165,11 @@ def read_sequence(index: list, originals: list, golds: list, hyphenated: list, d
                     right[k] = known[golds[j]][3]
                     bad_right[k] = right[k] != nxt
     at = [index[j] if j >= 0 else -1 for j in follow[low:high]]
-    return [index[low:high], code[low:high], words[low:high], behind, marks[low:high], at, [bool(g) for g in golds[low:high]], left, right, split, bad_left, bad_right, discarded[low:high], ends, texts[low:high]]
+    shown, next_shown = (texts[low:high], [texts[j] if j >= 0 else None for j in follow[low:high]]) if with_text else (empty, empty)
+    return [index[low:high], code[low:high], words[low:high], behind, marks[low:high], at, [bool(g) for g in golds[low:high]], left, right, split, bad_left, bad_right, discarded[low:high], ends, shown, next_shown]
 
 
-def read_ranges(tokens: DataFrame, bits: int = RANGE_BITS, halo: int = HALO) -> DataFrame:
+def read_ranges(tokens: DataFrame, bits: int = RANGE_BITS, halo: int = HALO, with_text: bool = True) -> DataFrame:
     names = ["doc_index", "original", "gold", "hyphenated", "discarded", "page", "line"]
     out_names = [c.split()[0] for c in READ_SCHEMA.replace("\n", " ").split(",")]
 
@@ -185,7 +186,7 @@ def read_ranges(tokens: DataFrame, bits: int = RANGE_BITS, halo: int = HALO) ->
                 keep = [i for i in range(len(index)) if i + 1 == len(index) or index[i] != index[i + 1]]
                 columns = [[c[i] for i in keep] for c in held]
             first = key[1] << bits
-            made = read_sequence(*columns, first, first + (1 << bits), known)
+            made = read_sequence(*columns, first, first + (1 << bits), known, with_text)
             out[0].extend([key[0]] * len(made[0]))
             for c, values in zip(out[1:], made, strict=True):
                 c.extend(values)
@@ -350,7 +351,7 @@ def unit_item(u: dict, joined_form: bool, own_same: int = 0, own_changed: int =
     both = known_of(word + nxt, u["j_n"] or 0, max(0, (u["j_same"] or 0) - own_same), u["j_changed"] or 0, bool(u["j_spread"]), bool(u["j_dict"]))
     near = near_of(u, "j")
     right = known_of(nxt, u["r_n"] or 0, u["r_same"] or 0, u["r_changed"] or 0, bool(u["r_spread"]), bool(u["r_dict"]))
-    common = lambda k: k == "D" or k[:1] == "3" or k[:1] == "2"
+    common = lambda k: k == "D" or k[:1] in "23"
     joined = f"{'D' if both == 'D' else 'n' if near != '-' else 'o' if common(both) else '-'}{'K' if common(left) else '-'}{'K' if common(right) else '-'}{'c' if (u['r_n'] or 0) > 200 else '-'}{u['ends']}"
     return E.Item(word + nxt, len(word), mark, both, u["j_near"], near, joined)
 
@@ -431,6 +432,18 @@ def train_editor(sample: list[dict], grams: dict[str, int]) -> E.Editor | None:
     return E.Editor(sum(E.train(data, ROUNDS, seed).weights for seed in SEEDS) / len(SEEDS))
 
 
+def stands_cut(u: dict) -> bool:
+    """Whether a mark alone shows a broken word whose other part was not recognised: a mark no word
+    ends in, or a hyphen before something that is no word."""
+    if u["mark"] != P.HYPHEN:
+        return u["mark"] == P.SOFT_MARK
+    return len(u["next"]) >= 4 and not trusted(known_of(u["next"], u["r_n"] or 0, u["r_same"] or 0, u["r_changed"] or 0, bool(u["r_spread"]), bool(u["r_dict"])))
+
+
+def trusted(known: str) -> bool:
+    return known == "D" or known[:1] in "23NR"
+
+
 def repaired(text: str, scores: np.ndarray, near: str | None) -> str:
     """The word after the predicted operations; letters to bring come from its neighbour."""
     best = scores.argmax(axis=1)
@@ -440,14 +453,15 @@ def repaired(text: str, scores: np.ndarray, near: str | None) -> str:
 
 
 JOIN_ABOVE = 0.0
-EDIT_SCHEMA = "uid bigint, joins boolean, m_join float, m_left float, m_right float, repaired string"
+EDIT_SCHEMA = "uid bigint, cut boolean, joins boolean, m_join float, m_left float, m_right float, repaired string"
 
 
 def edit_units(units: DataFrame, model: E.Editor | None, grams: dict[str, int]) -> DataFrame:
-    """``(uid, joins, m_join, m_left, m_right, repaired)``: whether a unit is one broken word, the
-    margins by which its first and second half are misread, and its text after all operations."""
+    """``(uid, cut, joins, m_join, m_left, m_right, repaired)``: whether a unit begins with the first part
+    of a broken word, whether it is one broken word, the margins by which its first and second half
+    are misread, and its text after all operations."""
     if model is None:
-        return units.select("uid").limit(0).select("uid", F.lit(False).alias("joins"), *[F.lit(0.0).cast("float").alias(c) for c in ("m_join", "m_left", "m_right")], F.lit("").alias("repaired"))
+        return units.select("uid").limit(0).select("uid", F.lit(False).alias("cut"), F.lit(False).alias("joins"), *[F.lit(0.0).cast("float").alias(c) for c in ("m_join", "m_left", "m_right")], F.lit("").alias("repaired"))
     shared = units.sparkSession.sparkContext.broadcast((model.weights, grams))  # both of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,7 +489,7 @@ def edit_units(units: DataFrame, model: E.Editor | None, grams: dict[str, int])
                         continue
                     margin = s[:, 1:4].max(axis=1) - s[:, 0]
                     margin[split - 1] = min(margin[split - 1], s[split - 1, 1:4].max() - s[split - 1, E.JOIN])
-                    out.append((r["uid"], True, join, float(margin[:split].max()), float(margin[split:].max()), repaired(item.text, s, r["j_near"])))
+                    out.append((r["uid"], True, True, join, float(margin[:split].max()), float(margin[split:].max()), repaired(item.text, s, r["j_near"])))
                 alone = [r for r in part if m_join.get(r["uid"], -99.0) <= JOIN_ABOVE]
                 distinct = {(r["word"], r["mark"]): r for r in alone}
                 single = {}
@@ -483,8 +497,8 @@ def edit_units(units: DataFrame, model: E.Editor | None, grams: dict[str, int])
                     single[r["word"], r["mark"]] = (float((s[:, 1:4].max(axis=1) - s[:, 0]).max()), repaired(item.text, s, r["l_near"]))
                 for r in alone:
                     margin, text = single[r["word"], r["mark"]]
-                    out.append((r["uid"], False, m_join.get(r["uid"], -99.0), margin, -99.0, text))
-                types = (pa.int64(), pa.bool_(), pa.float32(), pa.float32(), pa.float32(), pa.string())
+                    out.append((r["uid"], stands_cut(r), False, m_join.get(r["uid"], -99.0), margin, -99.0, text))
+                types = (pa.int64(), pa.bool_(), pa.bool_(), pa.float32(), pa.float32(), pa.float32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in EDIT_SCHEMA.split(", ")])
 
     return units.mapInArrow(run, EDIT_SCHEMA)
@@ -554,10 +568,10 @@ def letter_groups(words: DataFrame, most: int = 60_000) -> dict[str, int]:
     return {r.g: r.n for r in counts.orderBy(F.desc("n"), "g").limit(most).collect()}
 
 
-def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS, unused: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS, with_text: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(read, edits, plain)``: the measured tokens with ``uid, is_header, is_pageno``, the edits per
     ``uid``, and the units that have those of another."""
-    read = stage_table(read_ranges(tokens).drop(*unused).withColumn("uid", unit_id(F.col("word"), F.col("next"), F.col("mark"), F.col("ends"))), "read")
+    read = stage_table(read_ranges(tokens, with_text=with_text).withColumn("uid", unit_id(F.col("word"), F.col("next"), F.col("mark"), F.col("ends"))), "read")
     headers, numbers = furniture_codes(read)
     listed = lambda codes: F.col("code").isin(codes) if codes else F.lit(False)
     words = word_counts(read).join(dictionary_keys(dict_words).withColumn("in_dict", F.lit(True)), "text", "full_outer")
@@ -581,7 +595,7 @@ def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int
 
 def for_all_units(edits: DataFrame, plain: DataFrame) -> DataFrame:
     """Edits of the pairs that stand for their first word alone, beside the others."""
-    copies = edits.where("NOT joins").withColumnRenamed("uid", "single").join(plain, "single").drop("single")
+    copies = edits.where("NOT cut").withColumnRenamed("uid", "single").join(plain, "single").drop("single")
     return edits.unionByName(copies)
 
 
@@ -608,17 +622,19 @@ def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = T
     Where a corrector changed a word it was misread; where one left it, the editor needs a wider
     margin. The second half of a broken word is judged as part of it, a page number by its form.
     """
-    read, edits, plain = repaired_tokens(tokens, dict_words, train_tokens, unused=("shown",))
-    edits = stage_table(edits.where(f"joins OR m_left > {EDIT_ABOVE}").drop("repaired", "m_join"), "edits")
+    read, edits, plain = repaired_tokens(tokens, dict_words, train_tokens, with_text=False)
+    edits = stage_table(edits.where(f"cut OR m_left > {EDIT_ABOVE}").drop("repaired", "m_join"), "edits")
     rows = read.where("word <> ''").select("doc_id", "doc_index", "uid", "follow", "bad_left", "bad_right", "is_pageno")
     hit = join_edits(rows, for_all_units(edits, plain), "inner")
-    judged = lambda bad, margin: bad | (F.col(margin) > F.when(bad.isNull(), F.lit(EDIT_ABOVE)).otherwise(F.lit(SAME_ABOVE)))
+    # Of a part whose other half was not recognised, little can be said from the lexicon.
+    part = F.col("cut") & ~F.col("joins")
+    judged = lambda bad, margin: bad | (F.col(margin) > F.when(bad.isNull() & ~part, F.lit(EDIT_ABOVE)).otherwise(F.lit(SAME_ABOVE)))
     joins = F.col("joins") & ~F.col("is_pageno")
     case = lambda index, kind, tail, holds: F.struct(index.alias("doc_index"), F.lit(kind).alias("kind"), F.lit(tail).alias("tail"), F.coalesce(holds, F.lit(False)).alias("holds"))
     cases = F.array(
         case(F.col("doc_index"), "misread", 0, judged(F.col("bad_left"), "m_left")),
-        F.when(joins, case(F.col("doc_index"), "split", 0, F.lit(True))),
-        F.when(joins, case(F.col("follow"), "misread", 1, judged(F.col("bad_right"), "m_right"))),
+        F.when(F.col("cut") & ~F.col("is_pageno"), case(F.col("doc_index"), "split", 0, F.lit(True))),
+        F.when(joins | (part & (F.col("follow") >= 0)), case(F.col("follow"), "misread", 1, judged(F.col("bad_right"), "m_right"))),
     )
     number = F.when(F.col("is_pageno"), case(F.col("doc_index"), "misread", 2, ~F.lower("word").rlike(WELL_FORMED)))
     direct = F.array_compact(F.array(number, F.when(F.col("bad_left"), case(F.col("doc_index"), "misread", 0, F.lit(True))), F.when(F.col("is_header"), case(F.col("doc_index"), "header", 0, F.lit(True))), F.when(F.col("is_pageno"), case(F.col("doc_index"), "pageno", 0, F.lit(True)))))
@@ -628,25 +644,45 @@ def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = T
     return every.groupBy("doc_id", "c.doc_index", "c.kind").agg(F.max(strength).alias("s")).where("s % 2 = 1").select("doc_id", "doc_index", "kind")
 
 
+def dressed(word: Column, first: Column, last: Column) -> Column:
+    """A repaired word with the punctuation and capitals of the tokens it was read from."""
+    lead = F.regexp_extract(first, r"^[^\p{L}\p{N}]*", 0)
+    close = F.regexp_replace(F.regexp_extract(last, r"[^\p{L}\p{N}]*$", 0), "^[¬⸗=\\x{ad}-]+", "")
+    letters = F.regexp_replace(first, r"[^\p{L}]", "")
+    capital = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))
+    cased = F.when((F.length(letters) > 1) & (letters == F.upper(letters)), F.upper(word)).when(letters.rlike(r"^\p{Lu}"), capital).otherwise(word)
+    return F.concat(lead, cased, close)
+
+
 def paragraphs(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS) -> DataFrame:
     """``(doc_id, first_index, n_tokens, text)``: continuous readable text, furniture removed, broken
     words joined and misread ones repaired, in pieces of one key range of a document at most.
 
-    A corrector's reading of a broken word is used where there is one. Pieces have at most half a
-    thousand tokens, so no document, however long, is put together in one value.
+    A corrector's reading of a word is used where there is one. Pieces have at most half a thousand
+    tokens, so no document, however long, is put together in one value.
     """
     read, edits, plain = repaired_tokens(tokens, dict_words, train_tokens)
-    bound = F.when(F.col("labelled"), F.lit(1e9)).otherwise(F.lit(EDIT_ABOVE))
     edits = stage_table(edits.where(f"joins OR m_left > {EDIT_ABOVE}"), "edits")
     rows = join_edits(read, for_all_units(edits, plain), "left")
     joins = F.coalesce("joins", F.lit(False)) & ~F.col("is_pageno")
-    own = F.when(F.col("m_left") > bound, F.col("repaired")).otherwise(F.lit(None))
-    shown = F.when(joins, F.coalesce(F.when(F.col("gold_split") & (F.col("gold_right") == ""), F.col("gold_left")), F.col("repaired"))).otherwise(F.coalesce(own, F.col("shown")))
-    tails = stage_table(rows.where(joins).select("doc_id", F.col("follow").alias("doc_index")).distinct(), "tails")
-    kept = rows.where("NOT is_header AND NOT is_pageno").select("doc_id", "doc_index", shown.alias("shown")).join(tails, ["doc_id", "doc_index"], "left_anti")
-    piece = F.shiftright("doc_index", RANGE_BITS - 3)  # half a thousand tokens: the bound of what is put together
+    whole_gold = F.col("gold_split") & (F.col("gold_right") == "")
+    joined = dressed(F.coalesce(F.when(whole_gold, F.col("gold_left")), F.col("repaired")), F.col("shown"), F.col("next_shown"))
+    by_hand = dressed(F.col("gold_left"), F.col("shown"), F.col("shown"))
+    by_editor = dressed(F.col("repaired"), F.col("shown"), F.col("shown"))
+    shown = (
+        F.when(joins, joined)
+        .when(F.col("bad_left") & ~F.coalesce("gold_split", F.lit(False)), by_hand)
+        .when(~F.col("labelled") & (F.col("m_left") > EDIT_ABOVE) & (F.col("repaired") != F.col("word")), by_editor)
+        .otherwise(F.col("shown"))
+    )
+    kept = rows.where("NOT is_header AND NOT is_pageno").select("doc_id", "doc_index", shown.alias("shown"), F.when(joins, F.col("follow")).alias("tail"))
+    kept = stage_table(kept, "shown")
+    tails = kept.where("tail IS NOT NULL").select("doc_id", F.col("tail").alias("doc_index")).distinct()
+    piece = F.shiftright("doc_index", RANGE_BITS - 3)
+    ordered = F.array_sort(F.collect_list(F.struct("doc_index", "shown")))
     return (
-        kept.groupBy("doc_id", piece.alias("piece"))
-        .agg(F.min("doc_index").alias("first_index"), F.count("*").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("doc_index", "shown"))).alias("w"))
+        kept.join(tails, ["doc_id", "doc_index"], "left_anti")
+        .groupBy("doc_id", piece.alias("piece"))
+        .agg(F.min("doc_index").alias("first_index"), F.count("*").alias("n_tokens"), ordered.alias("w"))
         .select("doc_id", "first_index", "n_tokens", F.concat_ws(" ", F.transform("w", lambda x: x["shown"])).alias("text"))
     )
