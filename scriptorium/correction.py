@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.common import read_table
+from scriptorium.common import read_table, stage_table
 from scriptorium.functions import text as X
 from scriptorium.operators import align, annotate, bins, dictionary, hmm, index, report, views
 from scriptorium.operators import tokens as T
@@ -505,7 +505,8 @@ binned AS (SELECT doc_id, doc_index, original, gold, cand, k1, hits, lower_hits,
 
 
 def _binned(spark, sf_dir):
-    t = T.with_candidates(_tokens(spark, sf_dir), _kbest(spark, sf_dir))
+    # read by four branches of the plan: written once
+    t = stage_table(T.with_candidates(_tokens(spark, sf_dir), _kbest(spark, sf_dir)), "candidates")
     return bins.bin_tokens(t, _dictionary(spark, sf_dir), read_table(spark, sf_dir, "bin_settings"))
 
 

@@ -15,7 +15,11 @@ def character_pairs(words: DataFrame) -> DataFrame:
     """``(original, gold, position, orig_char, gold_char, n)`` of distinct word pairs, cut to the
     shorter of the two; ``n`` is how often the pair occurs, so that the characters of a frequent
     word are taken apart once."""
-    pairs = words.where("original IS NOT NULL AND gold IS NOT NULL").groupBy("original", "gold").agg(F.count("*").alias("n"))
+    return apart(full_alignments(words))
+
+
+def apart(pairs: DataFrame) -> DataFrame:
+    """The characters of pairs ``(original, gold, n)``."""
     zipped = F.arrays_zip(X.characters(F.col("original")).alias("o"), X.characters(F.col("gold")).alias("g"))
     cut = F.slice(zipped, F.lit(1), F.least(F.length("original"), F.length("gold")))
     return pairs.select("original", "gold", "n", F.posexplode(cut).alias("position", "c")).select("original", "gold", "position", F.col("c.o").alias("orig_char"), F.col("c.g").alias("gold_char"), "n")
@@ -23,7 +27,12 @@ def character_pairs(words: DataFrame) -> DataFrame:
 
 def read_counts(words: DataFrame) -> DataFrame:
     """How often a character was read for a character meant, over all documents (summed)."""
-    return character_pairs(words).groupBy("orig_char", "gold_char").agg(F.sum("n").alias("n"))
+    return pair_counts(full_alignments(words))
+
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """``read_counts`` of pairs ``(original, gold, n)``."""
+    return apart(pairs).groupBy("orig_char", "gold_char").agg(F.sum("n").alias("n"))
 
 
 def full_alignments(words: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.common import stage_table
 from scriptorium.operators import align, bins, hmm
 from scriptorium.operators import tokens as T
 
@@ -81,5 +82,6 @@ def training_words(tokens: DataFrame) -> DataFrame:
 
 def train_model(tokens: DataFrame, dictionary: DataFrame | None = None, required: str = "", smoothing: float = hmm.SMOOTHING) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three model tables from the corrected tokens of finished documents."""
-    counts = align.read_counts(T.consolidated(tokens).where("gold IS NOT NULL"))
-    return hmm.train(counts, training_words(tokens), dictionary, required, smoothing)
+    pairs = stage_table(T.consolidated(tokens).where("gold IS NOT NULL").groupBy("original", "gold").agg(F.count("*").alias("n")), "pairs")
+    words = pairs.where("gold <> ''").groupBy(F.col("gold").alias("word")).agg(F.sum("n").alias("n"))
+    return hmm.train(align.pair_counts(pairs), words, dictionary, required, smoothing)
