@@ -54,13 +54,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STAGED: list[str] = []
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a scan of it (columnar, prunable)."""
+    """Write ``df`` as Parquet to the shared folder and return a scan of it (columnar, prunable).
+
+    Results read such tables, so they stay until ``release_stages``.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_stages(spark: SparkSession) -> int:
+    """Delete the tables staged so far, once the results that read them are written; returns how many."""
+    jvm, configuration = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_STAGED)
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(configuration).delete(path, True)
+    return n
+
+
 def block_of(index: Column, bits: int) -> Column:
     """The number of the ``2**bits`` wide key range an integer key falls in; NULL counts as 0."""
     return F.shiftright(F.coalesce(index.cast("long"), F.lit(0)), bits)

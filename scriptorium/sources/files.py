@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -156,6 +158,32 @@ def save(df: DataFrame, path: str) -> str:
     return target
 
 
+def unpacked(name: str, content: bytes, depth: int = 4) -> Iterator[tuple[str, bytes]]:
+    """The files in a file: itself, or what an archive holds, archives in archives included."""
+    if not name.lower().endswith(".zip"):
+        yield name, content
+    elif depth:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for member in sorted(archive.namelist()):
+                if not member.endswith("/"):
+                    yield from unpacked(f"{name}/{member}", archive.read(member), depth - 1)
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, text)`` of the texts below a folder, those in archives included; one file a row, read
+    where Spark places it."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, content in zip(part["path"], part["content"], strict=True):
+                rows = [(n, decode(c)) for n, c in unpacked(name, content) if n.lower().endswith((".txt", ".xml"))]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "text"])
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return raw.mapInPandas(run, "path string, text string")
+
+
 def corpus_words(files: DataFrame, ignore: list[str] = (), present: DataFrame | None = None) -> DataFrame:
     """``(group_name, word)`` of corpus texts ``(path, text)``: hidden and ignored files are left out,
     groups already present too; a group is named by the digest of its path. Tags are dropped."""

@@ -1,3 +1,6 @@
+import io
+import zipfile
+
 from scriptorium.sources import files as S
 
 
@@ -63,3 +66,16 @@ def test_columns_of_ink(spark):
 def test_ids_get_their_page(spark):
     df = spark.createDataFrame([("word_1_2",)], "id string")
     assert df.select(S.renumber_ids(df.id, 7)).first()[0] == "word_7_2"
+
+
+def test_corpora_in_archives(spark, tmp_path):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("deep/x.xml", "<p>dyb</p>")
+        z.writestr("x.bin", b"no")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in.zip", inner.getvalue())
+        z.writestr("b.txt", "flad")
+    (tmp_path / "c.txt").write_text("fri")
+    assert sorted(r.text for r in S.read_corpus(spark, str(tmp_path)).collect()) == ["<p>dyb</p>", "flad", "fri"]
+    assert sorted(r.word for r in S.corpus_words(S.read_corpus(spark, str(tmp_path))).collect()) == ["dyb", "flad", "fri"]
