@@ -74,3 +74,11 @@ def test_passage_lengths():
     assert L.longest_passage(item, [*item[:10], "w10otd", *item[11:20]]) == 20
     assert L.longest_passage(item, [*item[:10], "helt", "andre", "ting", "her", *item[14:20]]) < 15
     assert L.longest_passage(item, item[::-1]) <= 2
+
+
+def test_other_columns_do_not_matter(spark):
+    words = " ".join(f"{a}{b}" for a in ("knæ", "blå", "stor", "lang") for b in ("ning", "else", "hed", "dom", "skab"))
+    docs = spark.createDataFrame([(1, words, 5, "x"), (2, "y " * 300_000 + words, None, None)], "doc_id long, text string, item_id int, n_words string")
+    items = spark.createDataFrame([(7, words, 3)], "item_id long, text string, doc_id int")
+    assert sorted((r.doc_id, r.item_id) for r in L.leaks(docs, items).collect()) == [(1, 7), (2, 7)]
+    assert [tuple(r) for r in L.leak_report(L.leaks(docs, items), items).collect()] == [(7, 2, 20)]
