@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.common import read_table, stage_table
@@ -601,10 +601,10 @@ def upsert_latest(spark, sf_dir):
     return _tokens(spark, sf_dir)
 
 
-EVENTS = f"""{TOK}, n AS (SELECT count(*) AS n FROM tok), numbered_tok AS (SELECT doc_id, doc_index, original, row_number() OVER (ORDER BY doc_id, doc_index) - 1 AS r FROM tok),
+EVENTS = f"""{TOK}, numbered_tok AS (SELECT doc_id, doc_index, original, (coalesce(TRY_CAST(nullif(regexp_extract(doc_id, '([0-9]{{1,9}})$', 1), '') AS BIGINT), 0) * 31 + doc_index) % (SELECT count(*) FROM events) AS r FROM tok),
 ev AS (SELECT event_id, doc_id, doc_index, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'gold' WHEN 'view' THEN 'hyphenate-right' WHEN 'purchase' THEN 'hyphenate-left' ELSE 'discard' END AS action,
   CASE event_type WHEN 'click' THEN original || '!' WHEN 'view' THEN 'ti-me' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'ti-me' ELSE 'time' END END AS gold, ts AS made_at
-  FROM events JOIN numbered_tok ON r = event_id % (SELECT n FROM n)),
+  FROM events JOIN numbered_tok ON r = event_id),
 upd AS (
   SELECT doc_id, doc_index, event_id, made_at, gold AS set_gold, NULL::BOOLEAN AS set_hyphenated, NULL::BOOLEAN AS set_discarded, NULL::BOOLEAN AS set_error FROM ev WHERE action = 'gold'
   UNION ALL SELECT doc_id, doc_index, event_id, made_at, NULL, NULL, NULL, true FROM ev WHERE action = 'error'
@@ -615,24 +615,16 @@ red AS (SELECT doc_id, doc_index, {", ".join(f"arg_max(set_{c}, (made_at, event_
 
 
 def _events(spark, sf_dir):
-    """Annotators' requests made from the event stream: each event goes to a token by its number."""
-    t = _tokens(spark, sf_dir).select("doc_id", "doc_index", "original")
-    # numbers in order without one global window: counts per key range give the base
-    w = Window.partitionBy("doc_id", "rng").orderBy("doc_index")
-    rows = t.withColumn("rng", F.shiftright("doc_index", T.RANGE_BITS))
-    sizes = [(r.doc_id, r.rng, r.n) for r in rows.groupBy("doc_id", "rng").agg(F.count("*").alias("n")).orderBy("doc_id", "rng").toLocalIterator()]
-    base, listed = 0, []
-    for doc_id, rng, n in sizes:
-        listed.append((doc_id, rng, base))
-        base += n
-    bases = spark.createDataFrame(listed, "doc_id string, rng int, base long")
-    numbered = rows.withColumn("rn", F.row_number().over(w)).join(bases, ["doc_id", "rng"]).withColumn("r", F.col("base") + F.col("rn") - 1)
-    e = read_table(spark, sf_dir, "events").withColumn("r", F.col("event_id") % max(1, base))
+    """Annotators' requests made from the event stream: every token gets the event whose number its
+    document's number and its own place give."""
+    e = read_table(spark, sf_dir, "events")
+    number = F.coalesce(F.regexp_extract("doc_id", "([0-9]{1,9})$", 1).try_cast("long"), F.lit(0)) * 31 + F.col("doc_index")
+    numbered = _tokens(spark, sf_dir).select("doc_id", "doc_index", "original", (number % max(1, e.count())).alias("event_id"))
     kind = F.col("event_type")
     action = F.when(kind == "error", "error").when(kind == "click", "gold").when(kind == "view", "hyphenate-right").when(kind == "purchase", "hyphenate-left").otherwise("discard")
     odd = F.when(F.col("event_id") % 2 == 0, "ti-me").otherwise("time")
     gold = F.when(kind == "click", F.concat("original", F.lit("!"))).when(kind == "view", "ti-me").when(kind == "purchase", odd)
-    return e.join(numbered, "r").select("event_id", "doc_id", "doc_index", action.alias("action"), gold.alias("gold"), F.col("ts").alias("made_at"))
+    return e.join(numbered, "event_id").select("event_id", "doc_id", "doc_index", action.alias("action"), gold.alias("gold"), F.col("ts").alias("made_at"))
 
 
 @query(f"WITH {EVENTS} SELECT doc_id, doc_index, event_id, made_at, set_gold, set_hyphenated, set_discarded, set_error FROM upd WHERE set_hyphenated OR (set_gold = 'me')")
