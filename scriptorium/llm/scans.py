@@ -294,15 +294,23 @@ def _variants(df: DataFrame, role: str) -> DataFrame:
     return df.select("text", F.col("weight").cast("long").alias("weight")).mapInArrow(run, "v string, t string, n bigint").select(F.xxhash64("v").alias("v"), F.col("t").alias(role), F.col("n").alias(f"{role}_n"))
 
 
-def neighbours(words: DataFrame) -> DataFrame:
-    """``(text, near, near_n, near_dict, gap)``: the likeliest word a word outside the dictionary may stand for.
+def unseen_pairs(units: DataFrame, words: DataFrame) -> DataFrame:
+    """The distinct joined forms of two words at a line end without mark that occur nowhere as a word."""
+    joined = units.where("mark = 0 AND next <> ''").select(F.lower(whole(F.col("word"), F.col("next"))).alias("text")).distinct()
+    return joined.join(words.select("text"), "text", "left_anti")
+
+
+def neighbours(words: DataFrame, unseen: DataFrame) -> DataFrame:
+    """``(text, near, near_n, near_dict, gap)``: the likeliest word a word outside the dictionary, or an
+    ``unseen`` text, may stand for.
 
     ``words`` has ``text, n, n_changed, spread, in_dict``. Candidates are dictionary words and words
     at least ``FREQUENT`` times in more than one document; nearest first, then dictionary, then most frequent.
     """
     lexicon = words.where(F.col("in_dict") | ((F.col("n") >= FREQUENT) & F.col("spread") & (F.col("n_changed") * 4 <= F.col("n"))))
     base = lexicon.select("text", (F.col("n") * 2 + F.col("in_dict").cast("long")).alias("weight")).where("length(text) > 1")
-    asked = words.where("NOT in_dict AND NOT text RLIKE '^[0-9.,/]+$' AND length(text) > 1").select("text", F.col("n").alias("weight"))
+    asked = words.where("NOT in_dict").select("text", F.col("n").alias("weight")).unionByName(unseen.select("text", F.lit(1).cast("long").alias("weight")))
+    asked = asked.where("NOT text RLIKE '^[0-9.,/]+$' AND length(text) > 1")
     pairs = _variants(asked, "text").join(_variants(base, "near"), "v").where("text <> near").select("text", "near", "text_n", "near_n")
     size = F.length("text")
     limit = F.when(size < 4, 1).when(size < 7, 2).when(size < 11, 3).otherwise(4)
@@ -376,10 +384,10 @@ def units_with_lexicon(units: DataFrame, words: DataFrame, near: DataFrame) -> t
     """``(known, plain)``: the units to be edited, joined with what is known of the word, of the word
     with its continuation, and of the continuation; and ``(uid, single)`` of the pairs that are not.
 
-    Two words of a line end without mark are a pair only if their joined form is a word somewhere;
-    the others stand for their first word alone.
+    Two words of a line end without mark are a pair only if their joined form is a word somewhere or
+    has a neighbour; the others stand for their first word alone.
     """
-    stats = stage_table(words.join(near, "text", "left"), "lexicon")
+    stats = stage_table(words.join(near, "text", "full_outer"), "lexicon")
 
     def side(prefix: str, with_near: bool) -> DataFrame:
         names = {"n": "n", "n_same": "same", "n_changed": "changed", "spread": "spread", "in_dict": "dict"} | ({"near": "near", "near_n": "near_n", "near_dict": "near_dict", "gap": "gap"} if with_near else {})
@@ -580,7 +588,7 @@ def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int
         "words",
     )
     units = stage_table(read.where("word <> ''").select("uid", *UNIT).distinct(), "distinct")
-    known, plain = units_with_lexicon(units, words, neighbours(words))
+    known, plain = units_with_lexicon(units, words, neighbours(words, unseen_pairs(units, words)))
     known = stage_table(known, "units")
     # The sample is bounded by ``train_tokens``: it is sent to the units, not they to it.
     sample = _train_sample(read, train_tokens).select("uid", "gold_left", "gold_right", "gold_split", F.when((F.col("mark") == 0) & (F.col("next") != "") & ~F.coalesce("gold_split", F.lit(False)), single_id(F.col("word"))).alias("single"))
@@ -620,7 +628,8 @@ def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = T
     """``(doc_id, doc_index, kind)``: header, pageno, split, misread; a token once for each kind.
 
     Where a corrector changed a word it was misread; where one left it, the editor needs a wider
-    margin. The second half of a broken word is judged as part of it, a page number by its form.
+    margin. A word a corrector marked as broken is split whatever the editor says. The second half of a
+    broken word is judged as part of it, a page number by its form.
     """
     read, edits, plain = repaired_tokens(tokens, dict_words, train_tokens, with_text=False)
     edits = stage_table(edits.where(f"cut OR m_left > {EDIT_ABOVE}").drop("repaired", "m_join"), "edits")
@@ -637,8 +646,8 @@ def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = T
         F.when(joins | (part & (F.col("follow") >= 0)), case(F.col("follow"), "misread", 1, judged(F.col("bad_right"), "m_right"))),
     )
     number = F.when(F.col("is_pageno"), case(F.col("doc_index"), "misread", 2, ~F.lower("word").rlike(WELL_FORMED)))
-    direct = F.array_compact(F.array(number, F.when(F.col("bad_left"), case(F.col("doc_index"), "misread", 0, F.lit(True))), F.when(F.col("is_header"), case(F.col("doc_index"), "header", 0, F.lit(True))), F.when(F.col("is_pageno"), case(F.col("doc_index"), "pageno", 0, F.lit(True)))))
-    every = hit.select("doc_id", F.explode(F.array_compact(cases)).alias("c")).unionByName(read.where("bad_left OR is_header OR is_pageno").select("doc_id", F.explode(direct).alias("c")))
+    direct = F.array_compact(F.array(number, F.when(F.col("bad_left"), case(F.col("doc_index"), "misread", 0, F.lit(True))), F.when(F.col("is_header"), case(F.col("doc_index"), "header", 0, F.lit(True))), F.when(F.col("is_pageno"), case(F.col("doc_index"), "pageno", 0, F.lit(True))), F.when(F.col("gold_split"), case(F.col("doc_index"), "split", 0, F.lit(True))), F.when(F.col("gold_split") & F.col("bad_right").isNotNull(), case(F.col("follow"), "misread", 1, F.col("bad_right")))))
+    every = hit.select("doc_id", F.explode(F.array_compact(cases)).alias("c")).unionByName(read.where("bad_left OR is_header OR is_pageno OR gold_split").select("doc_id", F.explode(direct).alias("c")))
     # The verdict on the second half of a broken word goes before that on the token alone.
     strength = F.col("c.tail") * 2 + F.col("c.holds").cast("int")
     return every.groupBy("doc_id", "c.doc_index", "c.kind").agg(F.max(strength).alias("s")).where("s % 2 = 1").select("doc_id", "doc_index", "kind")

@@ -127,6 +127,28 @@ def test_empty_and_dirty_tables(spark):
     assert len(got) == len({tuple(r) for r in got})
 
 
+def two_lines(spark, lines, golds):
+    """One page of lines of words."""
+    rows = [(w, n, k) for n, line in enumerate(lines) for k, w in enumerate(line.split())]
+    return spark.createDataFrame([("d", i, w, None, False, golds.get(i), json.dumps([1, 60, 70 + 19 * n, 90, 84 + 19 * n, w, 1, n, k + 1]), None, None, "", "") for i, (w, n, k) in enumerate(rows)], TOKEN)
+
+
+def test_a_break_the_corrector_marked_is_split_whatever_the_editor_says(spark):
+    tokens = two_lines(spark, ["det var saa fretbvnl", "elſſe som det var"], {3: "frethvul" + SHY, 4: "elſe"})
+    words = spark.createDataFrame([("g", "og")], "group_name string, word string")
+    found = {tuple(r)[1:] for r in S.noisy_tokens(tokens, words, train_tokens=0).collect()}
+    assert {(3, "split"), (3, "misread"), (4, "misread")} <= found
+
+
+def test_an_unmarked_break_with_a_misread_half_is_a_pair(spark):
+    tokens = two_lines(spark, ["det var saa kirkesa", "uger som det var"], {})
+    words = spark.createDataFrame([("g", "kirkesanger"), ("g", "som")], "group_name string, word string")
+    read, _, plain = S.repaired_tokens(tokens, words, train_tokens=0)
+    pair = read.where("word = 'kirkesa' AND next = 'uger'").select("uid")
+    assert pair.count() == 1
+    assert pair.join(plain, "uid").count() == 0
+
+
 def test_the_newest_version_counts(spark, at):
     rows = [("d", 0, "og", None, False, g, None, at(m), at(n), "", "") for g, m, n in ((None, None, 9), ("a", 1, 3), ("b", 2, 1), ("c", 2, 0))]
     read = S.read_ranges(spark.createDataFrame(rows, TOKEN)).collect()
