@@ -667,20 +667,24 @@ def paragraphs(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRA
     """``(doc_id, first_index, n_tokens, text)``: continuous readable text, furniture removed, broken
     words joined and misread ones repaired, in pieces of one key range of a document at most.
 
-    A corrector's reading of a word is used where there is one. Pieces have at most half a thousand
+    A corrector's reading of a word is used where there is one, and a word a corrector marked as broken
+    is joined whatever the editor says. Pieces have at most half a thousand
     tokens, so no document, however long, is put together in one value.
     """
     read, edits, plain = repaired_tokens(tokens, dict_words, train_tokens)
     edits = stage_table(edits.where(f"joins OR m_left > {EDIT_ABOVE}"), "edits")
     rows = join_edits(read, for_all_units(edits, plain), "left")
-    joins = F.coalesce("joins", F.lit(False)) & ~F.col("is_pageno")
-    whole_gold = F.col("gold_split") & (F.col("gold_right") == "")
-    joined = dressed(F.coalesce(F.when(whole_gold, F.col("gold_left")), F.col("repaired")), F.col("shown"), F.col("next_shown"))
+    split = F.coalesce("gold_split", F.lit(False))
+    joins = split | (F.coalesce("joins", F.lit(False)) & ~F.col("is_pageno"))
+    # Of a half without correction the editor's reading counts where it agrees on the other half.
+    agreed = F.when(F.col("joins") & F.startswith("repaired", "gold_left"), F.col("repaired")).otherwise(whole(F.col("gold_left"), F.col("next")))
+    corrected = F.when(split, F.coalesce(whole(F.col("gold_left"), F.col("gold_right")), agreed))
+    joined = dressed(F.coalesce(corrected, F.col("repaired")), F.col("shown"), F.col("next_shown"))
     by_hand = dressed(F.col("gold_left"), F.col("shown"), F.col("shown"))
     by_editor = dressed(F.col("repaired"), F.col("shown"), F.col("shown"))
     shown = (
         F.when(joins, joined)
-        .when(F.col("bad_left") & ~F.coalesce("gold_split", F.lit(False)), by_hand)
+        .when(F.col("bad_left"), by_hand)
         .when(~F.col("labelled") & (F.col("m_left") > EDIT_ABOVE) & (F.col("repaired") != F.col("word")), by_editor)
         .otherwise(F.col("shown"))
     )

@@ -140,6 +140,14 @@ def test_a_break_the_corrector_marked_is_split_whatever_the_editor_says(spark):
     assert {(3, "split"), (3, "misread"), (4, "misread")} <= found
 
 
+def test_paragraphs_join_what_the_corrector_marked(spark):
+    words = spark.createDataFrame([("g", "og")], "group_name string, word string")
+    lines = ["det var saa fretbvnl", "elſſe som det var"]
+    for golds, whole in (({3: "frethvul" + SHY, 4: "else"}, "frethvulelse"), ({3: "frethvulelse", 4: ""}, "frethvulelse"), ({3: "frethvul" + SHY}, "frethvulelsse")):
+        (got,) = S.paragraphs(two_lines(spark, lines, golds), words, train_tokens=0).collect()
+        assert got.text == f"det var saa {whole} som det var"
+
+
 def test_an_unmarked_break_with_a_misread_half_is_a_pair(spark):
     tokens = two_lines(spark, ["det var saa kirkesa", "uger som det var"], {})
     words = spark.createDataFrame([("g", "kirkesanger"), ("g", "som")], "group_name string, word string")
