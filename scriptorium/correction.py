@@ -471,7 +471,7 @@ def kbest(spark, sf_dir):
 @query()
 def kbest_multichar(spark, sf_dir):
     groups = {"ce": ["æ"], "rn": ["m"], "cl": ["d"]}
-    return hmm.kbest_words(_words(spark, sf_dir).select(F.col("original").alias("word")), _model(spark, sf_dir), 2, groups).select("word", F.explode("kbest").alias("c")).select("word", "c.*")
+    return hmm.kbest_words(_words(spark, sf_dir).select(F.col("original").alias("word")), _model(spark, sf_dir), multichars=groups).select("word", F.explode("kbest").alias("c")).select("word", "c.*")
 
 
 @query()
