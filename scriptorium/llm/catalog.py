@@ -94,6 +94,24 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(read_table(spark, sf_dir, "documents"))
 
 
+SPANS_SQL = """
+WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 300),
+-- pieces of 1,000 places with their margins, so that no position is looked up in a long text
+piece AS (SELECT doc_id, p, greatest(p - 150, 1) AS base, substr(text, greatest(p - 150, 1), 1449 + least(p - 1, 150)) AS s FROM (SELECT *, unnest(generate_series(1, n, 1000)) AS p FROM t)),
+place AS (SELECT doc_id, p, base, s, unnest(generate_series(p, least(p + 999, base + length(s) - 150))) AS i FROM piece),
+hashed AS (SELECT doc_id, p, i, hash(substr(s, i - base + 1, 150)) AS h FROM place),
+-- every span of 300 holds a block of 150 that starts at a multiple of 150
+block AS (SELECT * FROM hashed WHERE i % 150 = 1),
+cand AS (SELECT DISTINCT b.doc_id AS a, b.i AS ai, b.p AS ap, h.doc_id AS c, h.i AS ci, h.p AS cp FROM block b JOIN hashed h ON b.h = h.h AND b.doc_id <> h.doc_id),
+ctx AS (SELECT a, c, substr(x.s, greatest(ai - x.base - 149, 1), least(150, ai - x.base)) AS al, substr(x.s, ai - x.base + 1, 300) AS ar,
+               substr(y.s, greatest(ci - y.base - 149, 1), least(150, ci - y.base)) AS cl, substr(y.s, ci - y.base + 1, 300) AS cr
+        FROM cand JOIN piece x ON x.doc_id = a AND x.p = ap JOIN piece y ON y.doc_id = c AND y.p = cp),
+ext AS (SELECT a, c, list_max(list_filter(generate_series(0, least(length(al), length(cl))), lambda k: right(al, k) = right(cl, k))) AS lk,
+               list_max(list_filter(generate_series(0, least(length(ar), length(cr))), lambda k: left(ar, k) = left(cr, k))) AS rk FROM (SELECT DISTINCT * FROM ctx))
+SELECT DISTINCT least(a, c) AS doc_id_a, greatest(a, c) AS doc_id_b FROM ext WHERE lk + rk >= 300
+"""
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_forms": p1_forms,
@@ -112,4 +130,5 @@ QUERIES = {
 SQL = {
     "p2_found": TERMS_SQL + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_term_counts": TERMS_SQL + "SELECT * FROM m",
+    "p8_found": SPANS_SQL,
 }
