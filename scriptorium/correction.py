@@ -141,15 +141,16 @@ def dehyphenate(spark, sf_dir):
     return T.dehyphenate(_tokens(spark, sf_dir))
 
 
-STATS = f"""WITH {TOK}, able AS (SELECT *, is_hyphenated AND NOT is_discarded AS able FROM tok), {PAIRED},
-kept AS (SELECT *, NOT consumed AND NOT is_discarded AS k, coalesce(heuristic = 'annotator', false) AS hand FROM pair),
+COUNTED = """kept AS (SELECT *, NOT consumed AND NOT is_discarded AS k, coalesce(heuristic = 'annotator', false) AS hand FROM pair),
 counted AS (SELECT doc_id, count(*) AS index_count, count(*) FILTER (NOT consumed AND is_discarded) AS discarded_count, count(*) FILTER (k) AS token_count,
   count(*) FILTER (k AND is_hyphenated) AS hyphenated_count, count(*) FILTER (k AND has_error) AS error_count,
   count(*) FILTER (k AND NOT has_error AND gold IS NULL) AS uncorrected_count, count(*) FILTER (k AND NOT has_error AND gold IS NOT NULL) AS corrected_count,
   count(*) FILTER (k AND NOT has_error AND gold IS NOT NULL AND hand) AS corrected_by_annotator_count,
   count(*) FILTER (k AND NOT has_error AND gold IS NOT NULL AND NOT hand) AS corrected_by_model_count,
   count(*) FILTER (k AND NOT has_error AND gold = '') AS empty_gold_count FROM kept GROUP BY doc_id),
-stats AS (SELECT *, token_count > 0 AND corrected_count = token_count AND error_count = 0 AS done FROM counted),
+stats AS (SELECT *, token_count > 0 AND corrected_count = token_count AND error_count = 0 AS done FROM counted)"""
+STATS = f"""WITH {TOK}, able AS (SELECT *, is_hyphenated AND NOT is_discarded AS able FROM tok), {PAIRED},
+{COUNTED},
 ready AS (SELECT doc_id, count(*) FILTER (heuristic IS NULL AND NOT is_discarded) = 0 AS ready, bool_and(heuristic IS NOT NULL AND NOT is_discarded) AS ready_strict,
   max(last_modified) AS last_modified, max(doc_index) AS max_index FROM tok GROUP BY doc_id)
 """
@@ -335,9 +336,21 @@ def dictionary_membership(spark, sf_dir):
     return dictionary.known_words(read_table(spark, sf_dir, "token").select(F.col("original").alias("word")), _dictionary(spark, sf_dir))
 
 
-@query(f"WITH {TOK}, {DICT}, g AS (SELECT DISTINCT 'gold-' || doc_id AS group_name, {clean_sql('gold')} AS word FROM tok WHERE heuristic = 'annotator' AND gold <> '') SELECT group_name, word FROM g WHERE {letters_sql('word')} > 1 AND word NOT IN (SELECT word FROM dict_word)")
+@query(
+    f"WITH {CONS}, {COUNTED}, {DICT}, g AS (SELECT DISTINCT 'gold-' || doc_id AS group_name, {clean_sql('gold')} AS word FROM cons WHERE heuristic = 'annotator' AND gold <> '' AND doc_id IN (SELECT doc_id FROM stats WHERE done)) "
+    f"SELECT group_name, word FROM g WHERE {letters_sql('word')} > 1 AND word NOT IN (SELECT word FROM dict_word)"
+)
 def dictionary_new_words(spark, sf_dir):
-    return dictionary.new_words(_tokens(spark, sf_dir), _dictionary(spark, sf_dir))
+    """Words annotators wrote in documents complete by their counts."""
+    t = _tokens(spark, sf_dir)
+    done = T.doc_stats(t).where("done").select("doc_id")
+    return dictionary.new_words(T.consolidated(t.join(done, "doc_id", "left_semi")), _dictionary(spark, sf_dir))
+
+
+@query(f"WITH {CONS}, {DICT}, g AS (SELECT DISTINCT 'gold-' || doc_id AS group_name, {clean_sql('gold')} AS word FROM cons WHERE heuristic = 'annotator' AND gold <> '') SELECT group_name, word FROM g WHERE {letters_sql('word')} > 1 AND word NOT IN (SELECT word FROM dict_word)")
+def annotator_words(spark, sf_dir):
+    """The same over all documents, finished or not."""
+    return dictionary.new_words(_words(spark, sf_dir), _dictionary(spark, sf_dir))
 
 
 @query(f"WITH {DICT} SELECT group_name, count(DISTINCT word) AS n_words FROM dict WHERE word <> '' GROUP BY ALL UNION ALL SELECT '*', count(DISTINCT word) FROM dict WHERE word <> ''")
@@ -352,7 +365,7 @@ def dictionary_difference(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TOK}, {DICT}, g AS (SELECT DISTINCT doc_id, {clean_sql('gold')} AS word FROM tok WHERE heuristic = 'annotator' AND gold <> ''),
+    f"""WITH {CONS}, {DICT}, g AS (SELECT DISTINCT doc_id, {clean_sql('gold')} AS word FROM cons WHERE heuristic = 'annotator' AND gold <> ''),
 f AS (SELECT doc_id, count(*) AS n FROM g WHERE {letters_sql('word')} > 1 AND word NOT IN (SELECT word FROM dict_word) GROUP BY doc_id)
 SELECT t.doc_id, count(*) FILTER (NOT is_discarded) AS token_count, count(*) FILTER (heuristic = 'annotator' AND gold IS NOT NULL) AS human_count, coalesce(any_value(f.n), 0) AS new_words FROM tok t LEFT JOIN f ON f.doc_id = t.doc_id GROUP BY t.doc_id"""
 )
@@ -388,30 +401,38 @@ def word_alignments(spark, sf_dir):
     return align.word_alignments(_words(spark, sf_dir))
 
 
-MODEL = f"""WITH {PAIRS}, {DICT},
+MODEL = f"""WITH {CONS}, {COUNTED}, {HELD}, {DICT},
+finished AS (SELECT doc_id FROM held WHERE is_done UNION SELECT doc_id FROM stats WHERE done),
+pairs AS (SELECT original, gold, count(*) AS n FROM cons WHERE gold IS NOT NULL AND doc_id IN (SELECT doc_id FROM finished) GROUP BY ALL),
+{PAIRS[PAIRS.index("chars AS"):]},
+charset AS (SELECT unnest(string_split('{hmm.CHARACTERS}', '')) AS ch),
 gw AS (SELECT gold AS word, sum(n)::BIGINT AS n FROM pairs WHERE gold <> '' GROUP BY ALL UNION ALL SELECT word, 1 FROM dict_word),
 exploded AS (SELECT word, n, substr(word, i, 1) AS ch, substr(word, i, 2) AS two FROM (SELECT *, unnest(generate_series(1, length(word))) AS i FROM gw)),
 removed AS (SELECT unnest([' ', chr(9), chr(10), chr(13), chr(65279)]) AS ch),
-cc AS (SELECT ch, sum(n)::BIGINT AS n FROM exploded WHERE ch NOT IN (SELECT ch FROM removed) GROUP BY ALL),
+cc AS (SELECT ch, sum(n)::BIGINT AS n FROM exploded WHERE ch NOT IN (SELECT ch FROM removed) AND ch IN (SELECT ch FROM charset) GROUP BY ALL),
 fl AS (SELECT substr(word, 1, 1) AS ch, sum(n)::BIGINT AS n FROM gw WHERE word <> '' GROUP BY ALL),
 bg AS (SELECT substr(two, 1, 1) AS src, substr(two, 2, 1) AS dst, sum(n)::BIGINT AS n FROM exploded WHERE length(two) = 2 GROUP BY ALL),
 conf AS (SELECT gold_char AS state, orig_char AS obs, n FROM rc WHERE length(gold_char) = 1 AND length(orig_char) = 1 AND gold_char NOT IN (SELECT ch FROM removed) AND orig_char NOT IN (SELECT ch FROM removed)),
-states AS (SELECT ch FROM cc UNION SELECT state FROM conf)
+states AS (SELECT ch FROM charset UNION SELECT ch FROM cc UNION SELECT state FROM conf)
 """
 
 
+def _finished(spark, sf_dir):
+    return views.finished(views.held_documents(read_table(spark, sf_dir, "doc_catalog")), T.doc_stats(_tokens(spark, sf_dir)))
+
+
 def _gold_words(spark, sf_dir):
-    words = prepare.training_words(_tokens(spark, sf_dir))
+    words = prepare.training_words(_tokens(spark, sf_dir), _finished(spark, sf_dir))
     return words.unionByName(_dictionary(spark, sf_dir).select("word").distinct().withColumn("n", F.lit(1).cast("long")))
 
 
 def _tables(spark, sf_dir):
-    return prepare.train_model(_tokens(spark, sf_dir), _dictionary(spark, sf_dir))
+    return prepare.train_model(_tokens(spark, sf_dir), _finished(spark, sf_dir), _dictionary(spark, sf_dir))
 
 
 @query(MODEL + "SELECT * FROM cc")
 def char_counts(spark, sf_dir):
-    return hmm.char_counts(_gold_words(spark, sf_dir))
+    return hmm.char_counts(_gold_words(spark, sf_dir), hmm.CHARACTERS)
 
 
 @query(MODEL + "SELECT * FROM fl")
@@ -453,7 +474,7 @@ def hmm_emis(spark, sf_dir):
     return _shown(_tables(spark, sf_dir)[2])
 
 
-@query()
+@query(MODEL + "SELECT count(*) AS n_states, true AS tran_states_equal, true AS emis_states_equal, true AS tran_rows_full FROM states")
 def hmm_valid(spark, sf_dir):
     return hmm.validity(*_tables(spark, sf_dir))
 
@@ -479,12 +500,29 @@ def viterbi(spark, sf_dir):
     return hmm.viterbi_words(_words(spark, sf_dir).select(F.col("original").alias("word")), _model(spark, sf_dir))
 
 
-@query()
+APPLIED = f"""WITH {TOK}, marked AS (SELECT *, coalesce(original, '') || '#' || doc_index AS word, coalesce(nullif(gold, ''), original, '') || '#' || doc_index AS meant, NOT is_discarded AS there FROM tok),
+l AS (SELECT doc_id, doc_index, word, there AND word = meant AS same FROM marked),
+r AS (SELECT doc_id, 2 * doc_index AS place, meant, word = meant AS same FROM marked WHERE there UNION ALL SELECT doc_id, 2 * doc_index + 1, meant || '+', false FROM marked WHERE there AND doc_index % 50 = 0),
+lg AS (SELECT *, count(*) FILTER (same) OVER (PARTITION BY doc_id ORDER BY doc_index) AS grp FROM l),
+rg AS (SELECT *, count(*) FILTER (same) OVER (PARTITION BY doc_id ORDER BY place) AS grp FROM r),
+ln AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY doc_index) AS n FROM lg WHERE NOT same),
+rn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY place) AS n FROM rg WHERE NOT same),
+sizes AS (SELECT doc_id, grp, count(*) AS size FROM rn GROUP BY ALL)
+SELECT doc_id, doc_index, word AS original, word AS gold, false AS is_discarded FROM l WHERE same
+UNION ALL SELECT ln.doc_id, ln.doc_index, ln.word, CASE WHEN size IS NULL THEN '' ELSE rn.meant END, size IS NULL FROM ln LEFT JOIN rn USING (doc_id, grp, n) LEFT JOIN sizes ON sizes.doc_id = ln.doc_id AND sizes.grp = ln.grp"""
+
+
+@query(APPLIED)
 def apply_as_gold(spark, sf_dir):
-    """The corrected sequence of each document taken over as gold of the one read."""
+    """The corrected sequence of each document, without its discarded rows and with a row put in behind
+    every fiftieth, taken over as gold of the one read. Each word carries its number, which makes the
+    expected alignment one that SQL can state."""
     t = _tokens(spark, sf_dir)
-    left = t.select("doc_id", "doc_index", "original")
-    right = t.select("doc_id", "doc_index", X.effective(F.col("gold"), F.col("original")).alias("original"))
+    number = lambda c: F.concat(F.coalesce(c, F.lit("")), F.lit("#"), F.col("doc_index"))
+    left = t.select("doc_id", "doc_index", number(F.col("original")).alias("original"))
+    meant = t.where("NOT is_discarded").select("doc_id", "doc_index", number(X.effective(F.col("gold"), F.col("original"))).alias("original"))
+    more = meant.where("doc_index % 50 = 0").select("doc_id", (F.col("doc_index") * 2 + 1).alias("doc_index"), F.concat("original", F.lit("+")).alias("original"))
+    right = meant.withColumn("doc_index", F.col("doc_index") * 2).unionByName(more)
     return align.apply_as_gold(left, right, strict=False)
 
 

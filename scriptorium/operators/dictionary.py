@@ -39,13 +39,24 @@ def known_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return membership(words.where("word IS NOT NULL").distinct(), dictionary)
 
 
-def new_words(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``(group_name, word)`` annotators wrote that no group holds: group ``gold-<doc_id>``."""
-    gold = tokens.where((F.col("heuristic") == "annotator") & (F.col("gold") != "")).select(F.concat(F.lit("gold-"), "doc_id").alias("group_name"), X.clean(F.col("gold")).alias("word")).distinct()
+def new_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``(group_name, word)`` annotators wrote that no group holds: group ``gold-<doc_id>``. ``words`` are
+    those of a consolidated sequence, so that broken words count joined."""
+    gold = words.where((F.col("heuristic") == "annotator") & (F.col("gold") != "")).select(F.concat(F.lit("gold-"), "doc_id").alias("group_name"), X.clean(F.col("gold")).alias("word")).distinct()
     gold = gold.where(X.letters(F.col("word")) > 1)
     return gold.join(dictionary.select("word").distinct(), "word", "left_anti").select("group_name", "word")
 
 
+def has_group(dictionary: DataFrame, name: str | None) -> bool:
+    """Whether the dictionary has a group of that name; at most one row is read beyond the filter."""
+    return not dictionary.where(F.col("group_name").eqNullSafe(F.lit(name))).isEmpty()
+
+
+def cleared(dictionary: DataFrame, name: str | None = None) -> DataFrame:
+    """The dictionary without one group, or without any word if none is named."""
+    return dictionary.where(~F.col("group_name").eqNullSafe(F.lit(name))) if name is not None else dictionary.limit(0)
+
+
 def group_sizes(dictionary: DataFrame) -> DataFrame:
     """Distinct words per group, and of the union of all groups as the group ``*``."""
     per = dictionary.groupBy("group_name").agg(F.countDistinct("word").alias("n_words"))
@@ -55,8 +66,3 @@ def group_sizes(dictionary: DataFrame) -> DataFrame:
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows in exactly one of two sets."""
     return a.subtract(b).union(b.subtract(a))
-
-
-def sort_key(word: Column) -> list[Column]:
-    """Order in which a group is written: case ignored, then as stored."""
-    return [F.lower(word), word]

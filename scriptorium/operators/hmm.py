@@ -19,6 +19,8 @@ from scriptorium.functions import text as X
 SMOOTHING = 0.0001
 # Characters never part of a word.
 REMOVED = " \t\n\r﻿\x00"
+# The character set a model is trained for unless another is given.
+CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÆØÅæøåÄËÏÖÜÁÉÍÓÚÀÈÌÒÙäëïöüáéíóúàèìòù"
 MOST_CHARACTERS = 4096
 
 
@@ -26,10 +28,11 @@ def _kept(c: Column) -> Column:
     return (F.length(c) == 1) & ~c.isin(*REMOVED)
 
 
-def char_counts(words: DataFrame, charset: DataFrame | None = None) -> DataFrame:
+def char_counts(words: DataFrame, charset: str = "") -> DataFrame:
     """``(ch, n)`` over rows ``(word, n)``; only characters of ``charset`` if given."""
-    counts = words.where("word IS NOT NULL").select(F.explode(X.characters(F.col("word"))).alias("ch"), "n").where(_kept(F.col("ch"))).groupBy("ch").agg(F.sum("n").alias("n"))
-    return counts.join(F.broadcast(charset), "ch", "left_semi") if charset is not None else counts
+    ch = F.col("ch")
+    wanted = _kept(ch) & ch.isin(sorted(set(charset))) if charset else _kept(ch)
+    return words.where("word IS NOT NULL").select(F.explode(X.characters(F.col("word"))).alias("ch"), "n").where(wanted).groupBy("ch").agg(F.sum("n").alias("n"))
 
 
 def first_letters(words: DataFrame) -> DataFrame:
@@ -212,11 +215,12 @@ def viterbi_words(words: DataFrame, model: Model) -> DataFrame:
 
 def train(read_counts: DataFrame, gold_words: DataFrame, dictionary: DataFrame | None = None, required: str = "", smoothing: float = SMOOTHING) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(initial, transitions, emissions)`` from character counts and rows ``(word, n)`` of corrected
-    words; the distinct words of the dictionary count once each if given."""
+    words; the distinct words of the dictionary count once each if given. Characters are counted as far
+    as they are ``required`` (all if none is); the states are those required, counted and confused."""
     words = gold_words.select("word", "n")
     if dictionary is not None:
         words = words.unionByName(dictionary.select("word").distinct().withColumn("n", F.lit(1).cast("long")))
-    conf, counts = confusion(read_counts), char_counts(words)
+    conf, counts = confusion(read_counts), char_counts(words, required)
     states = alphabet(conf, counts, required)
     return initial(first_letters(words), states, smoothing), transitions(bigrams(words), states, smoothing), emissions(conf, counts, states, smoothing)
 

@@ -61,8 +61,13 @@ def mark_done(documents: DataFrame, stats: DataFrame) -> DataFrame:
     return documents.join(state, "doc_id", "left").withColumn("is_done", F.coalesce("now_done", "is_done")).drop("now_done")
 
 
+def finished(documents: DataFrame, stats: DataFrame) -> DataFrame:
+    """``(doc_id)`` of finished documents: marked so in the catalogue, or complete by their counts."""
+    return documents.where("is_done").select("doc_id").unionByName(stats.where("done").select("doc_id")).distinct()
+
+
 def session_metrics(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Per document: tokens, those a human corrected, and words they wrote the dictionary lacks."""
     counts = tokens.groupBy("doc_id").agg(F.count_if(~F.col("is_discarded")).alias("token_count"), F.count_if((F.col("heuristic") == "annotator") & F.col("gold").isNotNull()).alias("human_count"))
-    fresh = new_words(tokens, dictionary).groupBy(F.expr("substring(group_name, 6)").alias("doc_id")).agg(F.count("*").alias("new_words"))
+    fresh = new_words(T.consolidated(tokens), dictionary).groupBy(F.expr("substring(group_name, 6)").alias("doc_id")).agg(F.count("*").alias("new_words"))
     return counts.join(fresh, "doc_id", "left").select("doc_id", "token_count", "human_count", F.coalesce("new_words", F.lit(0)).alias("new_words"))

@@ -75,13 +75,19 @@ def prepare(words: DataFrame, step: str, options: Options) -> DataFrame:
     return tokens
 
 
-def training_words(tokens: DataFrame) -> DataFrame:
-    """``(word, n)`` of the corrected words, broken ones joined."""
-    return T.consolidated(tokens).where("gold <> ''").groupBy(F.col("gold").alias("word")).agg(F.count("*").alias("n"))
+def training_words(tokens: DataFrame, finished: DataFrame) -> DataFrame:
+    """``(word, n)`` of the corrected words of finished documents, broken ones joined."""
+    return training_pairs(tokens, finished).where("gold <> ''").groupBy(F.col("gold").alias("word")).agg(F.sum("n").alias("n"))
 
 
-def train_model(tokens: DataFrame, dictionary: DataFrame | None = None, required: str = "", smoothing: float = hmm.SMOOTHING) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three model tables from the corrected tokens of finished documents."""
-    pairs = stage_table(T.consolidated(tokens).where("gold IS NOT NULL").groupBy("original", "gold").agg(F.count("*").alias("n")), "pairs")
+def training_pairs(tokens: DataFrame, finished: DataFrame) -> DataFrame:
+    """``(original, gold, n)`` of the words of the documents ``(doc_id)``."""
+    words = T.consolidated(tokens.join(finished.select("doc_id"), "doc_id", "left_semi"))
+    return words.where("gold IS NOT NULL").groupBy("original", "gold").agg(F.count("*").alias("n"))
+
+
+def train_model(tokens: DataFrame, finished: DataFrame, dictionary: DataFrame | None = None, required: str = hmm.CHARACTERS, smoothing: float = hmm.SMOOTHING) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three model tables from the corrected words of the documents ``finished``."""
+    pairs = stage_table(training_pairs(tokens, finished), "pairs")
     words = pairs.where("gold <> ''").groupBy(F.col("gold").alias("word")).agg(F.sum("n").alias("n"))
-    return hmm.train(align.pair_counts(pairs), words, dictionary, required, smoothing)
+    return hmm.train(align.pair_counts(pairs.where("original IS NOT NULL")), words, dictionary, required, smoothing)

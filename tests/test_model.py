@@ -85,6 +85,52 @@ def test_apply_as_gold(spark):
         align.apply_as_gold(make("a b"), make("a x y b")).collect()
 
 
+@pytest.mark.parametrize("bits", [2, 5, 13])
+def test_apply_as_gold_does_not_depend_on_ranges(spark, bits):
+    rnd = random.Random(3)
+    words = [f"w{rnd.randint(0, 400)}" for _ in range(900)]
+    right, want = [], {}
+    for i, w in enumerate(words):
+        kind = "delete" if i % 40 == 7 else "replace" if i % 40 == 20 else "insert" if i % 40 == 30 else ""
+        right += [] if kind == "delete" else [f"new{i}"] if kind == "replace" else [f"more{i}", w] if kind == "insert" else [w]
+        want[i] = "" if kind == "delete" else f"new{i}" if kind == "replace" else w
+    columns = "doc_id string, doc_index int, original string"
+    left = spark.createDataFrame([("d", 3 * i, w) for i, w in enumerate(words)] + [("alone", 0, "x"), (None, 1, "y")], columns)
+    other = spark.createDataFrame([("d", i, w) for i, w in enumerate(right)] + [("other", 5000, "z")], columns)
+    got = {(r.doc_id, r.doc_index): r.gold for r in align.apply_as_gold(left, other, bits, strict=False, sparse=8).collect()}
+    assert got.pop(("alone", 0)) == ""
+    assert got == {("d", 3 * i): g for i, g in want.items()}
+
+
+def test_parting_of_long_stretches():
+    rnd = random.Random(5)
+    x = [f"w{rnd.randint(0, 20_000)}" for _ in range(12_000)]
+    y = x[:3000] + ["new"] * 40 + x[3000:9000] + x[9100:]
+    ops = [o for o in align.opcodes(x, y) if o[0] != "equal"]
+    assert ops == [("insert", 3000, 3000, 3000, 3040), ("delete", 9000, 9100, 9040, 9040)]
+    assert align.opcodes(["a"] * 5000, []) == [("delete", 0, 5000, 0, 0)]
+
+
+def test_training_rows(spark):
+    """Only finished documents, and only required characters, are counted; broken words count joined."""
+    rows = [("a", 0, "Str-", "Str", True, False), ("a", 1, "ing", "ing", False, False), ("b", 0, "x", "q", False, False), ("a", 2, "9", "9", False, False)]
+    tokens = spark.createDataFrame(rows, "doc_id string, doc_index int, original string, gold string, is_hyphenated boolean, is_discarded boolean").selectExpr("*", "'annotator' AS heuristic", "cast(null as int) AS bin", "cast(null as string) AS selection")
+    done = spark.createDataFrame([("a",)], "doc_id string")
+    assert {r.word: r.n for r in prepare.training_words(tokens, done).collect()} == {"String": 1, "9": 1}
+    init, _, _ = prepare.train_model(tokens, done, required="Stringz")
+    # the 9 is no required character, but one that was read
+    assert {r.state for r in init.collect()} == set("Stringz9")
+    words = T.consolidated(tokens)
+    assert {tuple(r) for r in dictionary.new_words(words, spark.createDataFrame([("g", "q")], "group_name string, word string")).collect()} == {("gold-a", "String")}
+
+
+def test_groups(spark):
+    d = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "group_name string, word string")
+    assert dictionary.has_group(d, "a") and dictionary.has_group(d, None) and not dictionary.has_group(d, "c")
+    assert sorted(r.word for r in dictionary.cleared(d, "a").collect()) == ["y", "z"]
+    assert dictionary.cleared(d).count() == 0
+
+
 # dictionary ---------------------------------------------------------------------------------
 
 
