@@ -53,6 +53,32 @@ def test_the_form_is_stable_and_composed(value):
     assert unicodedata.normalize("NFKC", form) == form
 
 
+def test_look_alikes_of_other_alphabets(spark):
+    wide = N.look_alikes(spark)
+    assert 200 < len(wide) < 5000
+    for mixed, form in [("h\u0585lm", "holm"), ("\u13aaf", "af"), ("\u2c9fg", "og"), ("d\ua4d0", "db"), ("\u1d0fg", "og"), ("t\u0269l", "til"), ("p\u03b1a", "paa")]:
+        assert N.consistent_form(mixed, wide) == form
+        assert N.has_variant(mixed, wide)
+        assert N.consistent_form(N.consistent_form(mixed, wide), wide) == form
+    # words wholly in another alphabet stay, but for those whose letters all look exactly like Latin ones
+    for kept in ["\u0585\u0578\u0582", "\u13aa\u13a0", "\u03b1\u03bd\u03b1", "κριδος", "гридла"]:
+        assert not N.has_variant(kept, wide)
+
+
+def test_the_plan_holds_the_normalisation(spark):
+    plan = N.variant_tokens(rows(spark, [("d", 0, "оg", None, "", 0)]))._jdf.queryExecution().executedPlan().toString()
+    assert "normalized_values" in plan
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x2fff), max_size=8))
+def test_a_settled_form_is_no_variant(value):
+    """What normalisation leaves is no variant any more, unless it holds accents without a composed letter."""
+    visible = N.visible_form(value).replace(" ", "")
+    if not any(unicodedata.combining(c) for c in visible):
+        assert not N.has_variant(visible)
+
+
 def rows(spark, data):
     return spark.createDataFrame(data, "doc_id string, doc_index int, original string, gold string, value string, form int")
 
@@ -70,10 +96,10 @@ def test_empty(spark):
 
 def test_columns_agree_with_the_function(spark):
     values = ["Og", "Ｏg", "", None, "å", "ÅB", "a b", "ſ"]
-    got = N.normalized(rows(spark, [("d", i, v, None, "", 0) for i, v in enumerate(values)])).collect()
+    got = N.normalized(N.field_values(rows(spark, [("d", i, v, None, "", 0) for i, v in enumerate(values)]))).collect()
     assert {r.value: (r.form, r.variant) for r in got} == {v: (N.consistent_form(v), N.has_variant(v)) for v in values if v is not None}
 
 
 def test_spellings_of_a_form(spark):
     got = N.form_table(rows(spark, [("d", 0, "og", None, "", 0), ("d", 1, "оg", None, "", 0), ("d", 2, "og", None, "", 0)])).collect()
-    assert [tuple(r) for r in got] == [("original", "og", 2, 3)]
+    assert [tuple(r) for r in got] == [("original", "og", 2, 1, 3)]
