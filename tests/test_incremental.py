@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from scriptorium.operators import incremental as M
 
@@ -58,14 +59,77 @@ def test_runs_publish_exactly_the_differences(spark, tmp_path):
     assert M.run_once(spark.createDataFrame(second, STATE), root).count() == 0
 
 
-def test_a_run_that_died_before_its_marker_is_repeated_whole(spark, tmp_path):
+class Death(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", range(4))
+def test_a_run_may_die_between_any_two_steps(spark, tmp_path, monkeypatch, step):
+    """Before output, records, tree or marker are written: the next run gives the same rows as if it were the first."""
+    root = str(tmp_path / "store")
+    M.run_once(spark.createDataFrame([("d", 0, "a"), ("d", 500, "b"), ("e", 1, "c")], STATE), root)
+    last = M.published(spark, root)
+    state = spark.createDataFrame([("d", 0, "A"), ("d", 500, "b"), ("f", 1, "c")], STATE)
+    written = []
+    original = DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        if path.startswith(root):
+            if len(written) == step:
+                raise Death
+            written.append(path)
+        return original(self, path, *args, **kwargs)
+
+    def publish(*args):
+        raise Death
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", parquet)
+        if step == 3:
+            m.setattr(M, "publish", publish)
+        with pytest.raises(Death):
+            M.run_once(state, root)
+    assert M.published(spark, root) == last
+    got = sorted((r.doc_id, r.doc_index, r.kind) for r in M.run_once(state, root).collect())
+    assert got == [("d", 0, "changed"), ("e", 1, "gone"), ("f", 1, "new")]
+    assert M.run_once(state, root).count() == 0
+
+
+def test_of_two_runs_at_once_one_publishes(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "store")
     M.run_once(spark.createDataFrame([("d", 0, "a")], STATE), root)
-    last = M.published_version(spark, root)
-    state = spark.createDataFrame([("d", 0, "b")], STATE)
-    state.write.parquet(f"{root}/v000000002-dead/output")  # written, never published
-    assert M.published_version(spark, root) == last
-    assert [r.kind for r in M.run_once(state, root).collect()] == ["changed"]
+    one, other = (spark.createDataFrame([("d", 0, c)], STATE) for c in "bc")
+    original = M.publish
+
+    def late(*args):
+        monkeypatch.setattr(M, "publish", original)
+        assert [r.content for r in M.run_once(other, root).collect()] == ["c"]
+        original(*args)
+
+    monkeypatch.setattr(M, "publish", late)
+    with pytest.raises(M.AlreadyPublished):
+        M.run_once(one, root)
+    assert len(M.published(spark, root)) == 2
+    assert [(r.content, r.kind) for r in M.run_once(one, root).collect()] == [("b", "changed")]
+
+
+def test_a_run_writes_and_reads_only_changed_leaves(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = [("d", i, "x") for i in range(2000)]
+    M.run_once(spark.createDataFrame(rows, STATE), root)
+    M.run_once(spark.createDataFrame([*rows[:700], ("d", 700, "y"), *rows[701:]], STATE), root)
+    last = M.published(spark, root)[-1]
+    assert spark.read.parquet(f"{last}/state").count() == 1 << M.LEAF_BITS
+    assert spark.read.parquet(f"{last}/tree").count() == M.LEVELS
+    # from the version before and the last one
+    third = [*rows[:10], ("d", 10, "z"), *rows[11:700], ("d", 700, "y"), ("d", 701, "y"), *rows[702:]]
+    assert sorted((r.doc_index, r.content) for r in M.run_once(spark.createDataFrame(third, STATE), root).collect()) == [(10, "z"), (701, "y")]
+
+
+def test_paired_trees_descend_to_the_same_leaves(spark):
+    rows = [("d", i, None if i == 5 else ("x",), None if i == 300 else ("y" if i == 700 else "x",)) for i in range(1000)]
+    state = spark.createDataFrame(rows, "doc_id string, doc_index int, now struct<v:string>, then struct<v:string>")
+    assert sorted(r.node for r in M.descend(M.paired_levels(state)).collect()) == [5 >> M.LEAF_BITS, 300 >> M.LEAF_BITS, 700 >> M.LEAF_BITS]
 
 
 def test_descent_reaches_only_changed_leaves(spark):
