@@ -6,12 +6,13 @@ bits of ``(field, value)`` and adds them up. A value found in a third of all row
 partitions in round one and arrives in round two as at most one row per partition of round one, so
 neither a hot value nor a hot record ever meets in one task.
 
-Inside a task the rows of its partition stream in. While they fit into ``limit`` rows they are one
-leaf; beyond that they are spilled to files by the next ``FAN_BITS`` hash bits, and every file is
-treated the same way again, down to the last bit. A leaf is aggregated by DuckDB, which works out
-of core in the same folder. Before the first shuffle every input batch is aggregated by DuckDB as
-well. Spill files lie in the shared folder the cluster names, one folder per task attempt, removed
-when the attempt ends either way.
+Inside a task the rows of its partition stream in. While they fit into ``limit`` bytes they are one
+leaf; beyond that equal keys are united first, and if that does not halve them they are spilled to
+files by the next ``FAN_BITS`` hash bits, and every file is treated the same way again, down to the
+last bit. A leaf is aggregated by DuckDB, which works out of core beside the files where that is a
+path it can open. Before the first shuffle runs of input batches are aggregated by DuckDB as well.
+Spill files lie in the shared folder the cluster names, on whatever file system that is, one folder
+per task attempt, removed when the attempt ends either way.
 
 Defined results: NULL and '' are no values. A NULL record adds an occurrence, but no record.
 Values are compared exactly as stored. Empty input gives an empty result.
@@ -19,30 +20,46 @@ Values are compared exactly as stored. Empty input gives an empty result.
 
 from __future__ import annotations
 
-import os
-import shutil
+import posixpath
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.common import local_path, read_table, scratch_dir
+from scriptorium.common import scratch_dir
 
-LIMIT_ROWS = 1_000_000
+LIMIT_BYTES = 32 << 20
 FAN_BITS = 4
 MEMORY_MB = 256
+CHUNK_ROWS = 200_000
 RARE_BELOW = 3
 COMMON_ABOVE_PERCENT = 30
 
 # hash bits are taken from the top: the first ROOT_BITS choose the partition, then FAN_BITS a level
 ROOT_BITS = 16
 
+Aggregate = Callable[[pa.Table], pa.Table]
+Batches = Iterator[pa.RecordBatch]
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder, as the cluster names it."""
+    scheme, colon, rest = uri.partition(":")
+    if colon and scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    if colon and scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
 
 def _connection(folder: str, memory_mb: int) -> duckdb.DuckDBPyConnection:
+    """``folder``: where DuckDB may write, '' for nowhere."""
     con = duckdb.connect(":memory:")
     con.execute("SET threads = 1")
     con.execute(f"SET memory_limit = '{memory_mb}MB'")
@@ -51,93 +68,135 @@ def _connection(folder: str, memory_mb: int) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _write(batches: list[pa.RecordBatch], writers: dict, folder: str, shift: int) -> None:
-    """Append rows to the spill file of their next hash bits."""
-    table = pa.Table.from_batches(batches)
-    digits = (table.column("h").to_numpy().view("uint64") >> np.uint64(shift)) & np.uint64((1 << FAN_BITS) - 1)
-    order = np.argsort(digits, kind="stable")
-    table, digits = table.take(pa.array(order)), digits[order]
-    starts = np.flatnonzero(np.r_[True, digits[1:] != digits[:-1]])
-    for a, b in zip(starts, [*starts[1:], len(digits)], strict=True):
-        d = int(digits[a])
-        if d not in writers:
-            writers[d] = pa.ipc.new_file(os.path.join(folder, f"{d:02d}.arrow"), table.schema)
-        writers[d].write_table(table.slice(a, b - a))
+def _aggregate(con: duckdb.DuckDBPyConnection, sql: str) -> Aggregate:
+    """``sql`` over a table named ``leaf``."""
 
+    def run(table: pa.Table) -> pa.Table:
+        con.register("leaf", table)
+        try:
+            return con.sql(sql).to_arrow_table()
+        finally:
+            con.unregister("leaf")
+
+    return run
 
-def _leaves(batches: Iterator[pa.RecordBatch], folder: str, used_bits: int, limit: int) -> Iterator[pa.Table]:
-    """Tables of at most ``limit`` rows in which no key is divided; recursive over the hash bits.
 
-    Rows that agree in all 64 bits cannot be divided: they stay one leaf, aggregated out of core.
+class Spill:
+    """A folder for the files of one task attempt; made when the first is written, removed with all."""
+
+    def __init__(self, uri: str):
+        self.fs, base = file_system(uri)
+        self.folder = posixpath.join(base, f"radix-{uuid.uuid4().hex}")
+        self.made = False
+        self.files = 0
+
+    def local(self) -> str:
+        """The folder, if DuckDB can open it."""
+        return self.folder if isinstance(self.fs, pafs.LocalFileSystem) else ""
+
+    def new(self) -> str:
+        if not self.made:
+            self.fs.create_dir(self.folder, recursive=True)
+            self.made = True
+        self.files += 1
+        return posixpath.join(self.folder, f"{self.files:06d}.arrow")
+
+    def close(self) -> None:
+        with suppress(FileNotFoundError):
+            self.fs.delete_dir(self.folder)
+
+
+class Parts:
+    """The spill files of one level, by the next hash bits."""
+
+    def __init__(self, spill: Spill, shift: int):
+        self.spill, self.shift = spill, shift
+        self.open: dict[int, tuple[str, pa.NativeFile, pa.RecordBatchStreamWriter]] = {}
+
+    def write(self, table: pa.Table) -> None:
+        digits = (table.column("h").to_numpy().view("uint64") >> np.uint64(self.shift)) & np.uint64((1 << FAN_BITS) - 1)
+        order = np.argsort(digits, kind="stable")
+        table, digits = table.take(pa.array(order)), digits[order]
+        starts = np.flatnonzero(np.r_[True, digits[1:] != digits[:-1]])
+        for a, b in zip(starts, [*starts[1:], len(digits)], strict=True):
+            d = int(digits[a])
+            if d not in self.open:
+                path = self.spill.new()
+                sink = self.spill.fs.open_output_stream(path)
+                self.open[d] = path, sink, pa.ipc.new_stream(sink, table.schema)
+            self.open[d][2].write_table(table.slice(a, b - a))
+
+    def read(self) -> Iterator[Batches]:
+        for _, sink, writer in self.open.values():
+            writer.close()
+            sink.close()
+        for d in sorted(self.open):
+            path = self.open[d][0]
+            with self.spill.fs.open_input_stream(path) as source:
+                yield iter(pa.ipc.open_stream(source))
+            self.spill.fs.delete_file(path)
+
+
+def _leaves(batches: Batches, spill: Spill, used_bits: int, limit: int, unite: Aggregate) -> Iterator[pa.Table]:
+    """Tables of at most about ``limit`` bytes in which no key is divided; recursive over the hash bits.
+
+    What is held is united by key before it is spilled, so a key found over and over takes one row.
     """
-    held, rows = [], 0
-    writers: dict = {}
+    held: list[pa.RecordBatch] = []
+    size, parts = 0, None
     shift = 64 - used_bits - FAN_BITS
-    here = ""
     for batch in batches:
         held.append(batch)
-        rows += batch.num_rows
-        if rows > limit and shift >= 0:
-            if not here:
-                here = os.path.join(folder, uuid.uuid4().hex)
-                os.makedirs(here)
-            _write(held, writers, here, shift)
-            held, rows = [], 0
-    if not here:
+        size += batch.nbytes
+        if size > limit:
+            table = unite(pa.Table.from_batches(held))
+            if shift >= 0 and table.nbytes * 2 > limit:
+                parts = parts or Parts(spill, shift)
+                parts.write(table)
+                held, size = [], 0
+            else:
+                # keys that agree in all 64 bits cannot be parted: they are few, and stay united
+                held, size = table.to_batches(), table.nbytes if shift >= 0 else 0
+    if parts is None:
         if held:
             yield pa.Table.from_batches(held)
         return
     if held:
-        _write(held, writers, here, shift)
-    for w in writers.values():
-        w.close()
-    for d in sorted(writers):
-        path = os.path.join(here, f"{d:02d}.arrow")
-        with pa.OSFile(path) as source:
-            reader = pa.ipc.open_file(source)
-            yield from _leaves((reader.get_batch(i) for i in range(reader.num_record_batches)), here, used_bits + FAN_BITS, limit)
-        os.unlink(path)
-    shutil.rmtree(here, ignore_errors=True)
-
-
-def _radix_aggregate(sql: str, spill: str, limit: int, memory_mb: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A ``mapInArrow`` function: leaves of the partition, each aggregated by ``sql`` over ``leaf``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = os.path.join(spill, uuid.uuid4().hex)
-        os.makedirs(folder)
+        parts.write(pa.Table.from_batches(held))
+    for part in parts.read():
+        yield from _leaves(part, spill, used_bits + FAN_BITS, limit, unite)
+
+
+def _radix_aggregate(sql: str, unite: str, spill_uri: str, limit: int, memory_mb: int) -> Callable[[Batches], Batches]:
+    """A ``mapInArrow`` function: leaves of the partition, each aggregated by ``sql`` over ``leaf``;
+    ``unite`` adds up the rows of equal keys and keeps the columns."""
+
+    def run(batches: Batches) -> Batches:
+        spill = Spill(spill_uri)
+        con = _connection(spill.local(), memory_mb)
         try:
-            con = _connection(folder, memory_mb)
-            for leaf in _leaves(batches, folder, ROOT_BITS, limit):
-                con.register("leaf", leaf)
-                yield from con.execute(sql).to_arrow_table().to_batches(max_chunksize=50_000)
-                con.unregister("leaf")
-            con.close()
+            for leaf in _leaves(batches, spill, ROOT_BITS, limit, _aggregate(con, unite)):
+                yield from _aggregate(con, sql)(leaf).to_batches(max_chunksize=50_000)
         finally:
-            shutil.rmtree(folder, ignore_errors=True)
+            con.close()
+            spill.close()
 
     return run
 
 
-def _batch_aggregate(sql: str, memory_mb: int, spill: str, chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Aggregate runs of ``chunk`` rows as they stream in; keys may recur between runs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        con, held, rows = _connection(spill, memory_mb), [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            con.register("leaf", pa.Table.from_batches(held))
-            yield from con.execute(sql).to_arrow_table().to_batches(max_chunksize=50_000)
-            con.unregister("leaf")
+def _batch_aggregate(sql: str, limit: int, memory_mb: int) -> Callable[[Batches], Batches]:
+    """Aggregate runs of rows as they stream in; keys may recur between runs."""
 
+    def run(batches: Batches) -> Batches:
+        con, held, rows, size = _connection("", memory_mb), [], 0, 0
         for batch in batches:
             held.append(batch)
-            rows += batch.num_rows
-            if rows >= chunk:
-                yield from flush()
-                held, rows = [], 0
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= CHUNK_ROWS or size > limit:
+                yield from _aggregate(con, sql)(pa.Table.from_batches(held)).to_batches(max_chunksize=50_000)
+                held, rows, size = [], 0, 0
         if held:
-            yield from flush()
+            yield from _aggregate(con, sql)(pa.Table.from_batches(held)).to_batches(max_chunksize=50_000)
         con.close()
 
     return run
@@ -148,26 +207,26 @@ def _by_radix(df: DataFrame, partitions: int) -> DataFrame:
     return df.repartition(partitions, F.shiftrightunsigned("h", 64 - ROOT_BITS))
 
 
-def term_frequencies(values: DataFrame, limit: int = LIMIT_ROWS, memory_mb: int = MEMORY_MB, partitions: int | None = None) -> DataFrame:
+def term_frequencies(values: DataFrame, limit: int = LIMIT_BYTES, memory_mb: int = MEMORY_MB, partitions: int | None = None) -> DataFrame:
     """``(field_name, term, n, n_docs)`` from rows ``(field_name, term, doc_id)``."""
     spark = values.sparkSession
-    spill = os.path.join(local_path(scratch_dir(spark)), f"radix-{uuid.uuid4().hex}")
-    os.makedirs(spill, exist_ok=True)
+    spill = scratch_dir(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = values.where("term IS NOT NULL AND term <> ''").select("field_name", "term", "doc_id")
     first = rows.mapInArrow(
-        _batch_aggregate("SELECT field_name, term, doc_id, count(*)::BIGINT AS n FROM leaf GROUP BY ALL", memory_mb, spill, 200_000),
+        _batch_aggregate("SELECT field_name, term, doc_id, count(*)::BIGINT AS n FROM leaf GROUP BY ALL", limit, memory_mb),
         "field_name string, term string, doc_id string, n bigint",
     )
     pairs = first.withColumn("h", F.xxhash64("field_name", "term", "doc_id"))
-    inner = "SELECT field_name, term, doc_id, sum(n)::BIGINT AS n FROM leaf GROUP BY ALL"
+    inner = "SELECT field_name, term, doc_id, sum(n)::BIGINT AS n, h FROM leaf GROUP BY ALL"
     counted = _by_radix(pairs, parts).mapInArrow(
-        _radix_aggregate(f"SELECT field_name, term, sum(n)::BIGINT AS n, count(doc_id)::BIGINT AS n_docs FROM ({inner}) GROUP BY ALL", spill, limit, memory_mb),
+        _radix_aggregate(f"SELECT field_name, term, sum(n)::BIGINT AS n, count(doc_id)::BIGINT AS n_docs FROM ({inner}) GROUP BY ALL", inner, spill, limit, memory_mb),
         "field_name string, term string, n bigint, n_docs bigint",
     )
     sums = counted.withColumn("h", F.xxhash64("field_name", "term"))
+    outer = "sum(n)::BIGINT AS n, sum(n_docs)::BIGINT AS n_docs"
     return _by_radix(sums, parts).mapInArrow(
-        _radix_aggregate("SELECT field_name, term, sum(n)::BIGINT AS n, sum(n_docs)::BIGINT AS n_docs FROM leaf GROUP BY ALL", spill, limit, memory_mb),
+        _radix_aggregate(f"SELECT field_name, term, {outer} FROM leaf GROUP BY ALL", f"SELECT field_name, term, {outer}, h FROM leaf GROUP BY ALL", spill, limit, memory_mb),
         "field_name string, term string, n bigint, n_docs bigint",
     )
 
@@ -194,7 +253,3 @@ def marked_terms(tokens: DataFrame, kbest: DataFrame, rare_below: int = RARE_BEL
     totals = F.broadcast(record_counts(tokens, kbest))
     mark = F.when(F.col("n_docs") < rare_below, "rare").when(F.col("n_docs") * 100 > F.col("n_records") * common_above_percent, "common")
     return counts.join(totals, "field_name").select("field_name", "term", "n", "n_docs", mark.alias("mark"))
-
-
-def from_dir(spark, sf_dir: str) -> DataFrame:
-    return marked_terms(read_table(spark, sf_dir, "token"), read_table(spark, sf_dir, "kbest"))

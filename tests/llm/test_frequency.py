@@ -2,6 +2,7 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from scriptorium.common import local_path, scratch_dir
@@ -28,7 +29,7 @@ def spills(spark):
     return [f for d, _, names in os.walk(root) if "radix-" in d for f in names]
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 40])
+@pytest.mark.parametrize("limit", [32 << 20, 4000])
 def test_against_brute_force_with_and_without_spilling(spark, limit):
     rows = sample(1)
     df = spark.createDataFrame(rows, "field_name string, term string, doc_id string").repartition(3)
@@ -38,12 +39,38 @@ def test_against_brute_force_with_and_without_spilling(spark, limit):
     assert spills(spark) == []  # nothing is left behind
 
 
-def test_equal_hash_bits_end_the_recursion(tmp_path):
-    import pyarrow as pa
+def parted(uri, h, limit):
+    spill = Q.Spill(uri)
+    con = Q._connection("", 64)
+    batches = [pa.RecordBatch.from_pydict({"h": pa.array(h[i : i + 100], pa.int64()), "n": [1] * len(h[i : i + 100])}) for i in range(0, len(h), 100)]
+    unite = Q._aggregate(con, "SELECT h, sum(n)::BIGINT AS n FROM leaf GROUP BY ALL")
+    leaves = list(Q._leaves(iter(batches), spill, Q.ROOT_BITS, limit, unite))
+    spill.close()
+    return leaves, spill
+
+
+@pytest.mark.parametrize("uri", ["local", "mock:///shared"])
+def test_spilling_over_several_levels_on_any_file_system(tmp_path, uri):
+    rnd = random.Random(4)
+    h = [rnd.getrandbits(47) - (1 << 46) for _ in range(20_000)] + [7] * 5000
+    leaves, spill = parted(f"file://{tmp_path}" if uri == "local" else uri, h, 2000)
+    assert spill.files > 16 + 256  # three levels
+    owner = {}
+    total = Counter()
+    for k, leaf in enumerate(leaves):
+        for key, n in zip(leaf["h"].to_pylist(), leaf["n"].to_pylist(), strict=True):
+            assert owner.setdefault(key, k) == k
+            total[key] += n
+    assert total == Counter(h)
+    assert all(leaf.nbytes <= 8000 for leaf in leaves)
+    assert os.listdir(tmp_path) == []
+
 
-    batch = pa.RecordBatch.from_pydict({"h": pa.array([7] * 50, pa.int64()), "v": list(range(50))})
-    leaves = list(Q._leaves(iter([batch]), str(tmp_path), Q.ROOT_BITS, 10))
-    assert sum(t.num_rows for t in leaves) == 50
+def test_equal_hash_bits_end_the_recursion(tmp_path):
+    """A key found over and over, and keys that agree in all bits, are united and not parted for ever."""
+    leaves, spill = parted(f"file://{tmp_path}", [7] * 5000, 1000)
+    assert sum(sum(t["n"].to_pylist()) for t in leaves) == 5000
+    assert spill.files == 0
 
 
 def test_marks(spark):
