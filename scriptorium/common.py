@@ -1,8 +1,10 @@
-"""Session helpers shared by all operators: table access, the shared scratch folder, lineage cuts."""
+"""Session helpers shared by all operators: table access, the shared scratch folder, staged tables.
+
+A staged table is a written one: it cuts the lineage and survives the loss of any executor.
+"""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -20,7 +22,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a local folder is made and set.
+    Only where the setting is absent and Spark runs in one process (tests, a laptop) a local folder is
+    made and set; on a cluster a missing setting is an error, since a local folder is not shared.
     """
     configured = spark.conf.get(SCRATCH_KEY, None)
     if configured:
@@ -28,6 +31,8 @@ def scratch_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError(f"{SCRATCH_KEY} must name a folder all executors share")
     made = tempfile.mkdtemp(prefix="scriptorium-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -45,27 +50,21 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them from there from now on."""
-    spark = df.sparkSession
-    scratch_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 _STAGED: list[str] = []
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of it (columnar, prunable).
 
-    Results read such tables, so they stay until ``release_stages``.
+    Results read such tables, so they stay until ``release_stages``, or until Spark ends.
     """
-    path = scratch_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     _STAGED.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release_stages(spark: SparkSession) -> int:
@@ -81,7 +80,3 @@ def release_stages(spark: SparkSession) -> int:
 def block_of(index: Column, bits: int) -> Column:
     """The number of the ``2**bits`` wide key range an integer key falls in; NULL counts as 0."""
     return F.shiftright(F.coalesce(index.cast("long"), F.lit(0)), bits)
-
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)

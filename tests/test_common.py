@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from scriptorium import common as C
 
 
@@ -12,7 +14,20 @@ def test_staged_tables_are_released(spark):
     assert not os.path.exists(path)
 
 
-def test_lineage_is_cut_in_the_shared_folder(spark):
-    df = C.cut_lineage(spark.range(5).selectExpr("id * 2 AS v"))
-    assert sorted(r.v for r in df.collect()) == [0, 2, 4, 6, 8]
-    assert "Scan ExistingRDD" in df._jdf.queryExecution().toString()
+def test_a_cluster_must_name_the_shared_folder(monkeypatch):
+    class Nothing:
+        def isDefined(self):  # noqa: N802
+            return False
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class _jsc:  # noqa: N801
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(Nothing)}))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        C.scratch_dir(Session)
