@@ -5,6 +5,7 @@ A staged table is a written one: it cuts the lineage and survives the loss of an
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -80,3 +81,7 @@ def release_stages(spark: SparkSession) -> int:
 def block_of(index: Column, bits: int) -> Column:
     """The number of the ``2**bits`` wide key range an integer key falls in; NULL counts as 0."""
     return F.shiftright(F.coalesce(index.cast("long"), F.lit(0)), bits)
+
+
+def env_path(name: str, default: str) -> str:
+    return os.environ.get(name, default)
