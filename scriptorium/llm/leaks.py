@@ -7,19 +7,22 @@ is searched as windows of two blocks of ``BLOCK`` shingles: any passage of up to
 shingles lies whole in one window. Items are cut into queries of at most ``QUERY`` words and
 partitioned by size; as in an LSH ensemble, each partition turns the containment to be found
 (``NEEDED`` shingles, what a shortest passage with a misread word keeps) into a Jaccard bound, and
-from it the number of one-row bands that reach ``RECALL``. A window and a query that share a
-minimum are a candidate; candidates with ``SHARED`` exact shingles in common go on, and their words
-are aligned: a case is ``MIN_WORDS`` consecutive words of the item, of which one in ten may be
-misread (look similar, or be divided). No candidate is capped.
+from it the number of one-row bands that reach ``RECALL``. The minima of all queries are a table, the
+index. A window and a query that share a minimum are a candidate, found by a join; candidates with
+``SHARED`` exact shingles in common go on, and their words are aligned: a case is ``MIN_WORDS``
+consecutive words of the item, of which one in ten may be misread (look similar, or be divided). No
+candidate is capped.
 
-Items are the stated queries: they are processed in blocks of ``ITEM_WORDS`` words against all
-documents, and only such a block, whose size is fixed, is sent to the tasks.
+The corpus is read once, whatever the number of items. Of its windows only those go to the join that
+have a minimum in a Bloom filter of the index, with the words around them, as far as the longest item
+may reach. The filter has ``FILTER_BITS`` bits at most (8 MB); when it fills up more windows go to the
+join, with the same result. Neither items nor candidates are ever collected.
 
 Shingles of three words instead of five: a passage of 15 words with a misread one keeps at least
 ten of 13 shingles of three, but possibly five of 11 of five.
 
 Defined results: NULL or empty texts on either side give nothing; items of fewer than ``MIN_WORDS``
-words give nothing; repeated documents and items count each; NULL ids are left out.
+words give nothing; rows that share an id count as one document or item; NULL ids are left out.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.common import stage_table
 from scriptorium.llm.normalize import CYRILLIC, GREEK, IGNORABLE, LATIN, STROKED, STROKES
 
 SHINGLE = 3
@@ -46,7 +50,7 @@ MIN_WORDS = 15
 NEEDED = 10
 SHARED = 6
 RECALL = 1 - 1e-6
-ITEM_WORDS = 50_000
+FILTER_BITS = 1 << 26
 MISREAD_SHARE = 0.1
 ALIKE = 0.5
 FURNITURE_WORDS = 8
@@ -107,81 +111,72 @@ def hash_functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     return (rng.integers(0, 1 << 32, n, dtype=np.uint64) | np.uint64(1)).astype(np.uint32), rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
 
 
-class Queries:
-    """A block of items: their words, shingles, and a table of minima for every hash function."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        hashes = WordHash()
-        self.ids, self.words = [], []
-        sets: list[tuple[int, np.ndarray]] = []
-        for item_id, text in items:
-            words = words_of(text)
-            if len(words) < MIN_WORDS:
-                continue
-            s = shingles(hashes.of(words))
-            for at in range(0, max(1, len(words) - QUERY + STRIDE), STRIDE):
-                part = np.unique(s[at : at + QUERY - SHINGLE + 1])
-                if len(part):
-                    sets.append((len(self.ids), part))
-            self.ids.append(item_id)
-            self.words.append(words)
-        # size partitions: powers of two of the number of shingles
-        bands = [bands_needed(1 << max(0, int(len(part) - 1).bit_length())) for _, part in sets]
-        self.a, self.b = hash_functions(max(bands, default=0))
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for j in range(len(self.a)):
-            rows = [(int((part * self.a[j] + self.b[j]).min()), i) for (i, part), n in zip(sets, bands, strict=True) if n > j]
-            rows.sort()
-            values = np.array([v for v, _ in rows], dtype=np.uint32)
-            present = np.zeros(1 << 16, dtype=bool)
-            present[values & np.uint32(0xFFFF)] = True
-            self.tables.append((values, np.array([i for _, i in rows], dtype="int64"), present))
-        keys = [(np.uint64(i) << np.uint64(32)) | part.astype(np.uint64) for i, part in sets]
-        self.keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, dtype=np.uint64)
-
-    def candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
-        """``(document number, first block, item number)`` with SHARED exact shingles in a window."""
-        padded, owner = [], []
-        for d, s in enumerate(docs):
-            if len(s):
-                blocks = -(-len(s) // BLOCK)
-                padded.append(np.concatenate([s, np.full(blocks * BLOCK - len(s), s[-1], dtype=np.uint32)]))
-                owner.append(np.full(blocks, d))
-        if not padded or not len(self.keys):
-            return
-        flat = np.concatenate(padded)
-        doc_of = np.concatenate(owner)
-        rows = np.ascontiguousarray(flat.reshape(-1, BLOCK).T)
-        follows = np.append(doc_of[1:] == doc_of[:-1], False)
-        found = []
-        for j, (values, item, present) in enumerate(self.tables):
-            least = (rows * self.a[j] + self.b[j]).min(axis=0)
-            after = np.append(least[1:], np.uint32(0xFFFFFFFF))
-            least = np.where(follows, np.minimum(least, after), least)
-            at = np.flatnonzero(present[least & np.uint32(0xFFFF)])
-            low, high = np.searchsorted(values, least[at], "left"), np.searchsorted(values, least[at], "right")
-            n = high - low
-            if n.any():
-                at, low, n = at[n > 0], low[n > 0], n[n > 0]
-                steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append((np.repeat(at, n).astype(np.int64) << 32) | item[np.repeat(low, n) + steps])
-        if not found:
-            return
-        pairs = np.unique(np.concatenate(found))
-        window, item = pairs >> 32, pairs & 0xFFFFFFFF
-        blocks = rows.T
-        for start in range(0, len(pairs), 20_000):
-            w, i = window[start : start + 20_000], item[start : start + 20_000]
-            second = np.where(follows[w], w + 1, w)
-            s = np.concatenate([blocks[w], blocks[second]], axis=1)
-            s.sort(axis=1)
-            new = np.concatenate([np.ones((len(s), 1), dtype=bool), s[:, 1:] != s[:, :-1]], axis=1)
-            keys = (i.astype(np.uint64)[:, None] << np.uint64(32)) | s
-            spot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            common = ((self.keys[spot] == keys) & new).sum(axis=1)
-            first_block = np.searchsorted(doc_of, doc_of[w])
-            for k in np.flatnonzero(common >= SHARED):
-                yield int(doc_of[w[k]]), int(w[k] - first_block[k]), int(i[k])
+def queries_of(words: list[str], hashes: WordHash) -> Iterator[np.ndarray]:
+    """The shingle sets an item is searched by."""
+    s = shingles(hashes.of(words))
+    for at in range(0, max(1, len(words) - QUERY + STRIDE), STRIDE):
+        part = np.unique(s[at : at + QUERY - SHINGLE + 1])
+        if len(part):
+            yield part
+
+
+def bands_of(query_shingles: int) -> int:
+    """Bands of the size partition of a query: powers of two of the number of shingles."""
+    return bands_needed(1 << max(0, int(query_shingles - 1).bit_length()))
+
+
+def index_keys(words: list[str], hashes: WordHash, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The minima of all queries of an item, each with the number of its band in the upper half."""
+    a, b = functions
+    found = []
+    for part in queries_of(words, hashes):
+        n = bands_of(len(part))
+        least = (part[None, :] * a[:n, None] + b[:n, None]).min(axis=1)
+        found.append((np.arange(n, dtype=np.uint64) << np.uint64(32)) | least.astype(np.uint64))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.uint64)
+
+
+def filter_slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each key in a filter of ``bits`` bits, a power of two."""
+    h = keys * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    mask = np.uint64(bits - 1)
+    return h & mask, (h >> np.uint64(36)) & mask
+
+
+def windows_of(docs: list[np.ndarray], present: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, list[int]]]:
+    """``(document number, first block, keys)`` of the windows with minima in the filter ``present``."""
+    padded, owner = [], []
+    for d, s in enumerate(docs):
+        if len(s):
+            blocks = -(-len(s) // BLOCK)
+            padded.append(np.concatenate([s, np.full(blocks * BLOCK - len(s), s[-1], dtype=np.uint32)]))
+            owner.append(np.full(blocks, d))
+    if not padded:
+        return
+    flat, doc_of = np.concatenate(padded), np.concatenate(owner)
+    rows = np.ascontiguousarray(flat.reshape(-1, BLOCK).T)
+    follows = np.append(doc_of[1:] == doc_of[:-1], False)
+    at, keys = [], []
+    for j, (a, b) in enumerate(zip(*functions, strict=True)):
+        least = (rows * a + b).min(axis=0)
+        after = np.append(least[1:], np.uint32(0xFFFFFFFF))
+        least = np.where(follows, np.minimum(least, after), least).astype(np.uint64) | np.uint64(j << 32)
+        one, two = filter_slots(least, len(present))
+        hit = np.flatnonzero(present[one])
+        hit = hit[present[two[hit]]]
+        at.append(hit)
+        keys.append(least[hit])
+    every, values = np.concatenate(at), np.concatenate(keys).view("int64")
+    order = np.argsort(every, kind="stable")
+    every, values = every[order], values[order]
+    if not len(every):
+        return
+    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    for low, high in zip(starts, [*starts[1:], len(every)], strict=True):
+        w = int(every[low])
+        d = int(doc_of[w])
+        yield d, w - int(np.searchsorted(doc_of, d)), values[low:high].tolist()
 
 
 def alike(x: str, y: str) -> bool:
@@ -238,11 +233,60 @@ def _edge(item: list[str], words: list[str], i: int, d: int, step: int) -> int:
     return int(0 <= i < len(item) and 0 <= d < len(words) and alike(item[i], words[d]))
 
 
-def search_block(items: list[tuple[int, str]]):
-    """A ``mapInArrow`` function that reports ``(doc_id, item_id, n_words)`` for a block of items."""
+def item_words(items: DataFrame) -> DataFrame:
+    """``(item_id, words, n)`` of the items long enough to hold a passage; words parted by blanks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32())], names=["item_id", "words", "n"])
+
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    return known.mapInArrow(run, "item_id bigint, words string, n int").where(F.col("n") >= MIN_WORDS)
+
+
+def index_of(items: DataFrame, functions: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The index ``(key, item_id)`` of ``item_words``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            for item, words in zip(batch.column("item_id").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                keys = index_keys(words.split(" "), hashes, functions).view("int64")
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.full(len(keys), item, dtype="int64"))], names=["key", "item_id"])
+
+    return items.mapInArrow(run, "key bigint, item_id bigint").distinct()
+
+
+def filter_of(index: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys: sixteen bits for each, ``FILTER_BITS`` at most."""
+    bits = min(FILTER_BITS, 1 << max(16, (16 * index.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, hashes = Queries(items), WordHash()
+        mine = np.zeros(bits // 64, dtype=np.uint64)
+        for batch in batches:
+            for slots in filter_slots(batch.column("key").to_numpy().view("uint64"), bits):
+                np.bitwise_or.at(mine, slots >> np.uint64(6), np.uint64(1) << (slots & np.uint64(63)))
+        used = np.flatnonzero(mine)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype("int32")), pa.array(mine[used].view("int64"))], names=["word", "bits"])
+
+    # at most FILTER_BITS / 64 rows, however many the keys
+    parts = index.select("key").mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[parts["word"].to_numpy()] = parts["bits"].to_numpy().astype("int64").view("uint64")
+    return np.packbits(np.unpackbits(out.view(np.uint8), bitorder="little"))
+
+
+HIT_SCHEMA = "doc_id bigint, place int, keys array<bigint>, inside int, words string"
+
+
+def matching_windows(documents: DataFrame, packed: np.ndarray, functions: tuple[np.ndarray, np.ndarray], margin: int) -> DataFrame:
+    """``(doc_id, place, keys, inside, words)``: the windows with minima in the filter, with ``margin`` words
+    around; ``place`` is the window's first word in the document, ``inside`` that in ``words``."""
+    shared = documents.sparkSession.sparkContext.broadcast(packed)  # of bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, present = WordHash(), np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             at = 0
@@ -252,58 +296,61 @@ def search_block(items: list[tuple[int, str]]):
                     words.append(words_of(texts[end]))
                     size += len(words[-1])
                     end += 1
-                regions: dict[tuple[int, int], list[int]] = {}
-                for d, block, i in queries.candidates([shingles(hashes.of(w)) for w in words]):
-                    regions.setdefault((d, i), []).append(block)
-                out = []
-                for (d, i), blocks in regions.items():
-                    item = queries.words[i]
-                    margin = len(item) + FURNITURE_WORDS + 2 * BLOCK
-                    best = 0
-                    for low, high in _regions(sorted(blocks), margin):
-                        best = max(best, longest_passage(item, words[d][low:high]))
-                    if best >= MIN_WORDS:
-                        out.append((ids[at + d], queries.ids[i], best))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "n_words"])
+                out: list[list] = [[], [], [], [], []]
+                for d, block, keys in windows_of([shingles(hashes.of(w)) for w in words], present, functions):
+                    place = block * BLOCK
+                    low = max(0, place - margin)
+                    around = words[d][low : place + 2 * BLOCK + SHINGLE + margin]
+                    for column, value in zip(out, (ids[at + d], place, keys, place - low, " ".join(around)), strict=True):
+                        column.append(value)
+                if out[0]:
+                    types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "place", "keys", "inside", "words"])
                 at = end
 
-    return run
-
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    return texts.mapInArrow(run, HIT_SCHEMA)
 
-def _regions(blocks: list[int], margin: int) -> Iterator[tuple[int, int]]:
-    """Word ranges around candidate windows, united where they meet."""
-    low = high = None
-    for b in blocks:
-        x, y = max(0, b * BLOCK - margin), (b + 2) * BLOCK + SHINGLE + margin
-        if high is not None and x <= high and y - low <= 8 * margin:
-            high = y
-        else:
-            if high is not None:
-                yield low, high
-            low, high = x, y
-    if high is not None:
-        yield low, high
 
+def verified(candidates: DataFrame) -> DataFrame:
+    """``(doc_id, item_id, n_words)`` of the candidates ``(doc_id, item_id, item, inside, words)`` that hold
+    a passage: exact shingle containment in the window first, then the alignment of the words."""
 
-def leaks(documents: DataFrame, items: DataFrame, item_words: int = ITEM_WORDS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        known: dict[str, np.ndarray] = {}
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for doc, item_id, item, inside, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "item", "inside", "words")), strict=True):
+                item_list, around = item.split(" "), words.split(" ")
+                s = known.get(item)
+                if s is None:
+                    if len(known) > 10_000:
+                        known.clear()
+                    s = known[item] = np.unique(shingles(hashes.of(item_list)))
+                window = np.unique(shingles(hashes.of(around[inside : inside + 2 * BLOCK + SHINGLE - 1])))
+                if np.isin(window, s, assume_unique=True).sum() < SHARED:
+                    continue
+                best = longest_passage(item_list, around)
+                if best >= MIN_WORDS:
+                    for column, value in zip(out, (doc, item_id, best), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "n_words"])
+
+    return candidates.select("doc_id", "item_id", "item", "inside", "words").mapInArrow(run, "doc_id bigint, item_id bigint, n_words int")
+
+
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id, n_words)`` of every document that holds a passage of an item."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    schema = "doc_id bigint, item_id bigint, n_words int"
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
-        n = row.text.count(" ") + 1
-        if size + n > item_words and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item_id, row.text))
-        size += n
-    result = None
-    for block in blocks:
-        part = texts.mapInArrow(search_block(block), schema)
-        result = part if result is None else result.unionByName(part)
-    return result.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+    queries = stage_table(item_words(items), "items")
+    longest = queries.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    functions = hash_functions(bands_of(max(1, min(longest, QUERY) - SHINGLE + 1)))
+    index = stage_table(index_of(queries, functions), "index")
+    margin = longest + FURNITURE_WORDS + 2 * BLOCK
+    hits = stage_table(matching_windows(documents, filter_of(index), functions, margin), "windows")
+    pairs = hits.select("doc_id", "place", F.explode("keys").alias("key")).join(index, "key").select("doc_id", "place", "item_id").distinct()
+    candidates = pairs.join(hits.select("doc_id", "place", "inside", "words"), ["doc_id", "place"]).join(queries.select("item_id", F.col("words").alias("item")), "item_id")
+    return verified(candidates).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def case():
 
 def test_every_passage_is_found_and_nothing_else(spark, case):
     items, docs, truth = case
-    found = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"), item_words=500)
+    found = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == truth
 
 
