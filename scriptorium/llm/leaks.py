@@ -51,6 +51,7 @@ NEEDED = 10
 SHARED = 6
 RECALL = 1 - 1e-6
 FILTER_BITS = 1 << 26
+SLOTS = 3
 MISREAD_SHARE = 0.1
 ALIKE = 0.5
 FURNITURE_WORDS = 8
@@ -136,12 +137,11 @@ def index_keys(words: list[str], hashes: WordHash, functions: tuple[np.ndarray,
     return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.uint64)
 
 
-def filter_slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of each key in a filter of ``bits`` bits, a power of two."""
-    h = keys * np.uint64(0x9E3779B97F4A7C15)
+def filter_slots(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The ``k``-th place of each key in a filter of ``bits`` bits, a power of two."""
+    h = (keys + np.uint64((k + 1) * 0xD1342543DE82EF95 % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    mask = np.uint64(bits - 1)
-    return h & mask, (h >> np.uint64(36)) & mask
+    return (h >> np.uint64(32)) & np.uint64(bits - 1)
 
 
 def windows_of(docs: list[np.ndarray], present: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, list[int]]]:
@@ -162,9 +162,9 @@ def windows_of(docs: list[np.ndarray], present: np.ndarray, functions: tuple[np.
         least = (rows * a + b).min(axis=0)
         after = np.append(least[1:], np.uint32(0xFFFFFFFF))
         least = np.where(follows, np.minimum(least, after), least).astype(np.uint64) | np.uint64(j << 32)
-        one, two = filter_slots(least, len(present))
-        hit = np.flatnonzero(present[one])
-        hit = hit[present[two[hit]]]
+        hit = np.arange(len(least))
+        for k in range(SLOTS):
+            hit = hit[present[filter_slots(least[hit], len(present), k)]]
         at.append(hit)
         keys.append(least[hit])
     every, values = np.concatenate(at), np.concatenate(keys).view("int64")
@@ -259,13 +259,16 @@ def index_of(items: DataFrame, functions: tuple[np.ndarray, np.ndarray]) -> Data
 
 
 def filter_of(index: DataFrame) -> np.ndarray:
-    """A Bloom filter of the keys: sixteen bits for each, ``FILTER_BITS`` at most."""
-    bits = min(FILTER_BITS, 1 << max(16, (16 * index.count()).bit_length()))
+    """A Bloom filter of the keys: at least 128 bits for each, ``FILTER_BITS`` at most."""
+    bits = min(FILTER_BITS, 1 << (128 * index.count()).bit_length())
+    bits = max(64, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(bits // 64, dtype=np.uint64)
         for batch in batches:
-            for slots in filter_slots(batch.column("key").to_numpy().view("uint64"), bits):
+            keys = batch.column("key").to_numpy().view("uint64")
+            for k in range(SLOTS):
+                slots = filter_slots(keys, bits, k)
                 np.bitwise_or.at(mine, slots >> np.uint64(6), np.uint64(1) << (slots & np.uint64(63)))
         used = np.flatnonzero(mine)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype("int32")), pa.array(mine[used].view("int64"))], names=["word", "bits"])
