@@ -10,6 +10,7 @@ scored together as one matrix.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from difflib import SequenceMatcher
 from typing import NamedTuple
 
@@ -105,22 +106,45 @@ def feature(tag: int, *parts: np.ndarray) -> np.ndarray:
     return ((h * _U(0xBF58476D1CE4E5B9)) >> _U(64 - 17)).astype(np.int32)
 
 
+GRAM_SLOTS = 1 << 20
+
+
+def gram_slot(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The place of three characters in a sketch of GRAM_SLOTS counters."""
+    h = ((a << 42) | (b << 21) | c).astype(_U) * _U(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9) >> _U(44)).astype(np.int64)
+
+
+def gram_slots(words: list[str]) -> np.ndarray:
+    """The places of all groups of three characters of words, two marks around each."""
+    text = "".join(f"^^{w}$$" for w in words)
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    if not len(c):
+        return np.empty(0, dtype=np.int64)
+    ends = np.cumsum([len(w) + 4 for w in words])
+    inside = np.ones(len(c), dtype=bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    at = np.flatnonzero(inside)
+    return gram_slot(c[at], c[at + 1], c[at + 2])
+
+
+def gram_sketch(slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    out = np.zeros(GRAM_SLOTS, dtype=np.uint8)
+    out[slots] = np.minimum(9, np.floor(np.log2(np.maximum(counts, 1))) + 1)
+    return out
+
+
 class Featurizer:
     """Feature numbers (character, feature) of many words at once."""
 
-    def __init__(self, grams: dict[str, int] | None = None) -> None:
-        """``grams``: how often each group of three characters occurs in the words of the lexicon."""
+    def __init__(self, grams: np.ndarray | None = None) -> None:
+        """``grams``: for the hash of each group of three characters how often it occurs in the words of
+        the lexicon, as a number of bits (``gram_sketch``)."""
         if not _CASE:
             _CASE.append(_tables())
-        pairs = sorted((self._key(*map(ord, g)), min(9, n.bit_length())) for g, n in (grams or {}).items() if len(g) == 3)
-        self.keys = np.array([k for k, _ in pairs] or [-1], dtype=np.int64)
-        self.sizes = np.array([n for _, n in pairs] or [0], dtype=np.int64)
+        self.grams = np.zeros(GRAM_SLOTS, dtype=np.uint8) if grams is None else grams
         self.names: dict[str, int] = {}
 
-    @staticmethod
-    def _key(a, b, c):  # noqa: ANN001, ANN205 - integers or arrays of them
-        return (a << 42) | (b << 21) | c
-
     def _name(self, s: str) -> int:
         r = self.names.get(s)
         if r is None:
@@ -144,7 +168,7 @@ class Featurizer:
         shift = lambda x, k, edge: self._shifted(x, k, edge, heads, tails)
         before, after = shift(c, -1, 94), shift(c, 1, 36)
         l1, l2, r1, r2 = shift(low, -1, 94), shift(low, -2, 94), shift(low, 1, 36), shift(low, 2, 36)
-        rare = [self._rarity(k) for k in (self._key(l2, l1, low), self._key(l1, low, r1), self._key(low, r1, r2))]
+        rare = [self._rarity(k) for k in (gram_slot(l2, l1, low), gram_slot(l1, low, r1), gram_slot(low, r1, r2))]
         few, many = np.minimum(np.minimum(rare[0], rare[1]), rare[2]), np.maximum(np.maximum(rare[0], rare[1]), rare[2])
         per = lambda values: np.repeat(np.array(values, dtype=np.int64), sizes)
         least = np.zeros(len(items), dtype=np.int64)
@@ -211,16 +235,40 @@ class Featurizer:
             out = moved
         return out
 
-    def _rarity(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.sizes[at], 0)
+    def _rarity(self, slots: np.ndarray) -> np.ndarray:
+        return self.grams[slots].astype(np.int64)
+
+
+def letters_brought(pairs: list[tuple[str, str]]) -> dict[tuple[int, str], str]:
+    """What replacements and insertions at each character brought most often in pairs ``(read, meant)``."""
+    seen: dict[tuple[int, str], Counter] = {}
+    for read, meant in pairs:
+        for c, op, new in zip(read, *operations(read, meant), strict=True):
+            if op in (REPLACE, INSERT):
+                seen.setdefault((op, c), Counter())[new] += 1
+    return {k: max(n.items(), key=lambda x: (x[1], x[0]))[0] for k, n in seen.items()}
 
 
 class Editor:
-    """The trained weights; scores all characters of many words at once."""
+    """The trained weights, and the letters replacements and insertions brought most often; scores all
+    characters of many words at once."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: np.ndarray, brings: dict[tuple[int, str], str] | None = None):
         self.weights = weights
+        self.brings = brings or {}
+
+    def edited(self, text: str, scores: np.ndarray, near: str | None) -> str:
+        """The word after the predicted operations. A letter to bring is that of the neighbour, if it has
+        the same operation there, else the one learned for the character."""
+        best = scores.argmax(axis=1).tolist()
+        if not any(KEEP < op < JOIN for op in best):
+            return text
+        there, letters = operations(text, near) if near is not None else ([KEEP] * len(text), [""] * len(text))
+        out = []
+        for c, op, same, new in zip(text, best, there, letters, strict=True):
+            brought = new if op == same else self.brings.get((op, c), "" if op == INSERT else c)
+            out.append(c if op in (KEEP, JOIN) else brought if op == REPLACE else brought + c if op == INSERT else "")
+        return "".join(out)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         """Scores (character, operation) of a matrix of feature numbers (character, feature)."""

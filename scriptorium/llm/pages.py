@@ -11,8 +11,6 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
-from scriptorium.llm.normalize import visible_form
-
 HYPHEN_MARKS = "-=¬⸗‐‑－"
 SOFT = "­"
 OUTER = ".,;:!?()[]{}«»„“”\"'‚‘’›‹*"
@@ -28,13 +26,8 @@ FIRST_LINE, LAST_LINE, NUMERIC, SEQUENCE, FRAME, REPEATED, SHORT_LINE, CAPITALS,
 BITS = 12
 
 
-def word_key(text: str) -> str:
-    """The word compared: the visible form without soft hyphens, outer punctuation and long s."""
-    return bare_key(visible_form(text))
-
-
 def bare_key(visible: str) -> str:
-    """``word_key`` of a visible form."""
+    """The word compared: a visible form without soft hyphens, outer punctuation and long s."""
     t = visible.replace(SOFT, "").replace("ſ", "s")
     return t.strip(OUTER) or t
 
@@ -133,6 +126,7 @@ def paged(tokens: list[str], keys: list[str], spans: list[tuple[int, list[tuple[
             offsets[slot, value] = offsets.get((slot, value), 0) + 1
         numbered = {i for f in found if f[0] == "first" for i in f[1]}
         firsts.append((a, b, [i for i in range(a, b) if i not in numbered]))
+    alike = repeated_lines([[keys[i].lower() for i in rest] for _, _, rest in firsts])
     agreed = {s: max((n, o) for (t, o), n in offsets.items() if t == s) for s in slots}
     for p, (page, lines) in enumerate(spans):
         (a, b), (c, d) = lines[0], lines[-1]
@@ -152,17 +146,62 @@ def paged(tokens: list[str], keys: list[str], spans: list[tuple[int, list[tuple[
                 if FRAMED.match(tokens[i]) or ORNAMENT.match(tokens[i]) or is_label(tokens[i]):
                     code[i] |= FRAME
         _, _, rest = firsts[p]
-        if rest and len(rest) <= 8:
-            words = [keys[i].lower() for i in rest]
-            hits = 0
-            for q in range(max(0, p - 6), min(len(spans), p + 7)):
-                if q != p and abs(len(firsts[q][2]) - len(rest)) <= 1:
-                    other = [keys[i].lower() for i in firsts[q][2]]
-                    same = sum(any(close(w, x) for x in other) for w in words)
-                    hits += same * 2 > len(words) or (same == len(words))
+        if rest:
             capital = sum(tokens[i][:1].isupper() for i in rest) * 2 > len(rest)
             for i in rest:
-                code[i] |= (REPEATED if hits else 0) | (CAPITALS if capital else 0) | (BESIDE_NUMBER if len(rest) < b - a else 0)
+                code[i] |= (REPEATED if alike[p] else 0) | (CAPITALS if capital else 0) | (BESIDE_NUMBER if len(rest) < b - a else 0)
+
+
+def repeated_lines(lines: list[list[str]]) -> list[bool]:
+    """Which of the first lines of pages return on another page, misread words allowed: lines of about
+    the same length with more than half of their words alike, or all.
+
+    A line is compared with those of the pages around, and with all that share one of its words, the
+    rarest of which are looked up first; so lines of any length meet across any number of pages.
+    """
+    holders: dict[str, list[int]] = {}
+    for p, words in enumerate(lines):
+        for w in set(words):
+            holders.setdefault(w, []).append(p)
+    out = [False] * len(lines)
+    for p, words in enumerate(lines):
+        if not words or out[p]:
+            continue
+        shared: dict[int, int] = {}
+        for w in sorted(set(words), key=lambda w: len(holders[w])):
+            for q in holders[w]:
+                shared[q] = shared.get(q, 0) + 1
+            if len(shared) > 64:
+                break
+        others = sorted({*range(max(0, p - 6), min(len(lines), p + 7)), *shared} - {p}, key=lambda q: abs(q - p))
+        for q in others:
+            other = lines[q]
+            # in a long line a quarter of the words must be the same before misread ones are looked for
+            if abs(len(other) - len(words)) > 1 or (len(words) > 8 and shared.get(q, 0) * 4 < len(words)):
+                continue
+            same = sum(any(close(w, x) for x in other) for w in words)
+            if same * 2 > len(words) or same == len(words):
+                out[p] = True
+                if len(other) == len(words) and same == len(words):
+                    out[q] = True
+                break
+    return out
+
+
+def page_distance(numbers: list[tuple[int, int]], by_value: dict[int, list[int]]) -> tuple[int, int]:
+    """Between how many tokens the next page number may stand: usual pages, and pages as far apart as
+    most numbers of the sequence that count up three times at even distances."""
+    steps = []
+    for i, v in numbers:
+        for j in by_value.get(v + 1, ()):
+            if j > i and any(2 * abs((k - j) - (j - i)) <= j - i for k in by_value.get(v + 2, ()) if k > j):
+                steps.append(j - i)
+                break
+    usual = (25, 260)
+    if len(steps) < 3:
+        return usual
+    middle = sorted(steps)[len(steps) // 2]
+    return min(usual[0], max(3, middle // 2)), max(usual[1], middle * 2)
 
 
 def unpaged(tokens: list[str], keys: list[str], code: list[int]) -> None:
@@ -183,7 +222,8 @@ def unpaged(tokens: list[str], keys: list[str], code: list[int]) -> None:
     by_value: dict[int, list[int]] = {}
     for i, v, _ in numbers:
         by_value.setdefault(v, []).append(i)
-    near = lambda i, v, step: any(25 <= (j - i) * step <= 260 for j in by_value.get(v + step, ()))
+    least, most = page_distance([(i, v) for i, v, _ in numbers], by_value)
+    near = lambda i, v, step: any(least <= (j - i) * step <= most for j in by_value.get(v + step, ()))
     strong = []
     for i, v, where in numbers:
         framed = bool(FRAMED.match(tokens[i])) or len(where) > 1
@@ -205,7 +245,7 @@ def unpaged(tokens: list[str], keys: list[str], code: list[int]) -> None:
     for (_, _), at in seen.items():
         if len(at) >= 2 and at[-1] - at[0] >= 25:
             size = 2
-            while size < 6 and all(i + size < n for i in at[:2]) and close(lower[at[0] + size], lower[at[1] + size]) and not code[at[0] + size] & NUMERIC:
+            while all(i + size < n for i in at[:2]) and at[0] + size < at[1] and close(lower[at[0] + size], lower[at[1] + size]) and not code[at[0] + size] & NUMERIC:
                 size += 1
             heads.append(lower[at[0] : at[0] + size])
     starts = {h[0]: h for h in heads}
@@ -258,12 +298,8 @@ def measure(tokens: list[str], keys: list[str], pages: list[int | None], lines:
 NO_MARK, HYPHEN, SOFT_MARK = 0, 1, 2
 
 
-def mark_of(text: str) -> int:
-    """Which hyphen mark a token ends in: none, a hyphen a word may itself end in, or a soft one."""
-    return mark_of_visible(visible_form(text.replace(SOFT, "¬") if SOFT in text else text))
-
-
 def mark_of_visible(t: str) -> int:
+    """Which hyphen mark a token ends in: none, a hyphen a word may itself end in, or a soft one."""
     if len(t) < 2 or t[-1] not in HYPHEN_MARKS or FRAMED.match(t) or ORNAMENT.match(t):
         return NO_MARK
     return HYPHEN if t[-1] == "-" else SOFT_MARK
@@ -276,6 +312,9 @@ def continuations(marks: list[int], code: list[int], hyphenated: list[bool | Non
     stand inside a line, or without mark if it ends a line, or is flagged and the line is unknown.
     """
     out = [-1] * len(marks)
+    behind = [len(marks)] * (len(marks) + 1)  # the first token from here on that is no furniture
+    for i in range(len(marks) - 1, -1, -1):
+        behind[i] = behind[i + 1] if surely_furniture(code[i]) else i
     for i, mark in enumerate(marks):
         if not mark and (lines[i] is None and not hyphenated[i]):
             continue
@@ -284,8 +323,7 @@ def continuations(marks: list[int], code: list[int], hyphenated: list[bool | Non
         j = i + 1
         if not mark and j < len(marks) and lines[j] == lines[i] and pages[j] == pages[i] and lines[i] is not None:
             continue
-        while j < len(marks) and j - i < 14 and surely_furniture(code[j]):
-            j += 1
+        j = behind[min(j, len(marks))]
         if j >= len(marks):
             continue
         known = lines[i] is not None and lines[j] is not None

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from scriptorium.common import stage_table
 from scriptorium.llm import editor as E
 from scriptorium.llm import pages as P
+from scriptorium.llm.normalize import visible_form
 
 RANGE_BITS = 12
 HALO = 384
@@ -104,14 +105,14 @@ def in_ranges(tokens: DataFrame, bits: int = RANGE_BITS, halo: int = HALO) -> Da
 
 
 READ_SCHEMA = """doc_id string, doc_index int, code int, word string, next string, mark int, follow int, labelled boolean, gold_left string,
- gold_right string, gold_split boolean, bad_left boolean, bad_right boolean, discarded boolean, ends int, shown string, next_shown string"""
-READ_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string())
+ gold_right string, gold_split boolean, bad_left boolean, bad_right boolean, discarded boolean, ends int, hint string, shown string, next_shown string"""
+READ_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string())
 
 
 def _spelling(text: str) -> tuple[str, int, str, str]:
-    visible = P.visible_form(text)
+    visible = visible_form(text)
     soft = P.SOFT in text
-    marked = P.visible_form(text.replace(P.SOFT, "¬")) if soft else visible
+    marked = visible_form(text.replace(P.SOFT, "¬")) if soft else visible
     mark = P.mark_of_visible(marked)
     raw = P.bare_key(marked[:-1].replace("¬", "") if mark else visible)
     return visible or text, mark, raw, P.plain_case(raw)
@@ -129,6 +130,10 @@ class Spellings(dict):
         return r
 
 
+# What a corrector made of a token, as the editor gets to see it: the kind, the word, and the word after.
+ALONE, BESIDE, BROKEN, PARTS, UNKNOWN = "a", "b", "s", "\x1f", "\x1e"
+
+
 def read_sequence(index: list, originals: list, golds: list, hyphenated: list, discarded: list, pages: list, lines: list, first: int, last: int, known: Spellings, with_text: bool = True) -> list[list]:
     """Measure one range, given as columns in order; gives back the columns of ``READ_SCHEMA`` after
     ``doc_id`` for the tokens with index in ``[first, last)``; the last two only ``with_text``."""
@@ -138,7 +143,7 @@ def read_sequence(index: list, originals: list, golds: list, hyphenated: list, d
     low, high = bisect_left(index, first), bisect_left(index, last)
     size = high - low
     empty = [None] * size
-    left, right, split, bad_left, bad_right, ends, behind = list(empty), list(empty), list(empty), list(empty), list(empty), list(empty), [""] * size
+    left, right, split, bad_left, bad_right, ends, behind, hints = list(empty), list(empty), list(empty), list(empty), list(empty), list(empty), [""] * size, [""] * size
     for i in range(low, high):
         k, j, gold = i - low, follow[i], golds[i]
         if j >= 0:
@@ -151,6 +156,8 @@ def read_sequence(index: list, originals: list, golds: list, hyphenated: list, d
             left[k] = key
             if j < 0:
                 bad_left[k] = key != word
+                if bad_left[k]:
+                    hints[k] = ALONE + key
                 continue
             nxt = words[j]
             shy = gold.rstrip().endswith(P.SOFT)
@@ -158,15 +165,18 @@ def read_sequence(index: list, originals: list, golds: list, hyphenated: list, d
                 right[k], split[k] = "", True  # the whole word, to be held against word + next
                 whole_right = key == word + nxt
                 bad_left[k], bad_right[k] = not (whole_right or key.startswith(word)), not (whole_right or key.endswith(nxt))
+                hints[k] = BROKEN + key
             else:
                 split[k] = shy
                 bad_left[k] = key != word
                 if golds[j]:
                     right[k] = known[golds[j]][3]
                     bad_right[k] = right[k] != nxt
+                if shy or bad_left[k] or bad_right[k]:
+                    hints[k] = (BROKEN if shy else BESIDE) + key + PARTS + (right[k] or UNKNOWN)
     at = [index[j] if j >= 0 else -1 for j in follow[low:high]]
     shown, next_shown = (texts[low:high], [texts[j] if j >= 0 else None for j in follow[low:high]]) if with_text else (empty, empty)
-    return [index[low:high], code[low:high], words[low:high], behind, marks[low:high], at, [bool(g) for g in golds[low:high]], left, right, split, bad_left, bad_right, discarded[low:high], ends, shown, next_shown]
+    return [index[low:high], code[low:high], words[low:high], behind, marks[low:high], at, [bool(g) for g in golds[low:high]], left, right, split, bad_left, bad_right, discarded[low:high], ends, hints, shown, next_shown]
 
 
 def read_ranges(tokens: DataFrame, bits: int = RANGE_BITS, halo: int = HALO, with_text: bool = True) -> DataFrame:
@@ -326,7 +336,11 @@ def neighbours(words: DataFrame, unseen: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 # Units and their features
 
-UNIT = ("word", "next", "mark", "ends")
+UNIT = ("word", "next", "mark", "ends", "hint")
+
+
+#: In place of what the lexicon holds of a neighbour: a corrector changed the word to it, or left it.
+CORRECTED, LEFT = "G", "="
 
 
 def bucket(n: int) -> int:
@@ -351,17 +365,31 @@ def known_of(text: str, n: int, same: int, changed: int, spread: bool, in_dict:
 
 def unit_item(u: dict, joined_form: bool, own_same: int = 0, own_changed: int = 0) -> E.Item:
     """A unit as the editor sees it, taken as one broken word or as its first word alone. ``own_*``
-    is what a training token itself added to the counts of corrections, to be left out."""
+    is what a training token itself added to the counts of corrections, to be left out. Where a
+    corrector changed the word, their reading stands in the place of the neighbour."""
     word, nxt, mark = u["word"], u["next"], u["mark"]
     left = known_of(word, u["l_n"] or 0, max(0, (u["l_same"] or 0) - own_same), max(0, (u["l_changed"] or 0) - own_changed), bool(u["l_spread"]), bool(u["l_dict"]))
+    hint = u["hint"]
     if not joined_form:
+        if hint and hint[0] != BROKEN:
+            meant = hint[1:].split(PARTS)[0]
+            return E.Item(word, 0, mark, left, meant, CORRECTED if meant != word else LEFT, "-")
         return E.Item(word, 0, mark, left, u["l_near"], near_of(u, "l"), "-")
     both = known_of(word + nxt, u["j_n"] or 0, max(0, (u["j_same"] or 0) - own_same), u["j_changed"] or 0, bool(u["j_spread"]), bool(u["j_dict"]))
-    near = near_of(u, "j")
+    near, near_word = near_of(u, "j"), u["j_near"]
     right = known_of(nxt, u["r_n"] or 0, u["r_same"] or 0, u["r_changed"] or 0, bool(u["r_spread"]), bool(u["r_dict"]))
     common = lambda k: k == "D" or k[:1] in "23"
     joined = f"{'D' if both == 'D' else 'n' if near != '-' else 'o' if common(both) else '-'}{'K' if common(left) else '-'}{'K' if common(right) else '-'}{'c' if (u['r_n'] or 0) > 200 else '-'}{u['ends']}"
-    return E.Item(word + nxt, len(word), mark, both, u["j_near"], near, joined)
+    if hint:
+        meant, _, behind = hint[1:].partition(PARTS)
+        if behind != UNKNOWN:
+            near_word = meant + behind
+            near = CORRECTED if near_word != word + nxt else LEFT
+        elif meant != word:  # of the half not corrected the lexicon may know more
+            near_word = near_word if near_word and near_word.startswith(meant) else meant + nxt
+            near = CORRECTED
+        joined = hint[0] if hint[0] == BROKEN else hint[0] + joined
+    return E.Item(word + nxt, len(word), mark, both, near_word, near, joined)
 
 
 def near_of(u: dict, side: str) -> str:
@@ -371,13 +399,13 @@ def near_of(u: dict, side: str) -> str:
     return f"{'D' if u[f'{side}_near_dict'] else 'f'}{u[f'{side}_gap']}{min(6, bucket((u[f'{side}_near_n'] or 0) // max(1, u[f'{side}_n'] or 1)))}"
 
 
-def unit_id(word: Column, nxt: Column, mark: Column, ends: Column) -> Column:
-    return F.xxhash64(word, nxt, mark, ends)
+def unit_id(word: Column, nxt: Column, mark: Column, ends: Column, hint: Column) -> Column:
+    return F.xxhash64(word, nxt, mark, ends, hint)
 
 
-def single_id(word: Column) -> Column:
+def single_id(word: Column, hint: Column) -> Column:
     """The id of a word without mark taken alone."""
-    return unit_id(word, F.lit(""), F.lit(0), F.lit(None).cast("int"))
+    return unit_id(word, F.lit(""), F.lit(0), F.lit(None).cast("int"), hint)
 
 
 def units_with_lexicon(units: DataFrame, words: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -395,10 +423,12 @@ def units_with_lexicon(units: DataFrame, words: DataFrame, near: DataFrame) -> t
 
     u = units.withColumns({"l_text": F.lower("word"), "j_text": F.when(F.col("next") != "", F.lower(whole(F.col("word"), F.col("next")))), "r_text": F.when(F.col("next") != "", F.lower("next"))})
     bare = u.where("mark = 0 AND next <> ''")
-    matched = bare.join(stats.select(F.col("text").alias("j_text")), "j_text", "left_semi")
-    plain = bare.join(stats.select(F.col("text").alias("j_text")), "j_text", "left_anti").select("uid", single_id(F.col("word")).alias("single"))
-    alone = u.where("mark > 0 AND next = ''").select("uid", "word", "next", "mark", "ends", "l_text")
-    first = u.where("mark = 0").select(single_id(F.col("word")).alias("uid"), "word", F.lit("").alias("next"), F.lit(0).alias("mark"), F.lit(None).cast("int").alias("ends"), "l_text").distinct()
+    known = stats.select(F.col("text").alias("j_text"))
+    marked = F.startswith("hint", F.lit(BROKEN))
+    matched = bare.where(~marked).join(known, "j_text", "left_semi").unionByName(bare.where(marked).select("j_text", *[c for c in u.columns if c != "j_text"]))
+    plain = bare.where(~marked).join(known, "j_text", "left_anti").select("uid", single_id(F.col("word"), F.col("hint")).alias("single"))
+    alone = u.where("mark > 0 AND next = ''").select("uid", *UNIT, "l_text")
+    first = u.where("mark = 0").select(single_id(F.col("word"), F.col("hint")).alias("uid"), "word", F.lit("").alias("next"), F.lit(0).alias("mark"), F.lit(None).cast("int").alias("ends"), "hint", "l_text").distinct()
     single = alone.unionByName(first).join(side("l", True), "l_text", "left")
     double = u.where("mark > 0 AND next <> ''").unionByName(matched).select("uid", *UNIT, "l_text", "j_text", "r_text")
     double = double.join(side("j", True), "j_text", "left").join(side("l", True), "l_text", "left").join(side("r", False), "r_text", "left")
@@ -421,23 +451,51 @@ def target_operations(text: str, split: int, row: dict) -> np.ndarray:
     return out
 
 
-def train_editor(sample: list[dict], grams: dict[str, int]) -> E.Editor | None:
+def practice() -> tuple[list[E.Item], list[np.ndarray]]:
+    """Made-up corrections, so that the editor knows what a corrector's reading means before it has seen
+    any, and in collections with hardly one: an operation in a word of random letters, a break."""
+    rng = np.random.default_rng(5)
+    letter = lambda: "abcdefghijklmnopqrstuvwxyzæøåäöü"[rng.integers(32)]
     items, targets = [], []
-    for r in sample:
+    for k in range(1500):
+        size = int(rng.integers(2, 14))
+        word = "".join(letter() for _ in range(size))
+        at, op = int(rng.integers(size)), int(rng.integers(4))
+        meant = word if op == E.KEEP else word[:at] + (letter() if op == E.REPLACE else letter() + word[at] if op == E.INSERT else "") + word[at + 1 :]
+        known = ("?1s", "?1", "?2", "?2s", "2", "00", "D", "?3s", "?4s")[k % 9]
+        split = int(rng.integers(1, size)) if k % 3 == 0 and size > 2 else 0
+        ops = np.array(E.operations(word, meant)[0])
+        if split:
+            ops[split - 1] = E.JOIN
+        items.append(E.Item(word, split, k % 2 + k % 4 // 2 if split else 0, known, meant, CORRECTED if meant != word else LEFT, BROKEN if split else "-"))
+        targets.append(ops)
+    return items, targets
+
+
+def train_editor(sample: list[dict], grams: np.ndarray, practised: bool = True) -> E.Editor | None:
+    """The mean of the perceptrons of two orders of training, which moves the result less than one.
+
+    Of a token a corrector changed the editor learns twice: without their reading, as other tokens come,
+    and, for one in four, with it."""
+    items, targets = practice() if practised else ([], [])
+    pairs = []
+    for n, r in enumerate(sample):
         split_gold = bool(r["gold_split"])
         same = int(r["gold_left"] == (r["word"] + r["next"] if split_gold and r["gold_right"] == "" else r["word"]))
         changed = (1 - same) * (not split_gold)
         for joined_form in {bool(r["next"]), split_gold}:
-            item = unit_item(r, joined_form, own_same=same, own_changed=changed)
-            if item.text:
-                items.append(item)
-                targets.append(target_operations(item.text, item.split, r))
+            for hint in {"", r["told"] if n % 16 == 0 else ""}:
+                item = unit_item({**r, "hint": hint}, joined_form, own_same=same, own_changed=changed)
+                if item.text:
+                    items.append(item)
+                    targets.append(target_operations(item.text, item.split, r))
+        if not split_gold:
+            pairs.append((r["word"], r["gold_left"]))
     if not items:
         return None
     x, ends = E.Featurizer(grams).features(items)
     data = [(x[end - len(t) : end], t) for t, end in zip(targets, ends.tolist(), strict=True)]
-    # The order of training moves the result; the mean of two orders moves less.
-    return E.Editor(sum(E.train(data, ROUNDS, seed).weights for seed in SEEDS) / len(SEEDS))
+    return E.Editor(sum(E.train(data, ROUNDS, seed).weights for seed in SEEDS) / len(SEEDS), E.letters_brought(pairs))
 
 
 def stands_cut(u: dict) -> bool:
@@ -452,28 +510,20 @@ def trusted(known: str) -> bool:
     return known == "D" or known[:1] in "23NR"
 
 
-def repaired(text: str, scores: np.ndarray, near: str | None) -> str:
-    """The word after the predicted operations; letters to bring come from its neighbour."""
-    best = scores.argmax(axis=1)
-    if near is None or not ((best >= E.REPLACE) & (best <= E.INSERT)).any():
-        return text
-    return E.apply_operations(text, *E.operations(text, near))
-
-
 JOIN_ABOVE = 0.0
 EDIT_SCHEMA = "uid bigint, cut boolean, joins boolean, m_join float, m_left float, m_right float, repaired string"
 
 
-def edit_units(units: DataFrame, model: E.Editor | None, grams: dict[str, int]) -> DataFrame:
+def edit_units(units: DataFrame, model: E.Editor | None, grams: np.ndarray) -> DataFrame:
     """``(uid, cut, joins, m_join, m_left, m_right, repaired)``: whether a unit begins with the first part
     of a broken word, whether it is one broken word, the margins by which its first and second half
     are misread, and its text after all operations."""
     if model is None:
         return units.select("uid").limit(0).select("uid", F.lit(False).alias("cut"), F.lit(False).alias("joins"), *[F.lit(0.0).cast("float").alias(c) for c in ("m_join", "m_left", "m_right")], F.lit("").alias("repaired"))
-    shared = units.sparkSession.sparkContext.broadcast((model.weights, grams))  # both of fixed size
+    shared = units.sparkSession.sparkContext.broadcast((model.weights, model.brings, grams))  # of fixed size, and of the size of the alphabet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, m = E.Featurizer(shared.value[1]), E.Editor(shared.value[0])
+        f, m = E.Featurizer(shared.value[2]), E.Editor(*shared.value[:2])
 
         def scored(part: list[dict], joined_form: bool) -> Iterator[tuple[dict, np.ndarray, E.Item]]:
             items = [unit_item(r, joined_form) for r in part]
@@ -497,14 +547,14 @@ def edit_units(units: DataFrame, model: E.Editor | None, grams: dict[str, int])
                         continue
                     margin = s[:, 1:4].max(axis=1) - s[:, 0]
                     margin[split - 1] = min(margin[split - 1], s[split - 1, 1:4].max() - s[split - 1, E.JOIN])
-                    out.append((r["uid"], True, True, join, float(margin[:split].max()), float(margin[split:].max()), repaired(item.text, s, r["j_near"])))
+                    out.append((r["uid"], True, True, join, float(margin[:split].max()), float(margin[split:].max()), m.edited(item.text, s, item.near)))
                 alone = [r for r in part if m_join.get(r["uid"], -99.0) <= JOIN_ABOVE]
-                distinct = {(r["word"], r["mark"]): r for r in alone}
+                distinct = {(r["word"], r["mark"], r["hint"]): r for r in alone}
                 single = {}
                 for r, s, item in scored(list(distinct.values()), False):
-                    single[r["word"], r["mark"]] = (float((s[:, 1:4].max(axis=1) - s[:, 0]).max()), repaired(item.text, s, r["l_near"]))
+                    single[r["word"], r["mark"], r["hint"]] = (float((s[:, 1:4].max(axis=1) - s[:, 0]).max()), m.edited(item.text, s, item.near))
                 for r in alone:
-                    margin, text = single[r["word"], r["mark"]]
+                    margin, text = single[r["word"], r["mark"], r["hint"]]
                     out.append((r["uid"], stands_cut(r), False, m_join.get(r["uid"], -99.0), margin, -99.0, text))
                 types = (pa.int64(), pa.bool_(), pa.bool_(), pa.float32(), pa.float32(), pa.float32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in EDIT_SCHEMA.split(", ")])
@@ -567,19 +617,24 @@ def _train_sample(read: DataFrame, bound: int) -> DataFrame:
     return labelled.where(draw < F.when(F.col("special"), limit(True)).otherwise(limit(False)))
 
 
-def letter_groups(words: DataFrame, most: int = 60_000) -> dict[str, int]:
-    """How often every group of three characters occurs in the distinct words of the dictionary; the
-    ``most`` frequent ones, which is a bound of the table sent to the tasks."""
-    framed = F.concat(F.lit("^^"), F.col("text"), F.lit("$$"))
-    groups = F.transform(F.sequence(F.lit(1), F.length(framed) - 2), lambda i: F.substring(framed, i, F.lit(3)))
-    counts = words.where("in_dict").select(F.explode(groups).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    return {r.g: r.n for r in counts.orderBy(F.desc("n"), "g").limit(most).collect()}
+def letter_groups(words: DataFrame) -> np.ndarray:
+    """How often every group of three characters occurs in the distinct words of the dictionary: all of
+    them, in a sketch of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots, n = np.unique(E.gram_slots(batch.column("text").to_pylist()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(n, pa.int64())], names=["slot", "n"])
+
+    # at most GRAM_SLOTS rows
+    counts = words.where("in_dict").select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    return E.gram_sketch(counts["slot"].to_numpy(), counts["n"].to_numpy())
 
 
 def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS, with_text: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(read, edits, plain)``: the measured tokens with ``uid, is_header, is_pageno``, the edits per
     ``uid``, and the units that have those of another."""
-    read = stage_table(read_ranges(tokens, with_text=with_text).withColumn("uid", unit_id(F.col("word"), F.col("next"), F.col("mark"), F.col("ends"))), "read")
+    read = stage_table(read_ranges(tokens, with_text=with_text).withColumn("uid", unit_id(*map(F.col, UNIT))), "read")
     headers, numbers = furniture_codes(read)
     listed = lambda codes: F.col("code").isin(codes) if codes else F.lit(False)
     words = word_counts(read).join(dictionary_keys(dict_words).withColumn("in_dict", F.lit(True)), "text", "full_outer")
@@ -587,15 +642,23 @@ def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int
         words.select("text", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_same", "n_changed")], F.coalesce("spread", F.lit(False)).alias("spread"), F.coalesce("in_dict", F.lit(False)).alias("in_dict")),
         "words",
     )
-    units = stage_table(read.where("word <> ''").select("uid", *UNIT).distinct(), "distinct")
+    # The sample is bounded by ``train_tokens``: it is sent to the units, not they to it. Its tokens are
+    # looked up as they are without the corrector's reading.
+    no_hint = F.lit("")
+    bare_pair = (F.col("mark") == 0) & (F.col("next") != "") & ~F.coalesce("gold_split", F.lit(False))
+    sample = stage_table(
+        _train_sample(read, train_tokens).select(
+            *[c for c in UNIT if c != "hint"], no_hint.alias("hint"), F.col("hint").alias("told"), "gold_left", "gold_right", "gold_split",
+            unit_id(*[F.col(c) if c != "hint" else no_hint for c in UNIT]).alias("uid"), F.when(bare_pair, single_id(F.col("word"), no_hint)).alias("single"),
+        ),
+        "sample",
+    )
+    units = stage_table(read.where("word <> ''").select("uid", *UNIT).unionByName(sample.select("uid", *UNIT)).distinct(), "distinct")
     known, plain = units_with_lexicon(units, words, neighbours(words, unseen_pairs(units, words)))
     known = stage_table(known, "units")
-    # The sample is bounded by ``train_tokens``: it is sent to the units, not they to it.
-    sample = _train_sample(read, train_tokens).select("uid", "gold_left", "gold_right", "gold_split", F.when((F.col("mark") == 0) & (F.col("next") != "") & ~F.coalesce("gold_split", F.lit(False)), single_id(F.col("word"))).alias("single"))
-    sample = stage_table(sample, "sample")
-    labels = ("gold_left", "gold_right", "gold_split")
+    labels = ("told", "gold_left", "gold_right", "gold_split")
     chosen = known.join(F.broadcast(sample.select("uid", *labels)), "uid").unionByName(known.join(F.broadcast(sample.where("single IS NOT NULL").select(F.col("single").alias("uid"), *labels)), "uid"))
-    rows = [r.asDict() for r in chosen.orderBy(F.xxhash64("uid", "gold_left"), "uid", "gold_left", "gold_right", "gold_split").collect()]
+    rows = [r.asDict() for r in chosen.orderBy(F.xxhash64("uid", "gold_left"), "uid", *labels).collect()]
     grams = letter_groups(words)
     edits = edit_units(known, train_editor(rows, grams), grams)
     return read.withColumns({"is_header": listed(headers), "is_pageno": listed(numbers)}), edits, plain
@@ -620,16 +683,16 @@ def join_edits(rows: DataFrame, edits: DataFrame, how: str) -> DataFrame:
 #: A page number, its label or ornaments as they are printed; anything else in their place is misread.
 WELL_FORMED = r"^[—–\-]*([0-9]+|(?=.)(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})|" + "|".join(sorted(P.LABELS)) + r")?[—–\-]*$"
 
-# Margins above which a word is misread: without correction, and where a corrector left it.
-EDIT_ABOVE, SAME_ABOVE = -2.0, 8.0
+# Margins above which a word is misread: without correction, where a corrector left it, where one changed it.
+EDIT_ABOVE, SAME_ABOVE, TOLD_ABOVE = -2.0, 8.0, 0.0
 
 
 def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS) -> DataFrame:
     """``(doc_id, doc_index, kind)``: header, pageno, split, misread; a token once for each kind.
 
-    Where a corrector changed a word it was misread; where one left it, the editor needs a wider
-    margin. A word a corrector marked as broken is split whatever the editor says. The second half of a
-    broken word is judged as part of it, a page number by its form.
+    Every word is judged by the editor, which sees what a corrector made of it, if one did; where one
+    left it, it needs a wider margin. The second half of a broken word is judged as part of it, a page
+    number by its form.
     """
     read, edits, plain = repaired_tokens(tokens, dict_words, train_tokens, with_text=False)
     edits = stage_table(edits.where(f"cut OR m_left > {EDIT_ABOVE}").drop("repaired", "m_join"), "edits")
@@ -637,7 +700,8 @@ def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = T
     hit = join_edits(rows, for_all_units(edits, plain), "inner")
     # Of a part whose other half was not recognised, little can be said from the lexicon.
     part = F.col("cut") & ~F.col("joins")
-    judged = lambda bad, margin: bad | (F.col(margin) > F.when(bad.isNull() & ~part, F.lit(EDIT_ABOVE)).otherwise(F.lit(SAME_ABOVE)))
+    limit = lambda bad: F.when(bad, F.lit(TOLD_ABOVE)).when(bad.isNull() & ~part, F.lit(EDIT_ABOVE)).otherwise(F.lit(SAME_ABOVE))
+    judged = lambda bad, margin: F.col(margin) > limit(bad)
     joins = F.col("joins") & ~F.col("is_pageno")
     case = lambda index, kind, tail, holds: F.struct(index.alias("doc_index"), F.lit(kind).alias("kind"), F.lit(tail).alias("tail"), F.coalesce(holds, F.lit(False)).alias("holds"))
     cases = F.array(
@@ -646,8 +710,8 @@ def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = T
         F.when(joins | (part & (F.col("follow") >= 0)), case(F.col("follow"), "misread", 1, judged(F.col("bad_right"), "m_right"))),
     )
     number = F.when(F.col("is_pageno"), case(F.col("doc_index"), "misread", 2, ~F.lower("word").rlike(WELL_FORMED)))
-    direct = F.array_compact(F.array(number, F.when(F.col("bad_left"), case(F.col("doc_index"), "misread", 0, F.lit(True))), F.when(F.col("is_header"), case(F.col("doc_index"), "header", 0, F.lit(True))), F.when(F.col("is_pageno"), case(F.col("doc_index"), "pageno", 0, F.lit(True))), F.when(F.col("gold_split"), case(F.col("doc_index"), "split", 0, F.lit(True))), F.when(F.col("gold_split") & F.col("bad_right").isNotNull(), case(F.col("follow"), "misread", 1, F.col("bad_right")))))
-    every = hit.select("doc_id", F.explode(F.array_compact(cases)).alias("c")).unionByName(read.where("bad_left OR is_header OR is_pageno OR gold_split").select("doc_id", F.explode(direct).alias("c")))
+    furniture = F.array_compact(F.array(number, F.when(F.col("is_header"), case(F.col("doc_index"), "header", 0, F.lit(True))), F.when(F.col("is_pageno"), case(F.col("doc_index"), "pageno", 0, F.lit(True)))))
+    every = hit.select("doc_id", F.explode(F.array_compact(cases)).alias("c")).unionByName(read.where("is_header OR is_pageno").select("doc_id", F.explode(furniture).alias("c")))
     # The verdict on the second half of a broken word goes before that on the token alone.
     strength = F.col("c.tail") * 2 + F.col("c.holds").cast("int")
     return every.groupBy("doc_id", "c.doc_index", "c.kind").agg(F.max(strength).alias("s")).where("s % 2 = 1").select("doc_id", "doc_index", "kind")
