@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.common import stage_table
@@ -42,8 +42,8 @@ from scriptorium.llm.normalize import visible_form
 RANGE_BITS = 12
 HALO = 384
 TRAIN_TOKENS = 25_000
-SALTS = 4
-BROADCAST_UNITS = 400_000
+SALTS = 16
+BROADCAST_UNITS, BROADCAST_BYTES = 400_000, 16 << 20
 FREQUENT = 4
 ROUNDS, SEEDS = 8, (7, 11)
 NUMERAL = re.compile(r"^[0-9]+([.,/–-][0-9]+)*[º²½¼]?$")
@@ -179,6 +179,17 @@ def read_sequence(index: list, originals: list, golds: list, hyphenated: list, d
     return [index[low:high], code[low:high], words[low:high], behind, marks[low:high], at, [bool(g) for g in golds[low:high]], left, right, split, bad_left, bad_right, discarded[low:high], ends, hints, shown, next_shown]
 
 
+def listed(column: pa.Array) -> list:
+    """The values of a column as Python ones; faster than ``to_pylist``."""
+    if not pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not column.null_count:
+        return column.to_numpy().tolist()
+    values = column.fill_null(0).to_numpy().astype(object)
+    values[column.is_null().to_numpy(zero_copy_only=False)] = None
+    return values.tolist()
+
+
 def read_ranges(tokens: DataFrame, bits: int = RANGE_BITS, halo: int = HALO, with_text: bool = True) -> DataFrame:
     names = ["doc_index", "original", "gold", "hyphenated", "discarded", "page", "line"]
     out_names = [c.split()[0] for c in READ_SCHEMA.replace("\n", " ").split(",")]
@@ -213,7 +224,7 @@ def read_ranges(tokens: DataFrame, bits: int = RANGE_BITS, halo: int = HALO, wit
             docs = batch.column("doc_id").dictionary_encode()
             codes, blocks = docs.indices.to_numpy(), batch.column("block").to_numpy()
             starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])]).tolist()
-            columns = [batch.column(n).to_pylist() for n in names]
+            columns = [listed(batch.column(n)) for n in names]
             for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
                 here = (docs.dictionary[int(codes[a])].as_py(), int(blocks[a]))
                 if here != key:
@@ -321,7 +332,8 @@ def neighbours(words: DataFrame, unseen: DataFrame) -> DataFrame:
     base = lexicon.select("text", (F.col("n") * 2 + F.col("in_dict").cast("long")).alias("weight")).where("length(text) > 1")
     asked = words.where("NOT in_dict").select("text", F.col("n").alias("weight")).unionByName(unseen.select("text", F.lit(1).cast("long").alias("weight")))
     asked = asked.where("NOT text RLIKE '^[0-9.,/]+$' AND length(text) > 1")
-    pairs = _variants(asked, "text").join(_variants(base, "near"), "v").where("text <> near").select("text", "near", "text_n", "near_n")
+    # The lexicon is the smaller side and spread by hash: it is held, not sorted.
+    pairs = _variants(asked, "text").join(_variants(base, "near").hint("shuffle_hash"), "v").where("text <> near").select("text", "near", "text_n", "near_n")
     size = F.length("text")
     limit = F.when(size < 4, 1).when(size < 7, 2).when(size < 11, 3).otherwise(4)
     scored = pairs.withColumn("gap", F.levenshtein("text", "near")).where(F.col("gap") <= limit)
@@ -533,7 +545,7 @@ def edit_units(units: DataFrame, model: E.Editor | None, grams: np.ndarray) -> D
                 yield r, scores[end - len(item.text) : end], item
 
         for batch in batches:
-            rows = batch.to_pylist()
+            rows = [dict(zip(batch.schema.names, r, strict=True)) for r in zip(*map(listed, batch.columns), strict=True)]
             for at in range(0, len(rows), 4000):
                 part = rows[at : at + 4000]
                 out = []
@@ -592,11 +604,22 @@ def furniture_features(code: int) -> list[int]:
     return [P.BITS, *on, *pairs]
 
 
-def furniture_codes(read: DataFrame) -> tuple[list[int], list[int]]:
-    """The position codes of headers and of page numbers, by the model trained on all rows; the
-    table of codes has at most ``2**BITS`` rows whatever the input."""
-    gone = F.col("discarded") & ~F.col("labelled")
-    counts = [tuple(r) for r in read.where("code <> 0").groupBy("code").agg(F.count_if(gone).alias("a"), F.count_if(F.col("labelled")).alias("b")).collect()]
+def _special() -> Column:
+    """Whether a corrector changed or broke the word."""
+    return (F.col("gold_left") != F.col("word")) | F.coalesce("gold_split", F.lit(False))
+
+
+def read_totals(read: DataFrame) -> list[dict]:
+    """Per position code the rows discarded and corrected, and how many of those corrected are special or
+    not; at most ``2**BITS`` rows whatever the input."""
+    worded = F.col("labelled") & (F.col("word") != "")
+    sums = {"gone": F.col("discarded") & ~F.col("labelled"), "kept": F.col("labelled"), "special": worded & _special(), "plain": worded & ~_special()}
+    return [r.asDict() for r in read.groupBy("code").agg(*[F.count_if(c).alias(n) for n, c in sums.items()]).collect()]
+
+
+def furniture_codes(totals: list[dict]) -> tuple[list[int], list[int]]:
+    """The position codes of headers and of page numbers, by the model trained on all rows."""
+    counts = [(r["code"], r["gone"], r["kept"]) for r in totals if r["code"]]
     w = train_furniture(counts)
     chosen = [c for c, _, _ in counts if w[furniture_features(c)].sum() > 0]
     return [c for c in chosen if not c & P.NUMERIC], [c for c in chosen if c & P.NUMERIC]
@@ -606,15 +629,14 @@ def furniture_codes(read: DataFrame) -> tuple[list[int], list[int]]:
 # The whole
 
 
-def _train_sample(read: DataFrame, bound: int) -> DataFrame:
+def _train_sample(read: DataFrame, totals: list[dict], bound: int) -> DataFrame:
     """At most about ``bound`` labelled tokens by hash: half of them changed or broken, as far as there are."""
-    labelled = read.where("labelled AND word <> ''").withColumn("special", (F.col("gold_left") != F.col("word")) | F.coalesce("gold_split", F.lit(False)))
-    sizes = {r.special: r.n for r in labelled.groupBy("special").agg(F.count("*").alias("n")).collect()}
-    special = min(sizes.get(True, 0), bound // 2)
+    sizes = {True: sum(r["special"] for r in totals), False: sum(r["plain"] for r in totals)}
+    special = min(sizes[True], bound // 2)
     share = {True: special, False: bound - special}
-    limit = lambda k: min(1 << 20, (1 << 20) * share[k] // max(1, sizes.get(k, 0)))
+    limit = lambda k: min(1 << 20, (1 << 20) * share[k] // max(1, sizes[k]))
     draw = F.pmod(F.xxhash64("doc_id", "doc_index"), F.lit(1 << 20))
-    return labelled.where(draw < F.when(F.col("special"), limit(True)).otherwise(limit(False)))
+    return read.where("labelled AND word <> ''").where(draw < F.when(_special(), limit(True)).otherwise(limit(False)))
 
 
 def letter_groups(words: DataFrame) -> np.ndarray:
@@ -635,8 +657,9 @@ def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int
     """``(read, edits, plain)``: the measured tokens with ``uid, is_header, is_pageno``, the edits per
     ``uid``, and the units that have those of another."""
     read = stage_table(read_ranges(tokens, with_text=with_text).withColumn("uid", unit_id(*map(F.col, UNIT))), "read")
-    headers, numbers = furniture_codes(read)
-    listed = lambda codes: F.col("code").isin(codes) if codes else F.lit(False)
+    totals = read_totals(read)
+    headers, numbers = furniture_codes(totals)
+    among = lambda codes: F.col("code").isin(codes) if codes else F.lit(False)
     words = word_counts(read).join(dictionary_keys(dict_words).withColumn("in_dict", F.lit(True)), "text", "full_outer")
     words = stage_table(
         words.select("text", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_same", "n_changed")], F.coalesce("spread", F.lit(False)).alias("spread"), F.coalesce("in_dict", F.lit(False)).alias("in_dict")),
@@ -647,7 +670,7 @@ def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int
     no_hint = F.lit("")
     bare_pair = (F.col("mark") == 0) & (F.col("next") != "") & ~F.coalesce("gold_split", F.lit(False))
     sample = stage_table(
-        _train_sample(read, train_tokens).select(
+        _train_sample(read, totals, train_tokens).select(
             *[c for c in UNIT if c != "hint"], no_hint.alias("hint"), F.col("hint").alias("told"), "gold_left", "gold_right", "gold_split",
             unit_id(*[F.col(c) if c != "hint" else no_hint for c in UNIT]).alias("uid"), F.when(bare_pair, single_id(F.col("word"), no_hint)).alias("single"),
         ),
@@ -661,7 +684,7 @@ def repaired_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int
     rows = [r.asDict() for r in chosen.orderBy(F.xxhash64("uid", "gold_left"), "uid", *labels).collect()]
     grams = letter_groups(words)
     edits = edit_units(known, train_editor(rows, grams), grams)
-    return read.withColumns({"is_header": listed(headers), "is_pageno": listed(numbers)}), edits, plain
+    return read.withColumns({"is_header": among(headers), "is_pageno": among(numbers)}), edits, plain
 
 
 def for_all_units(edits: DataFrame, plain: DataFrame) -> DataFrame:
@@ -671,10 +694,13 @@ def for_all_units(edits: DataFrame, plain: DataFrame) -> DataFrame:
 
 
 def join_edits(rows: DataFrame, edits: DataFrame, how: str) -> DataFrame:
-    """Tokens with the edits of their unit. Up to ``BROADCAST_UNITS`` edits, counted first, go to the
-    tokens; more are joined by a shuffle in which a frequent unit is spread over ``SALTS`` tasks."""
+    """Tokens with the edits of their unit. Up to ``BROADCAST_UNITS`` edits of ``BROADCAST_BYTES`` of text,
+    counted first, go to the tokens; more are joined by a shuffle in which a frequent unit is spread over
+    ``SALTS`` tasks, and over more where Spark sees skew."""
     edits = stage_table(edits, "edits")
-    if edits.count() <= BROADCAST_UNITS:
+    text = F.octet_length("repaired") if "repaired" in edits.columns else F.lit(0)
+    size = edits.agg(F.count("*").alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes")).first()
+    if size.n <= BROADCAST_UNITS and size.bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(edits), "uid", how)
     salted = edits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod("doc_index", F.lit(SALTS))).join(salted, ["uid", "salt"], how).drop("salt")
@@ -728,12 +754,13 @@ def dressed(word: Column, first: Column, last: Column) -> Column:
 
 
 def paragraphs(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS) -> DataFrame:
-    """``(doc_id, first_index, n_tokens, text)``: continuous readable text, furniture removed, broken
-    words joined and misread ones repaired, in pieces of one key range of a document at most.
+    """``(doc_id, first_index, n_tokens, text)``: the paragraphs of each document, in whole sentences,
+    furniture removed, broken words joined and misread ones repaired.
 
     A corrector's reading of a word is used where there is one, and a word a corrector marked as broken
-    is joined whatever the editor says. Pieces have at most half a thousand
-    tokens, so no document, however long, is put together in one value.
+    is joined whatever the editor says. A paragraph ends at the end of a sentence, the first at or
+    after each ``PARAGRAPH`` tokens of the sequence; so no document, however long, is put together in
+    one value. Only a text without any end of a sentence in ``2**RANGE_BITS`` tokens is parted inside one.
     """
     read, edits, plain = repaired_tokens(tokens, dict_words, train_tokens)
     edits = stage_table(edits.where(f"joins OR m_left > {EDIT_ABOVE}"), "edits")
@@ -755,11 +782,37 @@ def paragraphs(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRA
     kept = rows.where("NOT is_header AND NOT is_pageno").select("doc_id", "doc_index", shown.alias("shown"), F.when(joins, F.col("follow")).alias("tail"))
     kept = stage_table(kept, "shown")
     tails = kept.where("tail IS NOT NULL").select("doc_id", F.col("tail").alias("doc_index")).distinct()
-    piece = F.shiftright("doc_index", RANGE_BITS - 3)
+    words = kept.join(tails, ["doc_id", "doc_index"], "left_anti").select("doc_id", "doc_index", "shown")
     ordered = F.array_sort(F.collect_list(F.struct("doc_index", "shown")))
     return (
-        kept.join(tails, ["doc_id", "doc_index"], "left_anti")
-        .groupBy("doc_id", piece.alias("piece"))
+        with_paragraph(words)
+        .groupBy("doc_id", "paragraph")
         .agg(F.min("doc_index").alias("first_index"), F.count("*").alias("n_tokens"), ordered.alias("w"))
         .select("doc_id", "first_index", "n_tokens", F.concat_ws(" ", F.transform("w", lambda x: x["shown"])).alias("text"))
     )
+
+
+PARAGRAPH = 128
+SENTENCE_END = r"[.!?…][)\]»“”\"'’]*$"
+
+
+def with_paragraph(words: DataFrame) -> DataFrame:
+    """Adds ``paragraph``, the index of the token that closes the paragraph (of its range, where none does).
+
+    A token closes one if it ends a sentence and is the first to do so in its stretch of ``PARAGRAPH``
+    indexes. The next closing token is looked for in the range of the token; where there is none, in a
+    summary with one row per range: the first closing token of a later range, the next one only.
+    """
+    stretch = F.floor(F.col("doc_index") / PARAGRAPH)
+    ends = F.col("shown").rlike(SENTENCE_END) & ~F.col("shown").rlike(r"^\p{L}{0,3}\.$")
+    closing = words.where(ends).groupBy("doc_id", stretch.alias("stretch")).agg(F.min("doc_index").alias("close"))
+    rng = F.shiftright("doc_index", RANGE_BITS)
+    rows = words.withColumns({"stretch": stretch, "rng": rng}).join(closing, ["doc_id", "stretch"], "left")
+    inside = Window.partitionBy("doc_id", "rng").orderBy("stretch").rangeBetween(1, Window.unboundedFollowing)
+    over = Window.partitionBy("doc_id").orderBy("rng")
+    first = closing.groupBy("doc_id", F.shiftright("close", RANGE_BITS).alias("rng")).agg(F.min("close").alias("first"))
+    ranges = words.select("doc_id", rng.alias("rng")).distinct().join(first, ["doc_id", "rng"], "left").select("doc_id", "rng", F.lead("first").over(over).alias("later"))
+    own = F.when(F.col("doc_index") <= F.col("close"), F.col("close"))
+    behind = F.min("close").over(inside)
+    last = (F.col("rng") + 1) * (1 << RANGE_BITS) - 1  # no sentence ends here nor in the next range
+    return rows.withColumn("behind", behind).join(ranges, ["doc_id", "rng"]).withColumn("paragraph", F.coalesce(own, "behind", "later", last)).select(*words.columns, "paragraph")

@@ -119,6 +119,21 @@ def test_paragraphs(spark, collection):
     assert whole > 0.55 * len(joined.split())
 
 
+def test_paragraphs_are_whole_sentences(spark, monkeypatch):
+    monkeypatch.setattr(S, "RANGE_BITS", 6)
+    monkeypatch.setattr(S, "PARAGRAPH", 8)
+    rnd = random.Random(7)
+    words = [("d", 3 * i, "ende." if rnd.random() < 0.15 else "kap." if rnd.random() < 0.05 else f"w{i}") for i in range(400)] + [("e", i, "ord") for i in range(200)] + [("f", 0, "slut.")]
+    rows = S.with_paragraph(spark.createDataFrame(words, "doc_id string, doc_index int, shown string")).orderBy("doc_id", "doc_index").collect()
+    d = [r for r in rows if r.doc_id == "d"]
+    assert len(rows) == len(words)
+    assert all(a.paragraph <= b.paragraph for a, b in zip(d, d[1:], strict=False))
+    closed = [a.shown for a, b in zip(d, d[1:], strict=False) if a.paragraph != b.paragraph]
+    assert set(closed) == {"ende."}
+    assert len(closed) > 20
+    assert len({r.paragraph for r in rows if r.doc_id == "e"}) == 4
+
+
 def test_empty_and_dirty_tables(spark):
     words = spark.createDataFrame([("g", None), ("g", "og")], "group_name string, word string")
     assert S.noisy_tokens(spark.createDataFrame([], TOKEN), words).count() == 0
