@@ -10,6 +10,7 @@ from scriptorium.functions import text as X
 from scriptorium.operators import align, annotate, bins, dictionary, hmm, index, report, views
 from scriptorium.operators import tokens as T
 from scriptorium.plans import prepare
+from scriptorium.sources import files
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -133,6 +134,34 @@ def render_text(spark, sf_dir):
     return T.render(_tokens(spark, sf_dir))
 
 
+@query(RENDER + "SELECT doc_id, string_agg(word, ' ' ORDER BY doc_index) AS text FROM words GROUP BY doc_id")
+def document_texts(spark, sf_dir):
+    return T.document_texts(_tokens(spark, sf_dir))
+
+
+@query(
+    f"""WITH {TOK}, kept AS (SELECT * FROM tok WHERE NOT is_discarded), able AS (SELECT *, is_hyphenated AS able FROM kept), {PAIRED},
+shown AS (SELECT *, coalesce(nullif(gold, ''), original) AS shown, coalesce(nullif(next_gold, ''), next_original) AS next_shown FROM pair)
+SELECT doc_id, string_agg(CASE WHEN head THEN substr(shown, 1, length(shown) - 1) || CASE WHEN next_index IS NULL THEN '-' ELSE next_shown END ELSE shown END, ' ' ORDER BY doc_index) AS text FROM shown WHERE NOT consumed GROUP BY doc_id"""
+)
+def corrected_texts(spark, sf_dir):
+    """The text of every document as its gold file would have it, finished or not."""
+    return prepare.corrected_texts(_tokens(spark, sf_dir), only_done=False)
+
+
+@query(f"WITH {TOK}, asked AS (SELECT DISTINCT doc_id, doc_index FROM kbest) SELECT a.doc_id, a.doc_index, t.original, t.gold, CASE WHEN t.doc_id IS NULL THEN 404 ELSE 200 END AS status FROM asked a LEFT JOIN tok t ON t.doc_id = a.doc_id AND t.doc_index = a.doc_index")
+def token_lookup(spark, sf_dir):
+    """The tokens candidates name, found or not."""
+    return T.lookup(_tokens(spark, sf_dir), read_table(spark, sf_dir, "kbest")).select("doc_id", "doc_index", "original", "gold", "status")
+
+
+@query(f"WITH {TOK}, c AS (SELECT doc_id, doc_index, max(candidate) AS gold FROM kbest WHERE k = 1 AND doc_id IS NOT NULL AND doc_index IS NOT NULL GROUP BY ALL) SELECT t.doc_id, t.doc_index, CASE WHEN c.doc_id IS NULL THEN t.gold ELSE c.gold END AS gold, is_discarded FROM tok t LEFT JOIN c ON c.doc_id = t.doc_id AND c.doc_index = t.doc_index")
+def apply_corrections(spark, sf_dir):
+    """First candidates taken over as a file of corrections."""
+    rows = read_table(spark, sf_dir, "kbest").where("k = 1").select("doc_id", "doc_index", F.col("candidate").alias("gold"))
+    return prepare.apply_corrections(_tokens(spark, sf_dir), rows).select("doc_id", "doc_index", "gold", "is_discarded")
+
+
 @query(
     f"WITH {TOK}, able AS (SELECT *, regexp_matches(original, '[\\x{{ad}}\\-]+$') AS able FROM tok), {PAIRED} "
     "SELECT doc_id, doc_index, original, is_hyphenated OR head AS is_hyphenated, CASE WHEN consumed THEN '' ELSE gold END AS gold FROM pair"
@@ -204,13 +233,18 @@ def doc_stats_list(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TOK}, n AS (SELECT *, lead(original) OVER w AS no, lead(gold) OVER w AS ng, coalesce(lag(is_hyphenated) OVER w, false) AS redirects_to_head FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY doc_index))
-SELECT doc_id, doc_index, regexp_replace(CASE WHEN is_hyphenated THEN original || coalesce(no, '') ELSE original END, '\\x{{ad}}$', '-') AS original,
-  regexp_replace(CASE WHEN is_hyphenated THEN CASE WHEN gold <> '' AND ng <> '' THEN gold || ng END ELSE gold END, '\\x{{ad}}$', '-') AS gold,
-  redirects_to_head, '/images/' || doc_id || '/' || doc_index || '.png' AS image_url FROM n"""
+    f"""WITH {TOK}, {KB}, kl AS (SELECT doc_id, doc_index, string_agg(k || ':' || candidate, '|' ORDER BY k) AS candidates FROM kb GROUP BY ALL),
+n AS (SELECT *, lead(original) OVER w AS no, lead(gold) OVER w AS ng, coalesce(lag(is_hyphenated) OVER w, false) AS redirects_to_head FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY doc_index)),
+d AS (SELECT *, regexp_replace(original, '\\x{{ad}}$', '-') AS o, regexp_replace(gold, '\\x{{ad}}$', '-') AS g FROM n)
+SELECT d.doc_id, d.doc_index, CASE WHEN is_hyphenated THEN o || coalesce(no, '') ELSE o END AS original,
+  CASE WHEN is_hyphenated THEN CASE WHEN gold <> '' AND ng <> '' THEN g || ng END ELSE g END AS gold,
+  redirects_to_head, '/images/' || d.doc_id || '/' || d.doc_index || '.png' AS image_url,
+  CASE WHEN original LIKE '%' || chr(173) THEN replace(candidates, chr(173), '-') ELSE candidates END AS candidates FROM d LEFT JOIN kl ON kl.doc_id = d.doc_id AND kl.doc_index = d.doc_index"""
 )
 def token_detail(spark, sf_dir):
-    return T.token_detail(_tokens(spark, sf_dir))
+    shown = T.token_detail(T.with_candidates(_tokens(spark, sf_dir), _kbest(spark, sf_dir)))
+    listed = F.array_join(F.transform("candidates", lambda c: F.concat(c["k"].cast("string"), F.lit(":"), c["candidate"])), "|")
+    return shown.withColumn("candidates", F.when(F.size("candidates") > 0, listed))
 
 
 @query(
@@ -295,7 +329,24 @@ def crop_tokens(spark, sf_dir):
 SELECT doc_id, page, block, line, word_no, doc_index, x0, y0, greatest(x1::DOUBLE, round(x0 + length(text) * font_size / 2 + 10.0::DOUBLE, 3)) AS x1, y1, font_size, text FROM s WHERE text <> ''"""
 )
 def layout_rows(spark, sf_dir):
-    return T.layout(_boxes(spark, sf_dir))
+    return T.in_page_order(T.layout(_boxes(spark, sf_dir)))
+
+
+@query(
+    f"WITH {BOX}, p AS (SELECT doc_id, page, max(x1) AS width, max(y1) AS height FROM boxes GROUP BY ALL) SELECT doc_id, doc_index, page, greatest(0, x0 - 300) AS crop_x0, greatest(0, y0 - 15) AS crop_y0, least(width, x1 + 300) AS crop_x1, least(height, y1 + 15) AS crop_y1 FROM boxes JOIN p USING (doc_id, page)"
+)
+def snippet_rectangles(spark, sf_dir):
+    return T.snippets(_boxes(spark, sf_dir))
+
+
+@query(
+    f"WITH {BOX}, w AS (SELECT *, regexp_replace(original, '^{SPACES}|{SPACES}$', '', 'g') AS word FROM boxes) "
+    "SELECT doc_id || '/' || page AS doc_id, (row_number() OVER (PARTITION BY doc_id, page ORDER BY doc_index) - 1)::INTEGER AS doc_index, x0, y0, x1, y1, word AS original FROM w WHERE word <> ''"
+)
+def hocr_round_trip(spark, sf_dir):
+    """Every scanned page written as hOCR and parsed again."""
+    pages = files.to_hocr(_boxes(spark, sf_dir))
+    return files.parse_hocr(pages.select(F.concat_ws("/", "doc_id", "page").alias("doc_id"), "xml"))
 
 
 @query(f"WITH {BOX}, w AS (SELECT doc_id, page, max(x1) + 1.0 AS width FROM boxes GROUP BY ALL), o AS (SELECT doc_id, doc_index, true AS outside FROM boxes JOIN w USING (doc_id, page) WHERE NOT (x1 >= 70 AND x0 <= width)) SELECT t.doc_id, t.doc_index, CASE WHEN outside THEN '' ELSE gold END AS gold, is_discarded OR coalesce(outside, false) AS is_discarded FROM tok t LEFT JOIN o USING (doc_id, doc_index)")
@@ -582,6 +633,22 @@ def report_totals(spark, sf_dir):
     return report.totals(_tokens(spark, sf_dir))
 
 
+@query(
+    f"WITH {CONS}, {COUNTED}, {HELD}, c AS (SELECT *, {CLASS} AS class FROM tok WHERE doc_id IN (SELECT doc_id FROM held WHERE is_done UNION SELECT doc_id FROM stats WHERE done)) SELECT count(*) AS total, count(*) FILTER (is_hyphenated) AS hyphenated, "
+    + ", ".join(f"count(*) FILTER (class = '{c}') AS {c}" for c in ("punctuation", "undersegmented", "oversegmented", "nogold", "malformed"))
+    + ", count(*) FILTER (class IN ('nogold', 'counted')) AS token_count FROM c"
+)
+def report_totals_finished(spark, sf_dir):
+    """The same over finished documents only."""
+    return report.totals(views.tokens_of(_tokens(spark, sf_dir), _finished(spark, sf_dir)))
+
+
+@query(f"WITH {CONS}, {COUNTED}, {HELD} SELECT original, gold, count(*) AS n FROM cons WHERE original IS NOT NULL AND gold IS NOT NULL AND doc_id IN (SELECT doc_id FROM held WHERE is_done UNION SELECT doc_id FROM stats WHERE done) GROUP BY ALL")
+def alignments_finished(spark, sf_dir):
+    """Aligned pairs of words of finished documents only."""
+    return align.full_alignments(T.consolidated(views.tokens_of(_tokens(spark, sf_dir), _finished(spark, sf_dir))))
+
+
 REPORT = BINS.rstrip() + f""", r AS (SELECT *, coalesce(gold = original, false) AS same, coalesce(gold = k1, false) AS top, coalesce(list_contains(lower_hits, gold), false) AS low, heuristic = 'annotator' AS hand FROM (SELECT *, {CLASS} AS class FROM binned) WHERE class IN ('nogold', 'counted') AND bin IS NOT NULL),
 rb AS (SELECT bin, count(*) AS total, count(*) FILTER (same) AS gold_is_original, count(*) FILTER (top) AS gold_is_top, count(*) FILTER (low) AS gold_is_lower, {", ".join(f"count(*) FILTER (heuristic = '{h}') AS by_{h}" for h in ("original", "kbest", "kdict", "annotator"))},
   count(*) FILTER (hand AND same) AS annotator_original, count(*) FILTER (hand AND NOT same AND top) AS annotator_top, count(*) FILTER (hand AND NOT same AND NOT top AND low) AS annotator_lower, count(*) FILTER (hand AND NOT same AND NOT top AND NOT low AND gold IS NOT NULL) AS annotator_novel FROM r GROUP BY bin)
@@ -610,7 +677,7 @@ def first_examples(spark, sf_dir):
 
 @query(f"WITH {TOK} SELECT original, gold, count(*) AS n FROM tok WHERE original IS NOT NULL AND gold IS NOT NULL GROUP BY ALL")
 def correction_tracking(spark, sf_dir):
-    return report.tracked(_tokens(spark, sf_dir))
+    return report.by_count(report.tracked(_tokens(spark, sf_dir)))
 
 
 @query(f"WITH {TOK}, c AS (SELECT original, gold, count(*) AS n FROM tok WHERE original IS NOT NULL AND gold IS NOT NULL GROUP BY ALL) SELECT original, gold FROM (SELECT *, row_number() OVER (PARTITION BY original ORDER BY n DESC, gold DESC) AS rn FROM c) WHERE rn = 1")

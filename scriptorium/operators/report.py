@@ -87,6 +87,11 @@ def tracked(tokens: DataFrame) -> DataFrame:
     return tokens.where("original IS NOT NULL AND gold IS NOT NULL").groupBy("original", "gold").agg(F.count("*").alias("n"))
 
 
+def by_count(counts: DataFrame) -> DataFrame:
+    """Corrections, the most frequent first."""
+    return counts.orderBy(F.desc("n"), "original", "gold")
+
+
 def memoized(counts: DataFrame, least_frequent: bool = False) -> DataFrame:
     """``(original, gold)``: the correction a reading got most often (or least often, for parity
     with tools that overwrite in order of count); ties go to the greater text."""

@@ -159,6 +159,26 @@ def render(tokens: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "piece").agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("text"))
 
 
+def document_texts(tokens: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: the printed text of each document as one value, put together from its pieces.
+    A document has to fit into a value here; ``sources.files.write_documents`` writes any."""
+    pieces = F.array_sort(F.collect_list(F.struct("piece", "text")))
+    return render(tokens).groupBy("doc_id").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), " ").alias("text"))
+
+
+def lookup(tokens: DataFrame, keys: DataFrame) -> DataFrame:
+    """The tokens asked for by ``(doc_id, doc_index)``, with ``status``: 200, or 404 and no values where
+    there is no such document or token."""
+    asked = keys.select("doc_id", "doc_index").distinct()
+    found = asked.join(tokens.withColumn("there", F.lit(True)), ["doc_id", "doc_index"], "left")
+    return found.withColumn("status", F.when(F.col("there"), 200).otherwise(404)).drop("there")
+
+
+def in_order(tokens: DataFrame) -> DataFrame:
+    """Tokens by document and place, as they are listed."""
+    return tokens.orderBy("doc_id", "doc_index")
+
+
 def text_sink_form(text: Column) -> Column:
     """Written form of a corrected text: line marks become line ends, the header says corrected."""
     t = F.replace(text, F.lit("_NEWLINE_N_"), F.lit("\n"))
@@ -253,18 +273,28 @@ def precache_candidates(tokens: DataFrame) -> DataFrame:
 
 
 def token_detail(tokens: DataFrame) -> DataFrame:
-    """A token as shown to an annotator: joined with the next if hyphenated, soft hyphens shown."""
+    """A token as shown to an annotator: joined with the next if hyphenated, soft hyphens shown. With a
+    column ``kbest`` its candidates are shown too, their soft hyphens where the token ends in one."""
     n = with_neighbours(tokens, ["original", "gold"], ["is_hyphenated"])
     both = (F.col("gold") != "") & (F.col("next_gold") != "")
-    original = F.when(F.col("is_hyphenated"), F.concat("original", F.coalesce("next_original", F.lit("")))).otherwise(F.col("original"))
-    gold = F.when(F.col("is_hyphenated"), F.when(both, F.concat("gold", "next_gold"))).otherwise(F.col("gold"))
+    first, corrected = X.shown_hyphen(F.col("original")), X.shown_hyphen(F.col("gold"))
+    original = F.when(F.col("is_hyphenated"), F.concat(first, F.coalesce("next_original", F.lit("")))).otherwise(first)
+    gold = F.when(F.col("is_hyphenated"), F.when(both, F.concat(corrected, "next_gold"))).otherwise(corrected)
+    shown = []
+    if "kbest" in tokens.columns:
+        soft = F.endswith("original", F.lit("\u00ad"))
+        dressed = lambda c: F.struct(c["k"].alias("k"), F.when(soft, F.replace(c["candidate"], F.lit("\u00ad"), F.lit("-"))).otherwise(c["candidate"]).alias("candidate"), c["probability"].alias("probability"))
+        # before the select, in which the name ``original`` would mean what is shown
+        n = n.withColumn("candidates", F.transform("kbest", dressed))
+        shown.append("candidates")
     return n.select(
         "doc_id",
         "doc_index",
-        X.shown_hyphen(original).alias("original"),
-        X.shown_hyphen(gold).alias("gold"),
+        original.alias("original"),
+        gold.alias("gold"),
         F.coalesce("prev_is_hyphenated", F.lit(False)).alias("redirects_to_head"),
         F.format_string("/images/%s/%d.png", "doc_id", "doc_index").alias("image_url"),
+        *shown,
     )
 
 
@@ -293,14 +323,21 @@ def crop_edges(found: DataFrame, tolerance: float = 0.1, edge: int = 20, bins: i
 
     Edges are those of the outer bins that hold at most ``tolerance`` of the fullest bin: on the
     left the last such bin among the first ``edge``, on the right the last among the last ``edge``.
-    Counts per column are added up before the histogram, so a page costs its width, not its words.
+    A box adds one where it begins and takes one away where it ends; the running sum over these places
+    is the cover of the columns between them, so a page costs its distinct edges, not its pixels.
     """
-    cover = found.where("x1 > x0").select("doc_id", "page", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"))
-    columns = cover.groupBy("doc_id", "page", "x").agg(F.count("*").alias("n"))
-    span = columns.groupBy("doc_id", "page").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    turns = found.where("x1 > x0").select("doc_id", "page", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d")))).alias("t"))
+    places = turns.groupBy("doc_id", "page", "t.x").agg(F.sum("t.d").alias("d"))
+    w = Window.partitionBy("doc_id", "page")  # at most one row per column of pixels
+    along = w.orderBy("x")
+    runs = places.withColumns({"n": F.sum("d").over(along), "end": F.lead("x").over(along), "lo": F.min("x").over(w), "hi": F.max("x").over(w) - 1}).where("n > 0")
     width = F.col("hi") - F.col("lo")
-    number = F.when(width == 0, F.lit(bins // 2 + 1)).otherwise(F.least(F.lit(bins), F.floor((F.col("x") - F.col("lo")) * bins / width).cast("int") + 1))
-    counts = columns.join(span, ["doc_id", "page"]).withColumn("bin", number).groupBy("doc_id", "page", "lo", "hi", "bin").agg(F.sum("n").alias("n"))
+    number = lambda x: F.when(width == 0, F.lit(bins // 2 + 1)).otherwise(F.least(F.lit(bins), F.floor((x - F.col("lo")) * bins / width).cast("int") + 1))
+    parts = runs.withColumn("bin", F.explode(F.sequence(number(F.col("x")), number(F.col("end") - 1))))
+    starts = F.col("lo") + F.floor(((F.col("bin") - 1) * width + bins - 1) / bins)
+    stops = F.when(F.col("bin") == bins, F.col("hi") + 1).otherwise(F.col("lo") + F.floor((F.col("bin") * width + bins - 1) / bins))
+    inside = F.when(width == 0, F.lit(1)).otherwise(F.least("end", stops) - F.greatest("x", starts))
+    counts = parts.groupBy("doc_id", "page", "lo", "hi", "bin").agg(F.sum(F.col("n") * inside).alias("n"))
     page = counts.groupBy("doc_id", "page", "lo", "hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.max("n").alias("most"))
     low = lambda a, b: F.array_max(F.filter(F.sequence(F.lit(a), F.lit(b)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) <= F.col("most") * tolerance))
     at = lambda i: F.col("lo") + i * (F.col("hi") - F.col("lo")) / bins
@@ -315,7 +352,7 @@ def outside_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def layout(found: DataFrame, factor: float = 0.71, padding: float = 10.0) -> DataFrame:
-    """The rows of the invisible text layer in page order: place, font size and text."""
+    """The rows of the invisible text layer: place, font size and text."""
     shown = X.effective(F.col("gold"), F.col("original"))
     size = F.round((F.col("y1") - F.col("y0")) * factor, 3)
     return (
@@ -324,6 +361,27 @@ def layout(found: DataFrame, factor: float = 0.71, padding: float = 10.0) -> Dat
     )
 
 
+def in_page_order(rows: DataFrame) -> DataFrame:
+    """Layout rows page by page in the order of block, line and word: whole pages lie in one task each,
+    which is how they are written; no sort spans the collection."""
+    return rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "block", "line", "word_no", "doc_index")
+
+
+def snippets(found: DataFrame, left: int = 300, right: int = 300, top: int = 15, bottom: int = 15) -> DataFrame:
+    """The rectangle cut from the page image around each word, kept inside the page as far as its words
+    tell its size."""
+    pages = found.groupBy("doc_id", "page").agg(F.max("x1").alias("width"), F.max("y1").alias("height"))
+    return found.join(pages, ["doc_id", "page"]).select(
+        "doc_id",
+        "doc_index",
+        "page",
+        F.greatest(F.lit(0), F.col("x0") - left).alias("crop_x0"),
+        F.greatest(F.lit(0), F.col("y0") - top).alias("crop_y0"),
+        F.least("width", F.col("x1") + right).alias("crop_x1"),
+        F.least("height", F.col("y1") + bottom).alias("crop_y1"),
+    )
+
+
 def edges_or(found: DataFrame, left: float | None = None, right: float | None = None) -> DataFrame:
     """Crop edges per page: both given, or computed if neither is; one alone leaves the other side open."""
     if left is None and right is None:

@@ -28,6 +28,11 @@ def select_documents(documents: DataFrame, ext: str | None = None, done: bool |
     return documents
 
 
+def tokens_of(tokens: DataFrame, documents: DataFrame) -> DataFrame:
+    """The tokens of the documents chosen, for reports, alignments or training over these only."""
+    return tokens.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def index_page(documents: DataFrame, stats: DataFrame) -> DataFrame:
     """Documents with open work, finished ones last: not done, tokens left, not all corrected or wrong."""
     joined = documents.select("doc_id", "is_done").join(stats, "doc_id")

@@ -12,7 +12,7 @@ from scriptorium.operators import align, bins, hmm
 from scriptorium.operators import tokens as T
 
 # The steps and what they build on.
-STEPS = {"tokenize": None, "dehyphenate": "tokenize", "kbest": "dehyphenate", "bin": "kbest", "autocorrect": "bin", "server": "autocorrect", "all": "autocorrect"}
+STEPS = {"tokenize": None, "rehyphenate": None, "autocrop": "tokenize", "dehyphenate": "tokenize", "kbest": "dehyphenate", "bin": "kbest", "autocorrect": "bin", "server": "autocorrect", "all": "autocorrect"}
 
 
 @dataclass
@@ -53,6 +53,36 @@ def with_kbest(tokens: DataFrame, options: Options) -> DataFrame:
     return joined.withColumn("kbest", F.when(keep, F.col("kbest")).otherwise(F.coalesce("new_kbest", "kbest", none))).drop("new_kbest")
 
 
+def with_bins(tokens: DataFrame, options: Options) -> DataFrame:
+    """Decisions; a bin a token has already stays, unless ``force`` is set."""
+    made = bins.bin_tokens(tokens, options.dictionary, options.settings)
+    if options.force or "bin" not in tokens.columns:
+        return made
+    names = ("bin", "heuristic", "selection")
+    old = tokens.where("bin IS NOT NULL").select("doc_id", "doc_index", F.struct(*names).alias("old"))
+    kept = made.join(old, ["doc_id", "doc_index"], "left")
+    return kept.withColumns({c: F.when(F.col("old").isNotNull(), F.col("old")[c]).otherwise(F.col(c)) for c in names}).drop("old")
+
+
+def apply_corrections(tokens: DataFrame, rows: DataFrame) -> DataFrame:
+    """The tokens with the corrections of a file: rows ``(doc_id, doc_index, gold, is_discarded)``, of
+    which the later columns may be missing, replace what the tokens hold. Rows without a token, or with
+    a NULL key, are passed over; of repeated rows the one with the greatest text counts."""
+    flag = F.col("is_discarded") if "is_discarded" in rows.columns else F.lit(None).cast("boolean")
+    new = rows.where("doc_id IS NOT NULL AND doc_index IS NOT NULL").groupBy("doc_id", "doc_index").agg(F.max(F.struct(F.col("gold").alias("gold"), flag.alias("gone"))).alias("c"))
+    joined = tokens.join(new, ["doc_id", "doc_index"], "left")
+    there = F.col("c").isNotNull()
+    return joined.withColumns({"gold": F.when(there, F.col("c.gold")).otherwise(F.col("gold")), "is_discarded": F.coalesce("c.gone", "is_discarded")}).drop("c")
+
+
+def corrected_texts(tokens: DataFrame, only_done: bool = True) -> DataFrame:
+    """``(doc_id, text)`` of the corrected documents, rows discarded left out; those complete by their
+    counts, or all."""
+    if only_done:
+        tokens = tokens.join(T.doc_stats(tokens).where("done").select("doc_id"), "doc_id", "left_semi")
+    return T.document_texts(tokens.where("NOT is_discarded"))
+
+
 def prepare(words: DataFrame, step: str, options: Options) -> DataFrame:
     """Runs all steps up to ``step`` on ``(doc_id, doc_index, original)`` or on tokens."""
     if step not in STEPS:
@@ -63,12 +93,15 @@ def prepare(words: DataFrame, step: str, options: Options) -> DataFrame:
         at = STEPS[at]
     tokens = words if "gold" in words.columns else blank_tokens(words)
     for name in reversed(chain):
-        if name == "dehyphenate" and options.dehyphenate:
+        if name == "rehyphenate" or (name == "dehyphenate" and options.dehyphenate):
             tokens = with_dehyphenation(tokens)
+        elif name == "autocrop":
+            found = T.boxes(tokens)
+            tokens = T.cropped(tokens, T.outside_edges(found, T.edges_or(found)))
         elif name == "kbest":
             tokens = with_kbest(tokens, options)
         elif name == "bin":
-            tokens = bins.bin_tokens(tokens, options.dictionary, options.settings)
+            tokens = with_bins(tokens, options)
         elif name == "autocorrect":
             gold = bins.autocorrect(tokens)
             tokens = tokens.drop("gold").join(gold, ["doc_id", "doc_index"])

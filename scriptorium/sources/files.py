@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +32,8 @@ def decode(content: bytes) -> str:
     return content.decode("cp1252", errors="replace")
 
 
-def read_texts(spark: SparkSession, path: str, header_lines: int = 0) -> DataFrame:
-    """``(doc_id, header, text)`` of text files of any supported encoding; the id is the file stem."""
+def decoded(raw: DataFrame, header_lines: int = 0) -> DataFrame:
+    """``(path, header, text)`` of files ``(path, content)`` of any supported encoding."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -38,25 +41,74 @@ def read_texts(spark: SparkSession, path: str, header_lines: int = 0) -> DataFra
             lines = [t.split("\n", header_lines) for t in texts]
             yield pd.DataFrame({"path": part["path"], "header": ["\n".join(x[:header_lines]) for x in lines], "text": [x[header_lines] if len(x) > header_lines else "" for x in lines]})
 
+    return raw.mapInPandas(run, "path string, header string, text string")
+
+
+def read_texts(spark: SparkSession, path: str, header_lines: int = 0) -> DataFrame:
+    """``(doc_id, header, text)`` of text files of any supported encoding; the id is the file stem."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return raw.mapInPandas(run, "path string, header string, text string").select(X.stem(F.col("path")).alias("doc_id"), "header", "text")
+    return decoded(raw, header_lines).select(X.stem(F.col("path")).alias("doc_id"), "header", "text")
+
+
+class _Words(HTMLParser):
+    """The words of one page: elements of class ``ocrx_word`` with all they contain."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.words: list[tuple[list[int], str]] = []
+        self.depth, self.box, self.text = 0, [0, 0, 0, 0], ""
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.depth:
+            self.depth += tag not in VOID
+        elif "ocrx_word" in (dict(attrs).get("class") or "").split():
+            found = re.search(r"bbox (\d+) (\d+) (\d+) (\d+)", dict(attrs).get("title") or "")
+            self.depth, self.text = 1, ""
+            self.box = [int(x) for x in found.groups()] if found else [0, 0, 0, 0]
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.depth and tag not in VOID:
+            self.depth -= 1
+            if not self.depth and self.text.strip():
+                self.words.append((self.box, self.text.strip()))
+
+    def handle_data(self, data: str) -> None:
+        if self.depth:
+            self.text += data
 
 
-HOCR_WORDS = "id string, x0 int, y0 int, x1 int, y1 int, word string"
+# Elements that have no end.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 def parse_hocr(pages: DataFrame) -> DataFrame:
     """``(doc_id, doc_index, x0, y0, x1, y1, original)`` of the words of hOCR pages ``(doc_id, xml)``;
-    blank words are left out, a box that does not parse is 0."""
-    word = r"(?s)<span[^>]*class=['\"]ocrx_word['\"][^>]*>.*?</span>"
-    box = lambda k: F.coalesce(F.regexp_extract("w", r"bbox (\d+) (\d+) (\d+) (\d+)", k).try_cast("int"), F.lit(0))
-    bare = F.btrim(F.regexp_replace("w", "<[^>]*>", ""), F.lit(X.BLANKS))
-    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(c))
-    kept = F.filter(F.regexp_extract_all("xml", F.lit(word), F.lit(0)), lambda w: F.btrim(F.regexp_replace(w, "<[^>]*>", "")) != "")
-    return pages.select("doc_id", F.posexplode(kept).alias("doc_index", "w")).select(
-        "doc_id", "doc_index", box(1).alias("x0"), box(2).alias("y0"), box(3).alias("x1"), box(4).alias("y1"), bare.alias("original")
-    )
+    blank words are left out, a box that does not parse is 0. Elements inside a word belong to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, xml in zip(batch.column("doc_id").to_pylist(), batch.column("xml").to_pylist(), strict=True):
+                parser = _Words()
+                parser.feed(xml)
+                rows = [(doc, i, *(min(x, 2**31 - 1) for x in box), text) for i, (box, text) in enumerate(parser.words)]
+                if rows:
+                    types = (pa.string(), *[pa.int32()] * 5, pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "doc_index", "x0", "y0", "x1", "y1", "original"])
+
+    known = pages.where("xml IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), "xml")
+    return known.mapInArrow(run, "doc_id string, doc_index int, x0 int, y0 int, x1 int, y1 int, original string")
+
+
+def to_hocr(found: DataFrame) -> DataFrame:
+    """``(doc_id, page, xml)``: the words of each page ``(doc_id, doc_index, page, x0, y0, x1, y1, original)``
+    as an hOCR document."""
+    plain = F.col("original")
+    for c, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        plain = F.replace(plain, F.lit(c), F.lit(entity))
+    word = F.format_string("<span class='ocrx_word' id='word_%d' title='bbox %d %d %d %d'>%s</span>", "doc_index", "x0", "y0", "x1", "y1", plain)
+    words = F.transform(F.array_sort(F.collect_list(F.struct("doc_index", word.alias("w")))), lambda x: x["w"])
+    page = found.where("original IS NOT NULL").groupBy("doc_id", "page").agg(F.array_join(words, "\n").alias("body"))
+    return page.select("doc_id", "page", F.concat(F.lit("<html><body><div class='ocr_page'>\n"), "body", F.lit("\n</div></body></html>")).alias("xml"))
 
 
 def renumber_ids(ids, page: int):
@@ -83,8 +135,24 @@ def from_word_table(words: DataFrame) -> DataFrame:
     )
 
 
+def read_word_table(spark: SparkSession, path: str) -> DataFrame:
+    """Tokens of scans whose words were extracted elsewhere, stored as a table of words in Parquet."""
+    return from_word_table(spark.read.parquet(path))
+
+
+def read_hocr(spark: SparkSession, path: str) -> DataFrame:
+    """Tokens of hOCR files; the id is the file stem."""
+    return parse_hocr(read_texts(spark, path).select("doc_id", F.col("text").alias("xml")))
+
+
 #: Reader per file type; register others under their suffix.
-READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {".txt": lambda spark, path: T.tokenize(read_texts(spark, path))}
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    ".txt": lambda spark, path: T.tokenize(read_texts(spark, path)),
+    ".hocr": read_hocr,
+    ".pdf": read_word_table,
+    ".tiff": read_word_table,
+    ".png": read_word_table,
+}
 
 
 def reader_for(suffix: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -204,6 +272,14 @@ def document_list(lines: DataFrame, most: int | None = None) -> DataFrame:
     return out.orderBy("doc_id").limit(most) if most is not None else out
 
 
+def write_documents(tokens: DataFrame, path: str) -> None:
+    """The printed text of documents of any size: a folder per document, whose files follow one another
+    in the order of their names, each piece with a blank behind it."""
+    pieces = T.render(tokens).select("doc_id", "piece", F.col("text").alias("value"))
+    ordered = pieces.repartitionByRange("doc_id", "piece").sortWithinPartitions("doc_id", "piece").select("doc_id", "value")
+    ordered.write.mode("error").option("lineSep", " ").partitionBy("doc_id").text(path)
+
+
 def write_texts(texts: DataFrame, path: str) -> None:
     """Writes texts ``(doc_id, header, text)``, one folder per document: the header lines, then the body."""
     body = F.when(F.col("header") != "", F.concat("header", F.lit("\n"), "text")).otherwise(F.col("text"))

@@ -1,8 +1,11 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from scriptorium.operators import annotate as A
 from scriptorium.operators import index, report
-from scriptorium.streaming import annotations
+from scriptorium.streaming import annotations, ingest
 
 SHY = "­"
 SCHEMA = "doc_id string, doc_index int, original string, gold string, is_hyphenated boolean, is_discarded boolean, has_error boolean, heuristic string, bin int, selection string, last_modified timestamp_ntz"
@@ -45,16 +48,58 @@ def test_order_of_actions(spark):
     assert got == ["error", "hyphenate-left", "gold", "discard", None]
 
 
+def event(folder, n, doc_index, gold):
+    (folder / f"{n}.json").write_text(json.dumps({"event_id": n, "doc_id": "abc", "doc_index": doc_index, "action": "gold", "gold": gold, "made_at": f"2024-01-01T00:0{n}:00"}))
+
+
+def golds(spark, table):
+    return [r.gold for r in annotations.read(spark, table).orderBy("doc_index").collect()]
+
+
 def test_stream(spark, tmp_path):
     table, events = str(tmp_path / "table"), tmp_path / "events"
     events.mkdir()
-    tokens(spark, "a b c").write.parquet(f"{table}/b000000000000")
+    with pytest.raises(ValueError, match="no version"):
+        annotations.newest(spark, table)
+    annotations.create(tokens(spark, "a b c"), table)
     for n, (doc_index, gold) in enumerate(((0, "x"), (1, "y"))):
-        (events / f"{n}.json").write_text(json.dumps({"event_id": n, "doc_id": "abc", "doc_index": doc_index, "action": "gold", "gold": gold, "made_at": f"2024-01-01T00:0{n}:00"}))
+        event(events, n, doc_index, gold)
         annotations.start(spark, str(events), table, str(tmp_path / "checkpoint")).awaitTermination()
-    last = annotations.last_version(spark, table)
-    assert last.endswith("b000000000002")
-    assert [r.gold for r in spark.read.parquet(last).orderBy("doc_index").collect()] == ["x", "y", None]
+    assert annotations.newest(spark, table)[0] == 3
+    assert golds(spark, table) == ["x", "y", None]
+    # another stream with a checkpoint of its own begins with batch 0 and changes what is newest
+    more = tmp_path / "more"
+    more.mkdir()
+    event(more, 5, 2, "z")
+    annotations.start(spark, str(more), table, str(tmp_path / "other")).awaitTermination()
+    assert golds(spark, table) == ["x", "y", "z"]
+    # a batch that comes again after a restart changes nothing
+    again = spark.read.schema(annotations.EVENT_SCHEMA).json(str(more))
+    annotations.upsert_batch(table, str(tmp_path / "other"))(again, 0)
+    assert annotations.newest(spark, table)[0] == 4
+
+
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
+    table = str(tmp_path / "table")
+    rows = tokens(spark, "a").crossJoin(spark.range(30).select((F.col("id") * 5000).cast("int").alias("at"))).withColumn("doc_index", F.col("at")).drop("at")
+    annotations.create(rows, table)
+    events = tmp_path / "events"
+    events.mkdir()
+    event(events, 1, 5000, "x")
+    annotations.upsert_batch(table, "s")(spark.read.schema(annotations.EVENT_SCHEMA).json(str(events)), 0)
+    last = annotations.published(spark, table)[-1]
+    assert spark.read.parquet(f"{last}/rows").count() < 5
+    assert annotations.read(spark, table).count() == 30
+
+
+def test_new_documents_as_a_stream(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "tokens")
+    folder.mkdir()
+    for name, text in (("a", "en to"), ("b", "tre")):
+        (folder / f"{name}.txt").write_text(text)
+        ingest.start(spark, str(folder), table, str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(table).orderBy("doc_id", "doc_index").collect()
+    assert [(r.doc_id, r.doc_index, r.original) for r in got] == [("a", 0, "en"), ("a", 1, "to"), ("b", 0, "tre")]
 
 
 def test_runs_of_terms(spark):

@@ -23,6 +23,31 @@ def test_hocr(spark):
     assert [tuple(r) for r in got] == [("d", 0, 1, 2, 30, 40, "Once"), ("d", 1, 0, 0, 0, 0, "up&en")]
 
 
+def test_words_of_hocr_hold_nested_elements_and_come_back(spark):
+    xml = """<div><span class='ocr_line'><span class='x ocrx_word' title='bbox 1 2 3 4'>a<span>b<br>c</span>d</span> <span class='ocrx_word' title='bbox 5 6 7 8'>&lt;e&gt; &amp;</span></span></div>"""
+    got = S.parse_hocr(spark.createDataFrame([("d", xml), ("x", ""), ("y", "no words <b")], "doc_id string, xml string")).orderBy("doc_index")
+    assert [tuple(r) for r in got.collect()] == [("d", 0, 1, 2, 3, 4, "abcd"), ("d", 1, 5, 6, 7, 8, "<e> &")]
+    pages = S.to_hocr(got.withColumn("page", got.doc_index * 0 + 1))
+    assert sorted(S.parse_hocr(pages).collect()) == sorted(got.collect())
+
+
+def test_readers_of_scans(spark, tmp_path):
+    words = spark.createDataFrame([("d", 1, 0, 0, 1, 1, "a", 1, 1, 1)], "doc_id string, page int, x0 int, y0 int, x1 int, y1 int, word string, block int, line int, word_no int")
+    words.write.parquet(str(tmp_path / "words"))
+    assert [r.original for r in S.reader_for(".pdf")(spark, str(tmp_path / "words")).collect()] == ["a"]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "page.hocr").write_text("<span class='ocrx_word'>ord</span>")
+    assert [(r.doc_id, r.original) for r in S.reader_for(".hocr")(spark, str(tmp_path / "p")).collect()] == [("page", "ord")]
+
+
+def test_documents_of_any_size_are_written_in_order(spark, tmp_path):
+    rows = [("d", i, f"w{i}", None, False) for i in range(9000)] + [("e", 0, "x-", None, True), ("e", 1, "y", None, False)]
+    S.write_documents(spark.createDataFrame(rows, "doc_id string, doc_index int, original string, gold string, is_hyphenated boolean"), str(tmp_path / "out"))
+    text = lambda d: "".join(p.read_text() for p in sorted((tmp_path / "out" / f"doc_id={d}").glob("part-*")))
+    assert text("d").split() == [f"w{i}" for i in range(9000)]
+    assert text("e") == "xy "
+
+
 def test_word_table_in_reading_order(spark):
     rows = [("d", 2, 0, 0, 1, 1, "c", 1, 1, 1), ("d", 1, 0, 0, 1, 1, "b", 1, 1, 2), ("d", 1, 0, 0, 1, 1, "a", 1, 1, 1)]
     df = spark.createDataFrame(rows, "doc_id string, page int, x0 int, y0 int, x1 int, y1 int, word string, block int, line int, word_no int")

@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.operators import tokens as T
+from scriptorium.plans import prepare
 
 SHY = "­"
 SCHEMA = "doc_id string, doc_index int, original string, gold string, is_hyphenated boolean, is_discarded boolean, has_error boolean, heuristic string, bin int, selection string, last_modified timestamp"
@@ -139,3 +141,54 @@ def test_records_round_trip(spark, at):
     row = ("d", 1, 'a"b', "", True, False, False, 3, "kdict", "[1, 2]", "PDFToken", None, '[{"x": 1}]', at(3))
     df = spark.createDataFrame([row], T.RECORD)
     assert [tuple(r) for r in T.from_records(T.to_records(df)).collect()] == [row]
+
+
+KBEST = "array<struct<k:int,candidate:string,probability:double>>"
+
+
+def test_detail_shows_candidates(spark):
+    rows = [("abc", 3, "ti\u00ad", None, False, [(1, "ti\u00adme", 1.0)]), ("abc", 4, "me", None, False, []), ("abc", 5, "a", None, False, [(1, "a\u00adb", 0.5)])]
+    got = {r.doc_index: r for r in T.token_detail(spark.createDataFrame(rows, f"doc_id string, doc_index int, original string, gold string, is_hyphenated boolean, kbest {KBEST}")).collect()}
+    assert got[3].candidates[0].candidate == "ti-me"
+    assert got[3].original == "ti-"
+    assert got[4].candidates == []
+    assert got[5].candidates[0].candidate == "a\u00adb"
+
+
+def test_lookup(spark):
+    t = spark.createDataFrame([("d", 0, "a"), ("d", 1, "b")], "doc_id string, doc_index int, original string")
+    keys = spark.createDataFrame([("d", 1), ("d", 9), ("x", 0), ("d", 1)], "doc_id string, doc_index int")
+    assert {(r.doc_id, r.doc_index, r.original, r.status) for r in T.lookup(t, keys).collect()} == {("d", 1, "b", 200), ("d", 9, None, 404), ("x", 0, None, 404)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crop_edges_against_columns_of_pixels(spark, seed):
+    rnd = random.Random(seed)
+    boxes = [("d", p, x, x + rnd.randint(0, 60)) for p in range(5) for x in [rnd.randint(0, 300 if p else 0) for _ in range(rnd.randint(1, 12))]]
+    got = {r.page: (r.left_edge, r.right_edge) for r in T.crop_edges(spark.createDataFrame(boxes, "doc_id string, page int, x0 int, x1 int")).collect()}
+    for page in range(5):
+        columns = Counter(x for _, p, a, b in boxes if p == page for x in range(a, b))
+        if not columns:
+            assert page not in got
+            continue
+        lo, hi = min(columns), max(columns)
+        bins = Counter()
+        for x, n in columns.items():
+            bins[51 if hi == lo else min(100, (x - lo) * 100 // (hi - lo) + 1)] += n
+        low = [b for b in range(1, 101) if bins[b] <= 0.1 * max(bins.values())]
+        left, right = [b for b in low if b <= 20], [b for b in low if b > 80]
+        assert got[page] == (round(lo + (max(left) - 1) * (hi - lo) / 100, 6) if left else 0.0, round(lo + max(right) * (hi - lo) / 100, 6) if right else hi + 1.0)
+
+
+def test_snippets_stay_inside_the_page(spark):
+    rows = [("d", 0, 1, 10, 5, 50, 20), ("d", 1, 1, 500, 400, 900, 420)]
+    got = {r.doc_index: tuple(r)[3:] for r in T.snippets(spark.createDataFrame(rows, "doc_id string, doc_index int, page int, x0 int, y0 int, x1 int, y1 int")).collect()}
+    assert got == {0: (0, 0, 350, 35), 1: (200, 385, 900, 420)}
+
+
+def test_corrections_of_a_file(spark):
+    t = spark.createDataFrame([("d", 0, "a", None, False), ("d", 1, "b", "B", False), ("d", 2, "c", None, False)], "doc_id string, doc_index int, original string, gold string, is_discarded boolean")
+    rows = spark.createDataFrame([("d", 0, "A", False), ("d", 0, "A", False), ("d", 2, "", True), ("x", 9, "z", None), (None, 1, "q", None)], "doc_id string, doc_index int, gold string, is_discarded boolean")
+    assert [(r.gold, r.is_discarded) for r in prepare.apply_corrections(t, rows).orderBy("doc_index").collect()] == [("A", False), ("B", False), ("", True)]
+    bare = rows.drop("is_discarded").where("gold <> ''")
+    assert [r.gold for r in prepare.apply_corrections(t, bare).orderBy("doc_index").collect()] == ["A", "B", None]
