@@ -270,12 +270,12 @@ def documents_done(spark, sf_dir):
     return views.mark_done(views.held_documents(read_table(spark, sf_dir, "doc_catalog")), T.doc_stats(_tokens(spark, sf_dir))).select("doc_id", "is_done")
 
 
-@query()
+@query(f"WITH {HELD} SELECT doc_id FROM held ORDER BY md5('5' || chr(31) || doc_id), doc_id LIMIT 1")
 def random_document(spark, sf_dir):
     return views.random_document(views.held_documents(read_table(spark, sf_dir, "doc_catalog")), seed=5)
 
 
-@query()
+@query(f"WITH {TOK} SELECT doc_id, doc_index FROM tok WHERE heuristic = 'annotator' ORDER BY md5('11' || chr(31) || doc_id || chr(31) || doc_index), doc_id, doc_index LIMIT 1")
 def random_token(spark, sf_dir):
     return views.random_token(_tokens(spark, sf_dir), F.col("heuristic") == "annotator", seed=11)
 
@@ -534,19 +534,76 @@ def _model(spark, sf_dir):
     return hmm.Model.collect(*_tables(spark, sf_dir))
 
 
-@query()
+# The beams and paths of a word begin with those of its prefixes, so prefixes are worked out once.
+SEARCH = MODEL.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+st AS MATERIALIZED (SELECT ch, row_number() OVER (ORDER BY ch) AS i FROM states),
+pi AS MATERIALIZED (SELECT s.ch, s.i, (coalesce(fl.n, 0) + 0.0001::DOUBLE) / ((SELECT sum(n) FROM fl)::DOUBLE + 0.0001::DOUBLE * (SELECT count(*) FROM states)) AS p FROM st s LEFT JOIN fl ON fl.ch = s.ch),
+pt AS MATERIALIZED (SELECT a.ch AS src, b.ch AS dst, a.i AS si, b.i AS di, (coalesce(bg.n, 0) + 0.0001::DOUBLE) / (coalesce(t.n, 0)::DOUBLE + 0.0001::DOUBLE * (SELECT count(*) FROM states)) AS p
+  FROM st a CROSS JOIN st b LEFT JOIN bg ON bg.src = a.ch AND bg.dst = b.ch LEFT JOIN (SELECT src, sum(n) AS n FROM bg GROUP BY src) t ON t.src = a.ch),
+er AS (SELECT * FROM conf UNION ALL SELECT ch, ch, n FROM cc WHERE ch NOT IN (SELECT state FROM conf)),
+et AS (SELECT state, sum(n) AS n FROM er GROUP BY state), eo AS (SELECT DISTINCT obs FROM er),
+pe AS MATERIALIZED (SELECT a.ch AS state, b.ch AS obs, CASE WHEN a.ch = b.ch THEN 1.0::DOUBLE WHEN et.n IS NOT NULL AND eo.obs IS NOT NULL
+  THEN (coalesce(er.n, 0) + 0.0001::DOUBLE) / (et.n::DOUBLE + 0.0001::DOUBLE * (SELECT count(*) FROM eo)) ELSE 0.0::DOUBLE END AS p
+  FROM states a CROSS JOIN states b LEFT JOIN er ON er.state = a.ch AND er.obs = b.ch LEFT JOIN et ON et.state = a.ch LEFT JOIN eo ON eo.obs = b.ch),
+"""
+BEAMS = """pre AS MATERIALIZED (SELECT DISTINCT left(word, i) AS pre, left(word, i - 1) AS parent, substr(word, i, 1) AS ch, i AS n FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM asked)),
+two AS (SELECT x.pre, 2 AS n, t.src || t.dst AS txt, t.dst AS last, ((i.p * coalesce(e0.p, 0)) * t.p) * coalesce(e1.p, 0) AS p
+  FROM pre x JOIN pt t ON true JOIN pi i ON i.ch = t.src LEFT JOIN pe e0 ON e0.state = t.src AND e0.obs = x.parent LEFT JOIN pe e1 ON e1.state = t.dst AND e1.obs = x.ch WHERE x.n = 2),
+best AS (SELECT pre, max(p, 4)[-1] AS least FROM two GROUP BY pre),
+seed AS (SELECT two.pre, n, txt, last, p, row_number() OVER (PARTITION BY two.pre ORDER BY p DESC, txt) AS rn FROM two JOIN best ON best.pre = two.pre AND p >= least),
+beam AS (SELECT pre, n, txt, last, p, rn FROM seed WHERE rn <= 4
+  UNION ALL SELECT pre, n, txt, last, p, rn FROM (
+    SELECT x.pre, b.n + 1 AS n, b.txt || t.dst AS txt, t.dst AS last, (b.p * t.p) * coalesce(e.p, 0) AS p, row_number() OVER (PARTITION BY x.pre ORDER BY (b.p * t.p) * coalesce(e.p, 0) DESC, b.txt || t.dst) AS rn
+    FROM beam b JOIN pre x ON x.parent = b.pre AND x.n = b.n + 1 JOIN pt t ON t.src = b.last LEFT JOIN pe e ON e.state = t.dst AND e.obs = x.ch) WHERE rn <= 4),
+short AS (SELECT x.pre, i.ch AS txt, i.p * coalesce(e.p, 0) AS p, row_number() OVER (PARTITION BY x.pre ORDER BY i.p * coalesce(e.p, 0) DESC, i.ch) AS rn FROM pre x JOIN pi i ON true LEFT JOIN pe e ON e.state = i.ch AND e.obs = x.ch WHERE x.n = 1),
+reading AS (SELECT a.word, b.rn AS k, b.txt AS candidate, b.p FROM asked a JOIN beam b ON b.pre = a.word UNION ALL SELECT a.word, s.rn, s.txt, s.p FROM asked a JOIN short s ON s.pre = a.word WHERE s.rn <= 4
+  UNION ALL SELECT word, unnest([1, 2, 3, 4]), '', 0.0 FROM asked WHERE word = '')
+"""
+ASKED = "asked AS MATERIALIZED (SELECT DISTINCT original AS word FROM cons WHERE original IS NOT NULL),\n"
+LOG = "CASE WHEN p > 0 THEN round(log10(p), 6) END AS log_p"
+
+
+def _candidates(found: DataFrame) -> DataFrame:
+    p = F.col("c.probability")
+    return found.select("word", F.explode("kbest").alias("c")).select("word", "c.k", "c.candidate", F.round(F.log10(F.when(p > 0, p)), 6).alias("log_p"))
+
+
+@query(SEARCH + ASKED + BEAMS + f"SELECT word, k::INTEGER AS k, candidate, {LOG} FROM reading")
 def kbest(spark, sf_dir):
     """k-best candidates under the trained model for every distinct joined word."""
-    return hmm.kbest_words(_words(spark, sf_dir).select(F.col("original").alias("word")), _model(spark, sf_dir)).select("word", F.explode("kbest").alias("c")).select("word", "c.*")
+    return _candidates(hmm.kbest_words(_words(spark, sf_dir).select(F.col("original").alias("word")), _model(spark, sf_dir)))
+
+
+# Groups of characters read for one, for this query.
+GROUPS = {"ce": ["æ"], "rn": ["m"], "cl": ["d"]}
+# each occurrence of a group stays or is replaced, one group at a time
+VARIANTS = """words AS MATERIALIZED (SELECT DISTINCT original AS word FROM cons WHERE original IS NOT NULL),
+grp AS (SELECT * FROM (VALUES """ + ", ".join(f"('{g}', '{r[0]}')" for g, r in GROUPS.items()) + """) AS g(g, r)),
+cut AS (SELECT word, g, r, string_split(word, g) AS parts FROM words JOIN grp ON contains(word, g)),
+made AS (SELECT word, g, r, parts, 1 AS i, parts[1] AS v FROM cut
+  UNION ALL SELECT word, g, r, parts, i + 1, v || x || parts[i + 1] FROM (SELECT *, unnest([g, r]) AS x FROM made WHERE i < len(parts))),
+variant AS MATERIALIZED (SELECT DISTINCT word, g, v FROM made WHERE i = len(parts) AND v <> word),
+asked AS MATERIALIZED (SELECT word FROM words UNION SELECT v FROM variant),
+"""
 
 
-@query()
+@query(
+    SEARCH + VARIANTS + BEAMS.rstrip() + f""", every AS (SELECT w.word, r.candidate, r.p FROM words w JOIN reading r ON r.word = w.word UNION ALL SELECT v.word, r.candidate, r.p FROM variant v JOIN reading r ON r.word = v.v)
+SELECT word, k::INTEGER AS k, candidate, {LOG} FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY p DESC, candidate) AS k FROM every) WHERE k <= 4"""
+)
 def kbest_multichar(spark, sf_dir):
-    groups = {"ce": ["æ"], "rn": ["m"], "cl": ["d"]}
-    return hmm.kbest_words(_words(spark, sf_dir).select(F.col("original").alias("word")), _model(spark, sf_dir), multichars=groups).select("word", F.explode("kbest").alias("c")).select("word", "c.*")
+    return _candidates(hmm.kbest_words(_words(spark, sf_dir).select(F.col("original").alias("word")), _model(spark, sf_dir), multichars=GROUPS))
 
 
-@query()
+@query(
+    SEARCH + ASKED + """pre AS MATERIALIZED (SELECT DISTINCT left(word, i) AS pre, left(word, i - 1) AS parent, substr(word, i, 1) AS ch, i AS n FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM asked)),
+path AS (SELECT x.pre, x.n, i.i, i.ch AS txt, i.p * coalesce(e.p, 0) AS p FROM pre x JOIN pi i ON true LEFT JOIN pe e ON e.state = i.ch AND e.obs = x.ch WHERE x.n = 1
+  UNION ALL SELECT y.pre, y.n, y.di, y.best.txt || y.dst, y.best.p * coalesce(e.p, 0) FROM (
+    SELECT x.pre, x.n, x.ch, t.di, t.dst, max({'p': b.p * t.p, 'first': -b.i, 'txt': b.txt}) AS best FROM path b JOIN pre x ON x.parent = b.pre AND x.n = b.n + 1 JOIN pt t ON t.si = b.i GROUP BY ALL) y
+    LEFT JOIN pe e ON e.state = y.dst AND e.obs = y.ch),
+last AS (SELECT pre, max({'p': p, 'first': -i, 'txt': txt}) AS best FROM path GROUP BY pre)
+SELECT a.word, CASE WHEN a.word = '' THEN '' ELSE best.txt END AS reading FROM asked a LEFT JOIN last ON last.pre = a.word"""
+)
 def viterbi(spark, sf_dir):
     return hmm.viterbi_words(_words(spark, sf_dir).select(F.col("original").alias("word")), _model(spark, sf_dir))
 

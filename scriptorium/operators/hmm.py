@@ -7,6 +7,7 @@ collects these three tables, whose size does not depend on the text, and runs a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.common import stage_table
 from scriptorium.functions import text as X
 
 SMOOTHING = 0.0001
@@ -22,6 +24,14 @@ REMOVED = " \t\n\r﻿\x00"
 # The character set a model is trained for unless another is given.
 CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÆØÅæøåÄËÏÖÜÁÉÍÓÚÀÈÌÒÙäëïöüáéíóúàèìòù"
 MOST_CHARACTERS = 4096
+#: Cells of a matrix of one step of a beam over several words.
+STEP_CELLS = 4_000_000
+
+
+def check_alphabet(n: int) -> None:
+    """Tables of alphabet x alphabet are made and collected only for what is an alphabet."""
+    if n > MOST_CHARACTERS:
+        raise ValueError(f"{n} states: an alphabet has at most {MOST_CHARACTERS}")
 
 
 def _kept(c: Column) -> Column:
@@ -106,8 +116,7 @@ class Model:
     """The three tables as matrices over the sorted states."""
 
     def __init__(self, init: dict[str, float], tran: dict[tuple[str, str], float], emis: dict[tuple[str, str], float]):
-        if len(init) > MOST_CHARACTERS:
-            raise ValueError(f"{len(init)} states: an alphabet has fewer than {MOST_CHARACTERS}")
+        check_alphabet(len(init))
         self.states = sorted(init)
         self.index = {c: i for i, c in enumerate(self.states)}
         n = len(self.states)
@@ -116,68 +125,122 @@ class Model:
         for (a, b), p in tran.items():
             if a in self.index and b in self.index:
                 self.tran[self.index[a], self.index[b]] = p
-        self.emis: dict[str, np.ndarray] = {}
+        # a row per character read; the last one for characters never read
+        self.read = {c: i for i, c in enumerate(sorted({b for _, b in emis}))}
+        self.emis = np.zeros((len(self.read) + 1, n))
         for (a, b), p in emis.items():
             if a in self.index:
-                self.emis.setdefault(b, np.zeros(n))[self.index[a]] = p
-        self.none = np.zeros(n)
+                self.emis[self.read[b], self.index[a]] = p
 
     @classmethod
     def collect(cls, init: DataFrame, tran: DataFrame, emis: DataFrame) -> Model:
+        """From the three tables, once it is sure that they are of the size of an alphabet."""
+        check_alphabet(init.count())
         return cls({r.state: r.p for r in init.collect()}, {(r.src, r.dst): r.p for r in tran.collect()}, {(r.state, r.obs): r.p for r in emis.collect()})
 
-    def _best(self, texts: list[str], scores: np.ndarray, k: int) -> tuple[list[str], np.ndarray]:
-        """The k best of (beam x state) extensions: greatest first, equal ones by text."""
-        flat = scores.ravel()
-        if k < len(flat):
-            least = np.partition(flat, len(flat) - k)[len(flat) - k]
-            chosen = np.flatnonzero(flat >= least)
-        else:
-            chosen = np.arange(len(flat))
-        n = len(self.states)
-        rows = sorted(((-flat[i], texts[i // n] + self.states[i % n], i) for i in chosen))[:k]
-        return [t for _, t, _ in rows], np.array([-p for p, _, _ in rows])
+    def _codes(self, words: list[str]) -> np.ndarray:
+        """The rows of ``emis`` for words of one length."""
+        none = len(self.read)
+        return np.array([[self.read.get(c, none) for c in w] for w in words], dtype=np.int64)
+
+    @staticmethod
+    def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+        """Per row the places of the k greatest scores, greatest first, equal ones by key."""
+        k = min(k, scores.shape[1])
+        chosen = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(scores, chosen, axis=1).min(axis=1)
+        for row in np.flatnonzero((scores >= least[:, None]).sum(axis=1) > k):  # equal to the last one
+            tied = np.flatnonzero(scores[row] >= least[row])
+            chosen[row] = tied[np.lexsort((keys[row, tied], -scores[row, tied]))][:k]
+        by_key = np.argsort(np.take_along_axis(keys, chosen, axis=1), axis=1)
+        chosen = np.take_along_axis(chosen, by_key, axis=1)
+        return np.take_along_axis(chosen, np.argsort(-np.take_along_axis(scores, chosen, axis=1), axis=1, kind="stable"), axis=1)
+
+    def beams(self, words: list[str], k: int) -> list[list[tuple[str, float]]]:
+        """k-best readings of words of one length, taken together: all pairs of states for the first two
+        characters, then k x states a step. Greatest first, equal ones by text."""
+        size, n = len(words[0]), len(self.states)
+        if not size or not n:
+            return [[("", 0.0)] * k for _ in words]
+        codes = self._codes(words)
+        w = np.arange(len(words))[:, None]
+        if size == 1:
+            first = self.init * self.emis[codes[:, 0]]
+            keys = np.broadcast_to(np.arange(n), first.shape)
+            chosen = self._best(first, keys, k)
+            return [[(self.states[i], float(first[r, i])) for i in row] for r, row in enumerate(chosen.tolist())]
+        # words that begin alike share their first step, which is by far the widest
+        starts, owner = np.unique(codes[:, :2], axis=0, return_inverse=True)
+        parts = []
+        for at in range(0, len(starts), self.step()):
+            a, b = starts[at : at + self.step()].T
+            scores = ((self.init * self.emis[a])[:, :, None] * self.tran[None]).reshape(len(a), n * n) * np.tile(self.emis[b], n)
+            chosen = self._best(scores, np.broadcast_to(np.arange(n * n), scores.shape), k)
+            parts.append((chosen, np.take_along_axis(scores, chosen, axis=1)))
+        chosen, p = (np.concatenate(c)[owner.ravel()] for c in zip(*parts, strict=True))
+        paths = np.stack([chosen // n, chosen % n], axis=2)
+        rank = np.argsort(np.argsort(chosen, axis=1), axis=1)  # of the texts so far
+        for step in range(2, size):
+            scores = ((p[:, :, None] * self.tran[paths[:, :, -1]]) * self.emis[codes[:, step]][:, None, :]).reshape(len(words), -1)
+            keys = (rank[:, :, None] * n + np.arange(n)).reshape(len(words), -1)
+            chosen = self._best(scores, keys, k)
+            p = np.take_along_axis(scores, chosen, axis=1)
+            paths = np.concatenate([paths[w, chosen // n], (chosen % n)[:, :, None]], axis=2)
+            rank = np.argsort(np.argsort(np.take_along_axis(keys, chosen, axis=1), axis=1), axis=1)
+        text = np.array(self.states, dtype=object)
+        return [[("".join(text[path]), float(x)) for path, x in zip(paths[r], p[r], strict=True)] for r in range(len(words))]
 
     def beam(self, word: str, k: int) -> list[tuple[str, float]]:
-        """k-best readings: all pairs of states for the first two characters, then k x states a step."""
-        if not word or not self.states:
-            return [("", 0.0)] * k
-        first = self.init * self.emis.get(word[0], self.none)
-        if len(word) == 1:
-            texts, p = self._best([""], first[None, :], k)
-            return list(zip(texts, p.tolist(), strict=True))
-        scores = first[:, None] * self.tran * self.emis.get(word[1], self.none)[None, :]
-        texts, p = self._best(self.states, scores, k)
-        for c in word[2:]:
-            rows = self.tran[[self.index[t[-1]] for t in texts]]
-            texts, p = self._best(texts, p[:, None] * rows * self.emis.get(c, self.none)[None, :], k)
-        return list(zip(texts, p.tolist(), strict=True))
-
-    def viterbi(self, word: str) -> str:
-        """The one best reading by dynamic programming; ties go to the first state in order."""
-        if not word or not self.states:
-            return ""
-        p = self.init * self.emis.get(word[0], self.none)
+        return self.beams([word], k)[0]
+
+    def readings(self, words: list[str]) -> list[str]:
+        """The one best reading of words of one length, by dynamic programming; ties go to the first state."""
+        size, n = len(words[0]), len(self.states)
+        if not size or not n:
+            return [""] * len(words)
+        codes = self._codes(words)
+        p = self.init * self.emis[codes[:, 0]]
         back = []
-        for c in word[1:]:
-            step = p[:, None] * self.tran
-            back.append(step.argmax(axis=0))
-            p = step.max(axis=0) * self.emis.get(c, self.none)
-        at = int(p.argmax())
+        for step in range(1, size):
+            scores = p[:, :, None] * self.tran[None]
+            back.append(scores.argmax(axis=1))
+            p = scores.max(axis=1) * self.emis[codes[:, step]]
+        at = p.argmax(axis=1)
         out = [at]
         for b in reversed(back):
-            at = int(b[at])
+            at = b[np.arange(len(words)), at]
             out.append(at)
-        return "".join(self.states[i] for i in reversed(out))
+        text = np.array(self.states, dtype=object)
+        return ["".join(text[row]) for row in np.stack(out[::-1], axis=1)]
+
+    def viterbi(self, word: str) -> str:
+        return self.readings([word])[0]
+
+    def step(self) -> int:
+        """How many matrices of state x state keep a step small."""
+        return max(1, STEP_CELLS // max(1, len(self.states)) ** 2)
+
+    def together(self, words: list[str], one: Callable[[list[str]], list], most: int) -> dict[str, object]:
+        """``one`` over distinct words, those of one length together, ``most`` at a time."""
+        groups: dict[int, list[str]] = {}
+        for w in sorted(set(words)):
+            groups.setdefault(len(w), []).append(w)
+        out: dict[str, object] = {}
+        for group in groups.values():
+            for at in range(0, len(group), most):
+                part = group[at : at + most]
+                out.update(zip(part, one(part), strict=True))
+        return out
+
+    def kbests(self, words: list[str], k: int, multichars: dict[str, list[str]]) -> list[list[tuple[str, float]]]:
+        """k-best readings of words and of all their variants with a character group replaced."""
+        others = {w: [v for group, replacements in multichars.items() if w and group in w for v in variants(w, group, replacements)] for w in dict.fromkeys(words)}
+        found = self.together([x for w, more in others.items() for x in (w, *more)], lambda part: self.beams(part, k), max(1, STEP_CELLS // max(1, k * len(self.states))))
+        merged = {w: sorted((r for x in (w, *more) for r in found[x]), key=lambda r: (-r[1], r[0]))[:k] if more else found[w] for w, more in others.items()}
+        return [merged[w] for w in words]
 
     def kbest(self, word: str, k: int, multichars: dict[str, list[str]]) -> list[tuple[str, float]]:
-        """k-best readings of a word and of all variants with a character group replaced."""
-        found = self.beam(word, k)
-        for group, replacements in multichars.items():
-            if word and group in word:
-                for variant in variants(word, group, replacements):
-                    found = sorted(found + self.beam(variant, k), key=lambda r: (-r[1], r[0]))[:k]
-        return found
+        return self.kbests([word], k, multichars)[0]
 
 
 def variants(word: str, group: str, replacements: list[str]) -> list[str]:
@@ -197,8 +260,8 @@ def kbest_words(words: DataFrame, model: Model, k: int = 4, multichars: dict[str
 
     @F.pandas_udf(KBEST)
     def run(column: pd.Series) -> pd.Series:
-        m = shared.value
-        return pd.Series([[{"k": i + 1, "candidate": t, "probability": p} for i, (t, p) in enumerate(m.kbest(w, k, groups))] for w in column])
+        found = shared.value.kbests(column.tolist(), k, groups)
+        return pd.Series([[{"k": i + 1, "candidate": t, "probability": p} for i, (t, p) in enumerate(row)] for row in found])
 
     return words.select("word").where("word IS NOT NULL").distinct().select("word", run("word").alias("kbest"))
 
@@ -208,7 +271,9 @@ def viterbi_words(words: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.viterbi(w) for w in column], dtype=object)
+        words = column.tolist()
+        found = shared.value.together(words, shared.value.readings, shared.value.step())
+        return pd.Series([found[w] for w in words], dtype=object)
 
     return words.select("word").where("word IS NOT NULL").distinct().select("word", run("word").alias("reading"))
 
@@ -221,7 +286,8 @@ def train(read_counts: DataFrame, gold_words: DataFrame, dictionary: DataFrame |
     if dictionary is not None:
         words = words.unionByName(dictionary.select("word").distinct().withColumn("n", F.lit(1).cast("long")))
     conf, counts = confusion(read_counts), char_counts(words, required)
-    states = alphabet(conf, counts, required)
+    states = stage_table(alphabet(conf, counts, required), "states")
+    check_alphabet(states.count())
     return initial(first_letters(words), states, smoothing), transitions(bigrams(words), states, smoothing), emissions(conf, counts, states, smoothing)
 
 

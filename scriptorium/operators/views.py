@@ -46,13 +46,13 @@ def stats_list(stats: DataFrame, ready: DataFrame) -> DataFrame:
 
 def random_token(tokens: DataFrame, qualifies: Column, seed: int) -> DataFrame:
     """One qualifying token, each with equal chance; a partial top-1 per task, no full sort."""
-    order = F.struct(F.xxhash64("doc_id", "doc_index", F.lit(seed)).alias("h"), "doc_id", "doc_index")
+    order = F.struct(F.md5(F.concat_ws("\x1f", F.lit(str(seed)), "doc_id", "doc_index")).alias("h"), "doc_id", "doc_index")
     return tokens.where(qualifies).agg(F.min(order).alias("m")).where("m IS NOT NULL").select("m.doc_id", "m.doc_index")
 
 
 def random_document(documents: DataFrame, seed: int) -> DataFrame:
     """One document, each with equal chance."""
-    return documents.agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id")).alias("m")).where("m IS NOT NULL").select("m.doc_id")
+    return documents.agg(F.min(F.struct(F.md5(F.concat_ws("\x1f", F.lit(str(seed)), "doc_id")).alias("h"), "doc_id")).alias("m")).where("m IS NOT NULL").select("m.doc_id")
 
 
 def add_documents(documents: DataFrame, new: DataFrame) -> DataFrame:

@@ -39,15 +39,29 @@ def brute_model(seed):
     return hmm.Model({c: share() for c in states}, {(a, b): share() for a in states for b in states}, {(a, b): share() for a in states for b in "abcx"})
 
 
+def emission(m, c):
+    return m.emis[m.read.get(c, len(m.read))]
+
+
+def test_words_together_as_one_by_one():
+    rnd = random.Random(1)
+    m = brute_model(2)
+    words = ["".join(rnd.choice("abcx") for _ in range(rnd.randint(0, 6))) for _ in range(200)]
+    groups = {"ab": ["c", ""], "x": ["a"]}
+    together = m.kbests(words, 3, groups)
+    assert together == [m.kbest(w, 3, groups) for w in words]
+    assert m.together(words, m.readings, 7) == {w: m.viterbi(w) for w in words}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_viterbi_and_wide_beam_against_all_paths(seed):
     m = brute_model(seed)
     for word in ("a", "bx", "abc", "cabx"):
         scored = []
         for path in product(range(3), repeat=len(word)):
-            p = m.init[path[0]] * m.emis.get(word[0], m.none)[path[0]]
+            p = m.init[path[0]] * emission(m, word[0])[path[0]]
             for i in range(1, len(word)):
-                p = p * m.tran[path[i - 1], path[i]] * m.emis.get(word[i], m.none)[path[i]]
+                p = p * m.tran[path[i - 1], path[i]] * emission(m, word[i])[path[i]]
             scored.append((-p, "".join("abc"[s] for s in path)))
         scored.sort()
         assert [(-p, t) for p, t in scored[:5]] == [(p, t) for t, p in m.beam(word, 81)][:5]
