@@ -253,6 +253,13 @@ def variants(word: str, group: str, replacements: list[str]) -> list[str]:
 KBEST = "array<struct<k:int,candidate:string,probability:double>>"
 
 
+def _distinct(words: DataFrame) -> DataFrame:
+    """The distinct words, spread over as many tasks as a shuffle has: they are few bytes and much work,
+    so that their number must not follow their size."""
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.select("word").where("word IS NOT NULL").distinct().repartition(parts)
+
+
 def kbest_words(words: DataFrame, model: Model, k: int = 4, multichars: dict[str, list[str]] | None = None) -> DataFrame:
     """``(word, kbest)`` of the distinct values of the column ``word``."""
     shared = words.sparkSession.sparkContext.broadcast(model)
@@ -263,7 +270,7 @@ def kbest_words(words: DataFrame, model: Model, k: int = 4, multichars: dict[str
         found = shared.value.kbests(column.tolist(), k, groups)
         return pd.Series([[{"k": i + 1, "candidate": t, "probability": p} for i, (t, p) in enumerate(row)] for row in found])
 
-    return words.select("word").where("word IS NOT NULL").distinct().select("word", run("word").alias("kbest"))
+    return _distinct(words).select("word", run("word").alias("kbest"))
 
 
 def viterbi_words(words: DataFrame, model: Model) -> DataFrame:
@@ -275,7 +282,7 @@ def viterbi_words(words: DataFrame, model: Model) -> DataFrame:
         found = shared.value.together(words, shared.value.readings, shared.value.step())
         return pd.Series([found[w] for w in words], dtype=object)
 
-    return words.select("word").where("word IS NOT NULL").distinct().select("word", run("word").alias("reading"))
+    return _distinct(words).select("word", run("word").alias("reading"))
 
 
 def train(read_counts: DataFrame, gold_words: DataFrame, dictionary: DataFrame | None = None, required: str = "", smoothing: float = SMOOTHING) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -285,7 +292,9 @@ def train(read_counts: DataFrame, gold_words: DataFrame, dictionary: DataFrame |
     words = gold_words.select("word", "n")
     if dictionary is not None:
         words = words.unionByName(dictionary.select("word").distinct().withColumn("n", F.lit(1).cast("long")))
-    conf, counts = confusion(read_counts), char_counts(words, required)
+    # read by all three tables: counted once
+    words = stage_table(words, "words")
+    conf, counts = stage_table(confusion(read_counts), "confusion"), stage_table(char_counts(words, required), "characters")
     states = stage_table(alphabet(conf, counts, required), "states")
     check_alphabet(states.count())
     return initial(first_letters(words), states, smoothing), transitions(bigrams(words), states, smoothing), emissions(conf, counts, states, smoothing)
