@@ -112,6 +112,24 @@ SELECT DISTINCT least(a, c) AS doc_id_a, greatest(a, c) AS doc_id_b FROM ext WHE
 """
 
 
+SHARE_SQL = """
+WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+copy AS (SELECT text, min(doc_id) AS rep FROM t WHERE n >= 300 GROUP BY text HAVING count(*) > 1),
+held AS (SELECT t.doc_id, n, t.text, rep FROM t LEFT JOIN copy ON copy.text = t.text AND n >= 300),
+piece AS (SELECT doc_id, p, substr(text, p, 1299) AS s FROM (SELECT *, unnest(generate_series(1, n, 1000)) AS p FROM held WHERE n >= 300)),
+place AS (SELECT doc_id, p, s, unnest(generate_series(p, least(p + 999, p + length(s) - 300))) AS i FROM piece),
+hashed AS (SELECT doc_id, i, hash(substr(s, i - p + 1, 300)) AS h FROM place),
+twice AS (SELECT h FROM hashed GROUP BY h HAVING min(doc_id) < max(doc_id)),
+common AS (SELECT doc_id, i, h FROM hashed WHERE h IN (SELECT h FROM twice)),
+cover AS (SELECT doc_id, sum(least(300, gap)) AS part FROM (SELECT doc_id, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 300) AS gap FROM common) GROUP BY doc_id),
+link AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM (SELECT DISTINCT doc_id, h FROM common) a JOIN (SELECT DISTINCT doc_id, h FROM common) b ON a.h = b.h AND a.doc_id <> b.doc_id
+  WHERE a.doc_id IN (SELECT doc_id FROM held WHERE coalesce(rep, doc_id) = doc_id) AND b.doc_id IN (SELECT doc_id FROM held WHERE coalesce(rep, doc_id) = doc_id)),
+partner AS (SELECT a AS doc_id, count(*) AS k FROM link GROUP BY a)
+SELECT h.doc_id, n::INTEGER AS n_chars, coalesce(c.part, 0)::INTEGER AS shared_chars, coalesce(k, 0) AS n_partners, rep AS copy_of
+FROM held h LEFT JOIN cover c ON c.doc_id = h.doc_id LEFT JOIN partner p ON p.doc_id = coalesce(h.rep, h.doc_id)
+"""
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_forms": p1_forms,
@@ -131,4 +149,5 @@ SQL = {
     "p2_found": TERMS_SQL + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_term_counts": TERMS_SQL + "SELECT * FROM m",
     "p8_found": SPANS_SQL,
+    "p8_shared_share": SHARE_SQL,
 }
