@@ -118,7 +118,7 @@ copy AS (SELECT text, min(doc_id) AS rep FROM t WHERE n >= 300 GROUP BY text HAV
 held AS (SELECT t.doc_id, n, t.text, rep FROM t LEFT JOIN copy ON copy.text = t.text AND n >= 300),
 piece AS (SELECT doc_id, p, substr(text, p, 1299) AS s FROM (SELECT *, unnest(generate_series(1, n, 1000)) AS p FROM held WHERE n >= 300)),
 place AS (SELECT doc_id, p, s, unnest(generate_series(p, least(p + 999, p + length(s) - 300))) AS i FROM piece),
-hashed AS (SELECT doc_id, i, hash(substr(s, i - p + 1, 300)) AS h FROM place),
+hashed AS (SELECT doc_id, i, md5_number_lower(substr(s, i - p + 1, 300)) AS h FROM place),
 twice AS (SELECT h FROM hashed GROUP BY h HAVING min(doc_id) < max(doc_id)),
 common AS (SELECT doc_id, i, h FROM hashed WHERE h IN (SELECT h FROM twice)),
 cover AS (SELECT doc_id, sum(least(300, gap)) AS part FROM (SELECT doc_id, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 300) AS gap FROM common) GROUP BY doc_id),
