@@ -238,7 +238,7 @@ def fill_report(packed: DataFrame, plans: DataFrame) -> DataFrame:
     used = packed.groupBy("plan_id", "container_id").agg(F.sum("length").alias("used"))
     per_plan = used.groupBy("plan_id").agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
     caps = plans.select("plan_id", "capacity_tokens").distinct()
-    return per_plan.join(F.broadcast(caps), "plan_id").select(
+    return per_plan.join(caps, "plan_id").select(
         "plan_id",
         "capacity_tokens",
         "n_containers",
