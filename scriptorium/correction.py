@@ -651,9 +651,10 @@ binned AS (SELECT doc_id, doc_index, original, gold, cand, k1, hits, lower_hits,
 
 
 def _binned(spark, sf_dir):
-    # read by four branches of the plan: written once
-    t = stage_table(T.with_candidates(_tokens(spark, sf_dir), _kbest(spark, sf_dir)), "candidates")
-    return bins.bin_tokens(t, _dictionary(spark, sf_dir), read_table(spark, sf_dir, "bin_settings"))
+    # read by several branches of the plan: written once
+    tokens = stage_table(_tokens(spark, sf_dir).drop("token_type", "token_info", "annotations", "last_modified"), "tokens")
+    known = stage_table(bins.looked_up(tokens, _kbest(spark, sf_dir), _dictionary(spark, sf_dir)), "candidates")
+    return bins.bin_tokens(known, _dictionary(spark, sf_dir), read_table(spark, sf_dir, "bin_settings"))
 
 
 @query(BINS + "SELECT doc_id, doc_index, bin, heuristic, selection FROM binned")

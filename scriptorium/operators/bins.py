@@ -40,6 +40,24 @@ def with_knowledge(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
 
 
+def looked_up(tokens: DataFrame, kbest: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The same from the rows of the candidates, before they are lists: distinct words are looked up
+    once, every candidate row is marked, and the list of a token arrives with its marks."""
+    words = tokens.select(F.col("original").alias("word")).unionByName(kbest.select(F.col("candidate").alias("word")))
+    known = known_words(words, dictionary).where("known").select("word")
+    marked = kbest.join(known.select(F.col("word").alias("candidate"), F.lit(True).alias("hit")), "candidate", "left")
+    lists = marked.groupBy("doc_id", "doc_index").agg(F.array_sort(F.collect_list(F.struct("k", "candidate", "probability", "hit"))).alias("all"))
+    originals = known.select(F.col("word").alias("original"), F.lit(True).alias("o_hit"))
+    plain = F.transform("all", lambda c: F.struct(c["k"].alias("k"), c["candidate"].alias("candidate"), c["probability"].alias("probability")))
+    places = F.transform(F.filter("all", lambda c: c["hit"].isNotNull()), lambda c: c["k"])
+    return (
+        tokens.join(lists, ["doc_id", "doc_index"], "left")
+        .join(originals, "original", "left")
+        .withColumns({"kbest": F.coalesce(plain, F.array().cast("array<struct<k:int,candidate:string,probability:double>>")), "k_known": F.coalesce(places, F.array().cast("array<int>")), "o_known": F.coalesce("o_hit", F.lit(False))})
+        .drop("all", "o_hit")
+    )
+
+
 def bin_number() -> Column:
     """The bin of rows with ``original, kbest, o_known, k_known``; the first that matches."""
     k1 = F.try_element_at("kbest", F.lit(1))["candidate"]
@@ -75,10 +93,11 @@ def selection_of(heuristic: Column) -> Column:
 def bin_tokens(tokens: DataFrame, dictionary: DataFrame, raw_settings: DataFrame) -> DataFrame:
     """``(doc_id, doc_index, original, gold, kbest, k_known, o_known, bin, heuristic, selection)``.
 
-    ``tokens`` as in ``tokens.current`` joined with their candidates. A consumed second half gets
-    the decision of its head.
+    ``tokens`` as in ``tokens.current`` joined with their candidates, or as ``looked_up`` gives them. A
+    consumed second half gets the decision of its head.
     """
-    known = with_knowledge(tokens, dictionary).withColumn("bin", bin_number())
+    ready = tokens if "k_known" in tokens.columns else with_knowledge(tokens, dictionary)
+    known = ready.withColumn("bin", bin_number())
     decided = known.drop("heuristic", "selection").join(F.broadcast(settings(raw_settings)), "bin")
     decided = decided.withColumn("selection", selection_of(F.col("heuristic")))
     paired = with_pairs(decided, F.col("is_hyphenated") & ~F.col("is_discarded"), ["doc_index"])

@@ -207,6 +207,16 @@ def test_all_bins(spark):
             assert fixed[i] is None
 
 
+def test_words_looked_up_before_they_are_lists(spark):
+    tokens = spark.createDataFrame([("d", 0, "ab"), ("d", 1, "xx"), ("d", 2, None)], "doc_id string, doc_index int, original string")
+    kbest = spark.createDataFrame([("d", 0, 2, "ab", 0.1), ("d", 0, 1, "xx", 0.2), ("d", 0, 3, "cd", 0.0), ("d", 1, 1, None, 0.2), ("e", 0, 1, "ab", 0.2)], "doc_id string, doc_index int, k int, candidate string, probability double")
+    words = spark.createDataFrame([("g", "ab"), ("g", "cd")], "group_name string, word string")
+    got = {r.doc_index: (r.o_known, r.k_known, [c.candidate for c in r.kbest]) for r in bins.looked_up(tokens, kbest, words).collect()}
+    assert got == {0: (True, [2, 3], ["xx", "ab", "cd"]), 1: (False, [], [None]), 2: (False, [], [])}
+    slow = bins.with_knowledge(T.with_candidates(tokens, kbest), words)
+    assert {r.doc_index: (r.o_known, r.k_known, [c.candidate for c in r.kbest]) for r in slow.collect()} == got
+
+
 def test_prepare_end_to_end(spark, model):
     words = spark.createDataFrame([("d", i, w) for i, w in enumerate(["Slring", "String", "Str-", "ing"])], "doc_id string, doc_index int, original string")
     options = prepare.Options(spark.createDataFrame([("g", "String")], "group_name string, word string"), spark.createDataFrame([(1, "o"), (4, "k")], "bin int, heuristic string"), model)
