@@ -21,9 +21,9 @@ Values are compared exactly as stored. Empty input gives an empty result.
 from __future__ import annotations
 
 import posixpath
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import suppress
 
 import duckdb
 import numpy as np
@@ -82,28 +82,34 @@ def _aggregate(con: duckdb.DuckDBPyConnection, sql: str) -> Aggregate:
 
 
 class Spill:
-    """A folder for the files of one task attempt; made when the first is written, removed with all."""
+    """A folder for the files of one task attempt; made, and its file system opened, when the first file
+    is written; removed with all."""
 
     def __init__(self, uri: str):
-        self.fs, base = file_system(uri)
-        self.folder = posixpath.join(base, f"radix-{uuid.uuid4().hex}")
-        self.made = False
+        self.uri = uri
+        self.fs: pafs.FileSystem | None = None
+        self.folder = ""
+        self.name = f"radix-{uuid.uuid4().hex}"
         self.files = 0
 
     def local(self) -> str:
         """The folder, if DuckDB can open it."""
-        return self.folder if isinstance(self.fs, pafs.LocalFileSystem) else ""
+        scheme, colon, rest = self.uri.partition(":")
+        return posixpath.join("/" + rest.lstrip("/") if colon else self.uri, self.name) if scheme == "file" or not colon else ""
 
     def new(self) -> str:
-        if not self.made:
+        if self.fs is None:
+            self.fs, base = file_system(self.uri)
+            self.folder = posixpath.join(base, self.name)
             self.fs.create_dir(self.folder, recursive=True)
-            self.made = True
         self.files += 1
         return posixpath.join(self.folder, f"{self.files:06d}.arrow")
 
     def close(self) -> None:
-        with suppress(FileNotFoundError):
+        if self.fs is not None:
             self.fs.delete_dir(self.folder)
+        elif self.local():
+            shutil.rmtree(self.local(), ignore_errors=True)  # of DuckDB
 
 
 class Parts:
