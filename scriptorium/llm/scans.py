@@ -469,12 +469,12 @@ def practice() -> tuple[list[E.Item], list[np.ndarray]]:
     rng = np.random.default_rng(5)
     letter = lambda: "abcdefghijklmnopqrstuvwxyzæøåäöü"[rng.integers(32)]
     items, targets = [], []
-    for k in range(1500):
+    for k in range(2400):
         size = int(rng.integers(2, 14))
         word = "".join(letter() for _ in range(size))
         at, op = int(rng.integers(size)), int(rng.integers(4))
         meant = word if op == E.KEEP else word[:at] + (letter() if op == E.REPLACE else letter() + word[at] if op == E.INSERT else "") + word[at + 1 :]
-        known = ("?1s", "?1", "?2", "?2s", "2", "00", "D", "?3s", "?4s")[k % 9]
+        known = "D" if k % 8 == 7 else f"{'?0123'[k % 5]}{int(rng.integers(1, 9))}{'s' * (k % 2)}"
         split = int(rng.integers(1, size)) if k % 3 == 0 and size > 2 else 0
         ops = np.array(E.operations(word, meant)[0])
         if split:
@@ -710,7 +710,7 @@ def join_edits(rows: DataFrame, edits: DataFrame, how: str) -> DataFrame:
 WELL_FORMED = r"^[—–\-]*([0-9]+|(?=.)(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})|" + "|".join(sorted(P.LABELS)) + r")?[—–\-]*$"
 
 # Margins above which a word is misread: without correction, where a corrector left it, where one changed it.
-EDIT_ABOVE, SAME_ABOVE, TOLD_ABOVE = -2.0, 8.0, 0.0
+EDIT_ABOVE, SAME_ABOVE, TOLD_ABOVE = -2.0, 8.0, -2.0
 
 
 def noisy_tokens(tokens: DataFrame, dict_words: DataFrame, train_tokens: int = TRAIN_TOKENS) -> DataFrame:
