@@ -147,15 +147,18 @@ def _leaves(batches: Batches, spill: Spill, used_bits: int, limit: int, unite: A
     """Tables of at most about ``limit`` bytes in which no key is divided; recursive over the hash bits.
 
     What is held is united by key before it is spilled, so a key found over and over takes one row.
+    Spark marks columns that hold no NULL, DuckDB does not, and Arrow neither joins nor writes tables that
+    differ in such marks; so all take the schema without them.
     """
     held: list[pa.RecordBatch] = []
     size, parts = 0, None
     shift = 64 - used_bits - FAN_BITS
     for batch in batches:
-        held.append(batch)
+        schema = pa.schema([pa.field(f.name, f.type) for f in batch.schema])
+        held.append(pa.RecordBatch.from_arrays(batch.columns, schema=schema))
         size += batch.nbytes
         if size > limit:
-            table = unite(pa.Table.from_batches(held))
+            table = unite(pa.Table.from_batches(held)).cast(schema)
             if shift >= 0 and table.nbytes * 2 > limit:
                 parts = parts or Parts(spill, shift)
                 parts.write(table)

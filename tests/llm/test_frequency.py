@@ -73,6 +73,25 @@ def test_equal_hash_bits_end_the_recursion(tmp_path):
     assert spill.files == 0
 
 
+@pytest.mark.parametrize("distinct", [40, 20_000])
+def test_columns_marked_as_without_null(tmp_path, distinct):
+    """Spark marks the hash as never NULL, DuckDB does not: what is united and kept, and what is left when
+    the input ends, goes into one table or file with batches as Spark sends them."""
+    schema = pa.schema([pa.field("h", pa.int64(), nullable=False), pa.field("n", pa.int64())])
+    h = [random.Random(k % distinct).getrandbits(47) for k in range(20_030)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(h[i : i + 100]), pa.array([1] * len(h[i : i + 100]))], schema=schema) for i in range(0, len(h), 100)]
+    spill = Q.Spill(f"file://{tmp_path}")
+    unite = Q._aggregate(Q._connection("", 64), "SELECT h, sum(n)::BIGINT AS n FROM leaf GROUP BY ALL")
+    total = Counter()
+    for leaf in Q._leaves(iter(batches), spill, Q.ROOT_BITS, 5000, unite):
+        for key, n in zip(leaf["h"].to_pylist(), leaf["n"].to_pylist(), strict=True):
+            total[key] += n
+    assert total == Counter(h)
+    assert (spill.files > 0) == (distinct > 40)
+    spill.close()
+    assert os.listdir(tmp_path) == []
+
+
 def test_marks(spark):
     token = [(f"d{i}", "og", "og" if i < 3 else None, 0) for i in range(10)] + [("d0", "sjælden", "", 0), (None, "sjælden", None, 0)]
     kbest = [("d0", "og", "x"), ("d1", "", "x"), ("d2", None, "x")]
