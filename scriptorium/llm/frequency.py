@@ -107,7 +107,9 @@ class Spill:
 
     def close(self) -> None:
         if self.fs is not None:
-            self.fs.delete_dir(self.folder)
+            # where DuckDB spilled first, the folder is its own, and gone when its connection is closed
+            if self.fs.get_file_info(self.folder).type != pafs.FileType.NotFound:
+                self.fs.delete_dir(self.folder)
         elif self.local():
             shutil.rmtree(self.local(), ignore_errors=True)  # of DuckDB
 

@@ -92,6 +92,16 @@ def test_columns_marked_as_without_null(tmp_path, distinct):
     assert os.listdir(tmp_path) == []
 
 
+def test_duckdb_and_the_spill_write_to_one_folder(tmp_path):
+    """DuckDB, short of memory, makes the folder before the first spill file, and removes it at its end."""
+    words = [f"{k:050d}" for k in range(400_000)]
+    batches = [pa.RecordBatch.from_pydict({"h": pa.array([(k * 0x9E3779B97F4A7C15) % (1 << 47) for k in range(i, i + 10_000)], pa.int64()), "term": words[i : i + 10_000], "n": pa.array([1] * 10_000, pa.int64())}) for i in range(0, len(words), 10_000)]
+    sql = "SELECT h, term, sum(n)::BIGINT AS n FROM leaf GROUP BY ALL"
+    got = list(Q._radix_aggregate(sql, sql, f"file://{tmp_path}", 16 << 20, 30)(iter(batches)))
+    assert sum(b.num_rows for b in got) == len(words)
+    assert os.listdir(tmp_path) == []
+
+
 def test_marks(spark):
     token = [(f"d{i}", "og", "og" if i < 3 else None, 0) for i in range(10)] + [("d0", "sjælden", "", 0), (None, "sjælden", None, 0)]
     kbest = [("d0", "og", "x"), ("d1", "", "x"), ("d2", None, "x")]
