@@ -65,6 +65,28 @@ def test_look_alikes_of_other_alphabets(spark):
         assert not N.has_variant(kept, wide)
 
 
+class Broken:
+    """A gateway on which every call fails; or one on which the class is missing."""
+
+    def __init__(self, spark=None):
+        self.spark = spark
+
+    def __getattr__(self, name):
+        if name == "SpoofChecker" and self.spark:
+            return self.spark.sparkContext._jvm.com.ibm.icu.text.no_such_package
+        return self
+
+    def __call__(self, *args):
+        raise ConnectionError("gateway lost")
+
+
+def test_a_failure_to_find_look_alikes_is_no_result(spark):
+    with pytest.raises(ConnectionError):
+        N.look_alikes(Broken())
+    with pytest.raises(RuntimeError, match="ICU"):
+        N.look_alikes(Broken(spark))
+
+
 def test_the_plan_holds_the_normalisation(spark):
     plan = N.variant_tokens(rows(spark, [("d", 0, "оg", None, "", 0)]))._jdf.queryExecution().executedPlan().toString()
     assert "normalized_values" in plan
